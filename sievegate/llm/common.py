@@ -9,17 +9,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
-#: Records and bytes of one Arrow batch: bounds what a Python worker holds of long texts at once.
-BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+#: Records and bytes of one Arrow batch bound what a Python worker holds of long texts at once; the shuffle files of a
+#: written table go when it is written.
+CONF = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that batches of very long texts stay within a Python worker's memory."""
-    for key, value in BATCH_CONF.items():
+    """Sets what bounds the memory of Python workers and the disk of shuffles."""
+    for key, value in CONF.items():
         with contextlib.suppress(Exception):  # a Spark version without the key
             spark.conf.set(key, value)
     return spark
@@ -58,6 +64,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text_key (a hash that tells rows of one doc_id apart), text (null: empty), and more columns."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), *more)
+
+
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    """The join condition of two tables with the columns of keyed; a null doc_id is a doc_id like any other."""
+    return (a["text_key"] == b["text_key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+
+
 def partitions(spark: SparkSession) -> int:
     """Exchange width: what the session asks for, and never less than its cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -119,4 +136,4 @@ class Prefix:
         n = len(self.sums) - size
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n] + np.uint64(size) * np.uint64(0xD6E8FEB86659FD93))
+        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n] + np.uint64(size * 0xD6E8FEB86659FD93 & _MASK))

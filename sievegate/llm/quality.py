@@ -148,8 +148,8 @@ def verdict_sql(docs: str = "documents") -> str:
     verdict = " AND ".join(f"NOT coalesce({rejected(rule, f'cut_{rule}')}, false)" for rule in RULES)
     return rf"""
 split AS (SELECT *, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM {docs}),
-marked AS (SELECT *, list_transform(range(1, greatest(len(w) - 3, 1)), i -> array_to_string(w[i:i+4], ' ')) AS five FROM split),
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM {docs}),
+marked AS (SELECT *, list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+4], ' ')) AS five FROM split),
 spread AS (SELECT doc_id, t, unnest(five) AS g, generate_subscripts(five, 1) AS i FROM marked),
 repeated AS (SELECT doc_id, t, i, g, count(*) OVER (PARTITION BY doc_id, t, g) AS c, dense_rank() OVER (PARTITION BY doc_id, t, g, i ORDER BY 1) FROM (SELECT DISTINCT * FROM spread)),
 gaps AS (SELECT doc_id, t, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id, t ORDER BY i) - i, 5)) AS n FROM repeated WHERE c > 1),
@@ -162,7 +162,7 @@ quality AS (SELECT doc_id, min(quality) >= 1 AS good FROM labels WHERE doc_id IS
 tallies AS (SELECT stratum, count_if(good) AS n_good, count_if(NOT good) AS n_bad, {tallies} FROM based JOIN quality USING (doc_id) WHERE NOT base_failed GROUP BY 1),
 tests AS ({union}),
 sure AS (SELECT * FROM tests WHERE k <= floor(n_good * {share!r}) AND bad * n_good > k * n_bad
-    AND list_sum(list_transform(range(0, k + 1), i -> exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({share!r}) + (n_good - i) * ln(1 - {share!r})))) <= {DELTA!r} / {len(tests)} / (SELECT count(*) FROM tallies)),
+    AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({share!r}) + (n_good - i) * ln(1 - {share!r})))) <= {DELTA!r} / {len(tests)} / (SELECT count(*) FROM tallies)),
 chosen AS (SELECT stratum, {", ".join(f"arg_max(cutoff, rank) FILTER (rule = '{rule}') AS cut_{rule}" for rule in RULES)} FROM sure GROUP BY 1),
 judged AS (SELECT based.*, NOT base_failed AND {verdict} AS kept FROM based LEFT JOIN chosen USING (stratum))"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievegate.llm import bpe, digests, langid, quality, warc, wavelet
+from sievegate.llm import bpe, digests, langid, lines, near, packing, quality, suffix, warc, wavelet
 
 
 def queries() -> dict:
@@ -10,11 +10,15 @@ def queries() -> dict:
         "op1_language_id": langid.op1_language_id,
         "op2_warc_normaliser": warc.op2_warc_normaliser,
         "op3_wavelet_matrix": wavelet.op3_wavelet_matrix,
+        "op4_line_dedup": lines.op4_line_dedup,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+        "op8_minhash_near_dedup": near.op8_minhash_near_dedup,
         "op9_fingerprints": digests.op9_fingerprints,
+        "op10_suffix_dedup": suffix.op10_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_warc_normaliser": warc.ORACLE, "op6_quality_rules": quality.ORACLE}
+    return {"op2_warc_normaliser": warc.ORACLE, "op4_line_dedup": lines.ORACLE, "op6_quality_rules": quality.ORACLE}

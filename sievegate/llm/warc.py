@@ -132,7 +132,7 @@ def normalise_file(source: str, target: str, level: int = 4) -> dict:
     """Rewrites one archive; the sidecar is target + '.idx', a JSON line per record."""
     fs, path = pafs.FileSystem.from_uri(source)
     out, index, n = Draft(target), [], 0
-    with fs.open_input_stream(path) as stream:
+    with fs.open_input_stream(path, compression=None) as stream:  # by default pyarrow inflates .gz itself
         for data in records(stream.read):
             at, packed = out.size, member(data, level)
             out.write(packed)
@@ -235,6 +235,6 @@ ORACLE = """
 SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, d AS payload_digest,
     CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first,
-    list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5), j -> (ascii(substr(b, CAST(i * 5 + j + 1 AS BIGINT), 1)) - 48) * (16 >> CAST(j AS INTEGER)))) AS INTEGER), 1)), 'string_agg', '') AS d
-    FROM (SELECT *, list_aggregate(list_transform(string_split_regex(sha1(coalesce(html, '')), ''), h -> list_extract(['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'], 1 + instr('0123456789abcdef', h) - 1)), 'string_agg', '') AS b FROM pages))
+    list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5), lambda j: (ascii(substr(b, CAST(i * 5 + j + 1 AS BIGINT), 1)) - 48) * (16 >> CAST(j AS INTEGER)))) AS INTEGER), 1)), 'string_agg', '') AS d
+    FROM (SELECT *, list_aggregate(list_transform(string_split_regex(sha1(coalesce(html, '')), ''), lambda h: list_extract(['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'], 1 + instr('0123456789abcdef', h) - 1)), 'string_agg', '') AS b FROM pages))
 """
