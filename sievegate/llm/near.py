@@ -8,7 +8,7 @@ probability 3e-7.
 In a bucket, every member is compared with one hub, the member that meets most others over all of its buckets; so candidates grow
 with the members, not with their square. Pairs pass a check of sizes and signatures, then of the full sets. Links become
 components by alternating large-star and small-star. Buckets that still hold several components are looked at again: large ones
-with further hubs, then all pairs between different components that signatures do not rule out.
+with further hubs, then all in blocks, for pairs between different components that sizes and signatures do not rule out.
 
 Defined results: a text without words, or a null one, has an empty set and no link. Rows that repeat a doc_id
 are judged each by its own text. A row without doc_id has no link; its component_id is null and it is kept. Of equal sets the
@@ -24,16 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievegate.llm.common import Prefix, documents, materialize, mix, remove, tuned
+from sievegate.llm.common import Prefix, documents, materialize, mix, partitions, remove, tuned
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 32, 6
 MINIMA = BANDS * ROWS
 #: Signatures keep a byte of each minimum; agreement this far below the threshold is six standard deviations off.
 SLACK = 6 * (0.85 * 0.15 / MINIMA) ** 0.5
-SMALL = 64  # members of a bucket up to which its open pairs are listed at once
+LARGE = 64  # members of a bucket from which more hubs are tried
 HUB_ROUNDS = 4
-BLOCK = 256
+BLOCK = 512
 
 _RNG = np.random.Generator(np.random.PCG64(8_191))
 _A = _RNG.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -191,73 +191,133 @@ def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(with_comp.join(some, "key", "left_semi"), "near-open")[0]
 
 
-def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket between different components that sizes allow, but for those with the hub, which are done."""
-    x = rows.where("rep != hub").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    y = rows.where("rep != hub").select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all sets of a block, by products of their indicator matrices, a slice of values at a time."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[at]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, len(shared), 2048):
+        x, y = np.searchsorted(column, [lo, lo + 2048])
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[row[x:y], column[x:y] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def _blocked(rows: DataFrame, percent: int, payload: DataFrame) -> DataFrame:
+    """The members of open buckets by classes of sizes, each with its own and the next larger one; groups over BLOCK are cut into
+    blocks, and every two blocks meet in a task of their own (key, size, i, j)."""
+    import math
+
+    step = math.log(100 / percent)
+    size = F.floor(F.log(F.col("n_shingles").cast("double")) / step + 1e-9).cast("int")
+    sides = F.explode(F.array(F.struct(size.alias("size"), F.lit(True).alias("own")), F.struct((size + 1).alias("size"), F.lit(False).alias("own"))))
+    sized = rows.select("key", "rep", "component", "n_shingles", sides.alias("x")).select("key", "rep", "component", "n_shingles", "x.*")
+    group = Window.partitionBy("key", "size")
+    met = sized.withColumns({"m": F.count("*").over(group), "owners": F.count_if("own").over(group), "lo": F.min("component").over(group), "hi": F.max("component").over(group)})
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    cut = met.where("m > 1 AND owners > 0 AND lo != hi").withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows_ = cut.select("key", "size", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "own", "rep", "component", "n_shingles").join(payload, "rep")
+    return rows_.repartition(partitions(rows.sparkSession), "key", "size", "i", "j")  # few bytes, much work: not to be coalesced
+
 
+def _meeting(pdf, percent: int) -> np.ndarray:
+    """Which rows of two blocks are to be compared: from different components and of fitting sizes, in different blocks if there are two."""
+    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    comp, n, own, blk = (pdf[c].to_numpy() for c in ("component", "n_shingles", "own", "blk"))
+    ok = (comp[:, None] != comp[None, :]) & (own[:, None] | own[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    return ok & (blk[:, None] != blk[None, :]) if i != j else ok
+
+
+def _open_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of open buckets. A first pass over blocks of signatures finds the members that any other
+    could be linked to; a second one compares the full sets of these, block by block, and no pair leaves its task unless it is a link."""
+    import pandas as pd
 
-def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The same for large buckets: their members in blocks, every two blocks compared by signatures in a task of their own."""
     least = percent / 100 - SLACK
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    cut = rows.join(classes.select("rep", "signature"), "rep").withColumn("blk", F.pmod(F.hash("rep"), blocks))
-    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "component", "n_shingles", "signature")
 
-    def compare(pdf):
-        import pandas as pd
+    def active(pdf):
+        ok = _meeting(pdf, percent)
+        signatures = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(-1, MINIMA)
+        near = np.zeros(len(pdf), bool)
+        for k in np.flatnonzero(ok.any(1)).tolist():
+            at = np.flatnonzero(ok[k])
+            near[k] = any(((signatures[x] == signatures[k]).mean(1) >= least).any() for x in (at[:32], at[32:]) if len(x))
+        return pdf.loc[near, ["key", "rep", "component", "n_shingles"]]
+
+    def links(pdf):
+        ok = _meeting(pdf, percent)
+        common = _intersections([np.frombuffer(x, np.uint64) for x in pdf["items"]])
+        n, rep = pdf["n_shingles"].to_numpy(), pdf["rep"].to_numpy()
+        a, b = np.nonzero(np.triu(ok, 1) & (100 * common >= percent * (n[:, None] + n[None, :] - common)))
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
 
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        x, y = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
         out = []
-        if len(x) and len(y):
-            sy = np.frombuffer(b"".join(y["signature"]), np.uint8).reshape(-1, MINIMA)
-            ry, cy, ny = y["rep"].to_numpy(), y["component"].to_numpy(), y["n_shingles"].to_numpy()
-            for rep, comp, n, signature in zip(x["rep"], x["component"], x["n_shingles"], x["signature"], strict=True):
-                near = (sy == np.frombuffer(signature, np.uint8)).mean(1) >= least
-                near &= (cy != comp) & (100 * np.minimum(ny, n) >= percent * np.maximum(ny, n))
-                out += [(min(rep, b), max(rep, b)) for b in ry[near].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
+        for x, y in zip(rep[a].tolist(), rep[b].tolist(), strict=True):
+            u, v = find(x), find(y)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                out.append((min(x, y), max(x, y)))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return spread.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    task = ["key", "size", "i", "j"]
+    ddl = "key long, rep long, component long, n_shingles long"
+    found, path = materialize(_blocked(rows, percent, classes.select("rep", "signature")).groupBy(*task).applyInPandas(active, ddl).distinct(), "near-active")
+    done, _ = materialize(_blocked(found, percent, sets).groupBy(*task).applyInPandas(links, "a long, b long").distinct(), "near-links")
+    remove(rows.sparkSession, path)
+    return done
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
     spark = tuned(docs.sparkSession)
-    sketched, _ = materialize(sketches(docs), "near-sketches")
-    full = sketched.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes, _ = materialize(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "signature", "bands"), "doc_id").alias("x")).select("d1", "d2", "rep", "x.*"), "near-classes")
-    exploded = classes.select("rep", "n_shingles", F.explode("bands").alias("key")).withColumn("c", F.count("*").over(Window.partitionBy("key")))
-    shared, _ = materialize(exploded.where("c > 1"), "near-buckets")
-    degree = shared.groupBy("rep").agg(F.sum("c").alias("degree"))
-    ranked = shared.join(degree, "rep")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("x")).select("key", (-F.col("x.r")).alias("hub"))
+    sketched, sketched_path = materialize(sketches(docs), "near-sketches")
+    grouped = sketched.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "signature", "bands"), "doc_id").alias("x"))
+    banded, banded_path = materialize(grouped.select("d1", "d2", "rep", "x.*"), "near-banded")
+    rows, _ = materialize(sketched.select("doc_id", "n_shingles", "d1", "d2"), "near-rows")
+    remove(spark, sketched_path)
+    exploded = banded.select("rep", "n_shingles", F.explode("bands").alias("key")).withColumn("c", F.count("*").over(Window.partitionBy("key")))
+    shared, shared_path = materialize(exploded.where("c > 1"), "near-buckets")
+    classes, _ = materialize(banded.drop("bands"), "near-classes")
+    remove(spark, banded_path)
+    ranked = shared.join(shared.groupBy("rep").agg(F.sum("c").alias("degree")), "rep")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("x")).select("key", "x.degree", (-F.col("x.r")).alias("hub"))
     members, _ = materialize(shared.join(hubs, "key"), "near-members")
+    remove(spark, shared_path)
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets, _ = materialize(_sets(docs.join(wanted, "doc_id", "left_semi")), "near-sets")
     verify = Verifier(classes, sets, percent)
-    links = verify(members.where("rep != hub").select(*_ordered("rep", "hub")))
+    # one hub for each member first, the one that meets most others; then the hubs of buckets that this left open
+    first = members.where("rep != hub").groupBy("rep").agg(F.max_by("hub", F.struct("degree", (-F.col("hub")).alias("r"))).alias("hub"))
+    links = verify(first.select(*_ordered("rep", "hub")))
     rest = _open(members, links)
-    for k in range(HUB_ROUNDS):  # further hubs for large buckets that are still open
-        large = rest.where(F.col("c") > SMALL)
-        if large.isEmpty():
-            break
+    of_hub = rest.where("rep = hub").select("key", F.col("component").alias("of_hub"))
+    links = materialize(links.unionByName(verify(rest.join(of_hub, "key").where("component != of_hub").select(*_ordered("rep", "hub")))).distinct(), "near-links")[0]
+    rest = _open(rest.drop("component"), links)
+    for k in range(HUB_ROUNDS):  # further hubs for large buckets that are still open, as long as they find links
+        large = rest.where(F.col("c") > LARGE)
         sized = large.withColumn("m", F.count("*").over(Window.partitionBy("key", "component")))
         new = sized.groupBy("key").agg(F.max_by(F.struct(F.col("rep").alias("hub2"), F.col("component").alias("c2")), F.struct("m", F.xxhash64("rep", F.lit(k)))).alias("x")).select("key", "x.*")
         more = verify(large.join(new, "key").where("component != c2").select(*_ordered("rep", "hub2")))
+        if more.isEmpty():
+            break
         links = materialize(links.unionByName(more).distinct(), "near-links")[0]
-        rest = _open(members.join(rest.select("key").distinct(), "key", "left_semi"), links)
-    if not rest.isEmpty():
-        pairs = _open_pairs(rest.where(F.col("c") <= SMALL), percent)
-        large = rest.where(F.col("c") > SMALL)
-        if not large.isEmpty():
-            pairs = pairs.unionByName(_block_pairs(large, classes, percent)).distinct()
-        links = materialize(links.unionByName(verify(pairs)).distinct(), "near-links")[0]
+        rest = _open(rest.drop("component"), links)
+    links = materialize(links.unionByName(_open_links(rest, classes, sets, percent)).distinct(), "near-links")[0]
     component = components(links).withColumnRenamed("node", "rep")
     of_class = classes.select("d1", "d2", "rep").join(component, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("found"))
-    out = sketched.join(of_class, ["d1", "d2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))
+    out = rows.join(of_class, ["d1", "d2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -46,11 +46,11 @@ def test_against_brute_force(spark, sf_dir):
     assert result(near.op8_minhash_near_dedup(spark, sf_dir)) == sorted(brute(rows), key=repr)
 
 
-@pytest.mark.parametrize("small", [64, 1])
-def test_odd_rows(spark, monkeypatch, small):
-    monkeypatch.setattr(near, "SMALL", small)  # 1: every open bucket takes the way of large ones
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_odd_rows(spark, monkeypatch, rounds):
+    monkeypatch.setattr(near, "LARGE", 1)
     monkeypatch.setattr(near, "BLOCK", 3)
-    monkeypatch.setattr(near, "HUB_ROUNDS", 1)
+    monkeypatch.setattr(near, "HUB_ROUNDS", rounds)  # 0: what the first hubs leave open is for blocks alone
     data = [r for r in cases.rows() if r[:2] != (3, "another text of a repeated doc_id")]
     assert result(near.near_duplicates(cases.frame(spark, data))) == sorted(brute([r[:2] for r in data]), key=repr)
 
