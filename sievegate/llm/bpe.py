@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from sievegate.llm.common import documents, map_arrow, tuned
 
 _SPACED = re.compile(r"\s*\S+|\s+").findall
+_STOP = re.compile(rb"(?<=[a-z])([.,])").sub
 
 
 def byte_characters() -> list[str]:
@@ -63,15 +64,16 @@ def spaced_pieces(text: str) -> list[str]:
     return _SPACED(text)
 
 
-def blank_pieces(text: str) -> list[str]:
-    """Pieces between blanks and line ends: safe to encode one by one for tokenizers that drop white space."""
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+def folded_pieces(text: str) -> list[bytes]:
+    """For tokenizers that fold case, drop white space and split letters from other characters: pieces between white space, A-Z
+    folded, cut before a full stop or comma that follows a letter. They encode one by one."""
+    return _STOP(rb" \1", text.encode("utf-8", "surrogatepass").lower()).split()
 
 
 class PieceEncoder:
     """Encodes texts by way of their pieces into little-endian unsigned 32-bit ids."""
 
-    def __init__(self, tok, pieces: Callable[[str], list[str]], keep: int = 250_000, longest: int = 48):
+    def __init__(self, tok, pieces: Callable[[str], list], keep: int = 800_000, longest: int = 48):
         self.tok, self.pieces, self.keep, self.longest, self.known = tok, pieces, keep, longest, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -79,9 +81,10 @@ class PieceEncoder:
         if len(known) > self.keep:
             known.clear()
         cut = [self.pieces(t) if t else [] for t in texts]
-        new = list({p for row in cut for p in row if p not in known})
+        new = list(set().union(*cut).difference(known))
         if new:
-            for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            texts_ = [p.decode("utf-8", "surrogatepass") for p in new] if isinstance(new[0], bytes) else new
+            for p, e in zip(new, self.tok.encode_batch_fast(texts_, add_special_tokens=False), strict=True):
                 known[p] = array("I", e.ids).tobytes()
         out = [b"".join(map(known.__getitem__, row)) for row in cut]
         for p in new:
@@ -100,7 +103,7 @@ def encoder(kind: str, path: str, pattern: str = "") -> PieceEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if (kind, path, pattern) not in _ENCODERS:
         tok = tokenizer_from_ranks(path, pattern) if kind == "ranks" else tokenizer_from_json(path)
-        _ENCODERS[kind, path, pattern] = PieceEncoder(tok, blank_pieces if kind == "word" else spaced_pieces)
+        _ENCODERS[kind, path, pattern] = PieceEncoder(tok, folded_pieces if kind == "word" else spaced_pieces)
     return _ENCODERS[kind, path, pattern]
 
 

@@ -72,7 +72,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     later = places.withColumn("_rank", F.rank().over(Window.partitionBy("run").orderBy("doc_id", "text_key", "start"))).where("_rank > 1")
     starts, _ = materialize(later.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts")), "lines-starts")
     remove(spark, path)
-    return starts
+    return starts.hint("merge")  # it grows with the corpus: never broadcast
 
 
 def cut(text: str, starts: list[int], run: int = RUN) -> tuple[str, int, int]:

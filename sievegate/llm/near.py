@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members, _ = materialize(shared.join(hubs, "key"), "near-members")
     remove(spark, shared_path)
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets, _ = materialize(_sets(docs.join(wanted, "doc_id", "left_semi")), "near-sets")
+    sets, _ = materialize(_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi")), "near-sets")
     verify = Verifier(classes, sets, percent)
     # one hub for each member first, the one that meets most others; then the hubs of buckets that this left open
     first = members.where("rep != hub").groupBy("rep").agg(F.max_by("hub", F.struct("degree", (-F.col("hub")).alias("r"))).alias("hub"))

@@ -157,7 +157,8 @@ def default_vocabulary() -> str:
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs (doc_id, text)."""
     tuned(docs.sparkSession)
-    return assign(pieces(docs, vocabulary or default_vocabulary(), capacity, end_id), capacity)
+    cut, _ = materialize(pieces(docs, vocabulary or default_vocabulary(), capacity, end_id), "packing-pieces")  # a range sort reads its input twice
+    return assign(cut, capacity)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     whole = [x.where("whole").select("doc_id", "text_key", "lo", "hi") for x in (one, two)]
     spans, _ = materialize(whole[0].unionByName(whole[1]).unionByName(last).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")), "suffix-spans")
     remove(docs.sparkSession, one_path, two_path)
-    return spans
+    return spans.hint("merge")  # it grows with the corpus: never broadcast
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
