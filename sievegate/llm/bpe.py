@@ -1,8 +1,8 @@
 """Operator 7: byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
-A text is cut where a non-space is followed by white space: no match of the byte-level pattern spans such a place, so the
-pieces encode independently, and each distinct piece is handed to the library once per worker (the memory of pieces is
-bounded). Nulls encode like the empty text; repeated rows give repeated results; other columns pass through untouched.
+A text is cut where a non-space is followed by white space and where a letter is followed by a stop or comma: no match of the
+byte-level pattern spans such a place, so the pieces encode independently. A worker remembers the ids of pieces, those it met
+first, up to a bound; the others are handed to the library again. Nulls encode like the empty text; repeated rows give repeated results; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from sievegate.llm.common import documents, map_arrow, tuned
 
-_SPACED = re.compile(r"\s*\S+|\s+").findall
+_SPACED = re.compile(r"\s*+[^\s.,]++(?<=[A-Za-z])(?=[.,])|\s*+\S++|\s++").findall
 _STOP = re.compile(rb"(?<=[a-z])([.,])").sub
 
 
@@ -60,7 +60,8 @@ def tokenizer_from_json(path: str):
 
 
 def spaced_pieces(text: str) -> list[str]:
-    """White space and the non-spaces after it: safe to encode one by one for byte-level patterns."""
+    """White space and the non-spaces after it, cut before a stop or comma after a letter: safe to encode one by one for
+    byte-level patterns, which take letters, digits, other characters and white space in turn."""
     return _SPACED(text)
 
 
@@ -73,13 +74,11 @@ def folded_pieces(text: str) -> list[bytes]:
 class PieceEncoder:
     """Encodes texts by way of their pieces into little-endian unsigned 32-bit ids."""
 
-    def __init__(self, tok, pieces: Callable[[str], list], keep: int = 800_000, longest: int = 48):
+    def __init__(self, tok, pieces: Callable[[str], list], keep: int = 1_000_000, longest: int = 48):
         self.tok, self.pieces, self.keep, self.longest, self.known = tok, pieces, keep, longest, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         known = self.known
-        if len(known) > self.keep:
-            known.clear()
         cut = [self.pieces(t) if t else [] for t in texts]
         new = list(set().union(*cut).difference(known))
         if new:
@@ -87,8 +86,9 @@ class PieceEncoder:
             for p, e in zip(new, self.tok.encode_batch_fast(texts_, add_special_tokens=False), strict=True):
                 known[p] = array("I", e.ids).tobytes()
         out = [b"".join(map(known.__getitem__, row)) for row in cut]
+        full = len(known) > self.keep
         for p in new:
-            if len(p) > self.longest:
+            if full or len(p) > self.longest:
                 del known[p]
         return out
 
@@ -119,7 +119,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
     tuned(df.sparkSession)
     pair = "array<struct<start:int,end:int>>"
     fields = [x for x in df.schema.fields if x.name not in {ids, "byte_offsets", "char_offsets"}]
-    out = T.StructType(fields)
+    out = T.StructType(list(fields))
     out.add(ids, T.ArrayType(T.IntegerType()))
     if offsets:
         for name in ("byte_offsets", "char_offsets"):
@@ -188,7 +188,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", to: str = "decoded"
             cols[to] = pa.array([None if x is None else b"".join([table[i] for i in x]).decode("utf-8", "replace") for x in rows], pa.string())
             yield pa.RecordBatch.from_pydict(cols)
 
-    return df.select(*[f.name for f in fields]).mapInArrow(run, T.StructType(fields).add(to, T.StringType()))
+    return df.select(*[f.name for f in fields]).mapInArrow(run, T.StructType(list(fields)).add(to, T.StringType()))
 
 
 def round_trip(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
