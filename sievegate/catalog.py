@@ -2,12 +2,213 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "a1_daily_actions"
+from pyspark.sql import functions as F
+
+from sievegate.functions import scalars
+from sievegate.functions.detectors import with_detections
+from sievegate.functions.spans import at
+from sievegate.operators import analytics, masking, policy, rules, segments
+from sievegate.sources import views
+from sievegate.streaming import limits
+
+FLAGSHIP = "dryrun_conversations"
+AS_OF, DAYS = "2024-01-20", 14
+KEYWORDS = {"kw-the": "the", "kw-and": "und", "kw-stop": "the."}
+CONTEXTS = {"ctx-en": (["the", "and", "tion"], 2), "ctx-de": (["der", "die", "und"], 3), "ctx-es": (["los", "que", "ción"], 2)}
+WEIGHTS = {label: [((3 * k + 7 * n) % 11 - 5) / 2 for k in range(64)] for n, label in enumerate(["risk", "code", "other"])}
+# Vectors of Korean formats, which the test tables have none of.
+SAMPLES = [
+    (1, "연락처 010-1234-5678, +82 10 9876 5432 그리고 02-345-6789"),
+    (2, "주민번호 900101-1234568 확인, 900101-1234567"),
+    (3, "국민은행 123-456-789012 로 보내주세요"),
+    (4, "번호 123-456-789012 는 계약 번호"),
+    (5, "4111 1111 1111 1111 and 4111-1111-1111-1112"),
+    (6, "mail a.b+c@mail.example.com. or x@y, z@@w.com"),
+    (7, None),
+    (8, ""),
+]
+
+
+def _docs(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", "text")
+
+
+def _dry_run(df, key):
+    matches = rules.detector_matches(df, rules.built_in_rules(df.sparkSession), key)
+    return rules.decide(df, matches, key)
+
+
+def dryrun_documents(spark, d):
+    return _dry_run(_docs(spark, d), "doc_id")
+
+
+def dryrun_conversations(spark, d):
+    turns = views.requests(spark, d).select(F.concat_ws(":", "request_id", "input_index").alias("turn_id"), F.col("content").alias("text"))
+    return _dry_run(turns, "turn_id")
+
+
+def detect_email_counts(spark, d):
+    found = with_detections(_docs(spark, d)).select("doc_id", F.size(F.filter("detections", lambda x: x["detector_key"] == "EMAIL")).cast("long").alias("n"))
+    return found.where("n > 0")
+
+
+def pii_union_sorted(spark, d):
+    found = with_detections(_docs(spark, d)).select("doc_id", F.posexplode("detections").alias("place", "d"))
+    return found.select("doc_id", "place", "d.detector_key", "d.start", "d.end")
+
+
+def detect_samples(spark, d):
+    rows = spark.createDataFrame(SAMPLES, "id int, text string")
+    return with_detections(rows).select("id", F.explode("detections").alias("d"), "text").select("id", "d.detector_key", "d.start", "d.end", F.length(at(F.col("text"), F.col("d"))).alias("value_length"))
+
+
+def mask_documents(spark, d):
+    out = masking.masked(with_detections(_docs(spark, d).where("text IS NOT NULL")))
+    return out.select("doc_id", "n_masked", F.sha2("masked_text", 256).alias("masked_sha256"))
+
+
+def normalize_text(spark, d):
+    return _docs(spark, d).select("doc_id", F.length(scalars.normalize_text(F.col("text"))).alias("n_chars"), F.sha2(scalars.normalize_text(F.col("text")), 256).alias("sha256"))
+
+
+def rule_keyword_matches(spark, d):
+    return rules.keyword_matches(_docs(spark, d), KEYWORDS, "doc_id").select("doc_id", "rule_id")
+
+
+def rule_context_matches(spark, d):
+    return rules.context_matches(_docs(spark, d), CONTEXTS, "doc_id")
+
+
+def rule_catalogue_merge(spark, d):
+    stored = spark.createDataFrame([("detector:EMAIL", "high", "BLOCK", True, False), ("detector:PHONE", None, None, False, False), ("detector:CARD", None, "WARN", True, False)], "rule_id string, severity string, action string, enabled boolean, archived boolean")
+    return rules.merge_rules(rules.built_in_rules(spark), stored).select("rule_id", "severity", "action")
+
+
+def _evidence(spark, d):
+    """Evidence of v_inputs: detections mark their event's inputs by category."""
+    ins = views.inputs(spark, d)
+    det = views.detections(spark, d)
+    rows = det.join(ins, "event_id").select(F.col("event_id").alias("request_id"), F.col("input_index"), "category", "type", "source")
+    action = F.when(F.col("category") == "Secret", "block").when(F.col("category") == "Payment", "mask").when(F.col("category") == "PII", "mask").otherwise("warn")
+    severity = F.when(F.col("category") == "Secret", "critical").when(F.col("category") == "Custom", "medium").otherwise("high")
+    order = F.col("input_index") * 2 + F.when(F.col("type") == "PHONE", 1).otherwise(0)
+    return rows.select("request_id", order.alias("ord"), action.alias("action"), severity.alias("severity"), policy.safe_reason(F.col("category")).alias("reason"), (F.col("source") == "composer").alias("masking_supported"))
+
+
+def policy_decide_requests(spark, d):
+    requests = views.inputs(spark, d).groupBy(F.col("event_id").alias("request_id")).agg(F.count("*").alias("n_inputs"))
+    return policy.decide_requests(requests, _evidence(spark, d))
+
+
+def idempotent_requests(spark, d):
+    rows = views.events(spark, d).select("login_id", (F.col("id") % 97).alias("client_request_id"), "id", "created_at")
+    return policy.first_of_key(rows, ["login_id", "client_request_id"], ["created_at", "id"]).select("login_id", "client_request_id", "id")
+
+
+def size_buckets(spark, d):
+    n = F.octet_length(F.coalesce("html", F.lit("")))
+    return views.table(spark, d, "pages").select("page_id", n.alias("size_bytes"), scalars.size_bucket(n).alias("size_bucket"), scalars.length_bucket(n).alias("length_bucket"))
+
+
+def file_policy(spark, d):
+    files = views.table(spark, d, "pages").select((F.col("page_id") % 40).alias("batch_id"), F.concat(F.lit("page-"), F.col("page_id"), F.element_at(F.array(*map(F.lit, [".HTML", ".txt", ".exe", ".bin"])), (F.col("page_id") % 4 + 1).cast("int"))).alias("name"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size"))
+    return policy.file_policy(files, 10_000, 1 << 40, 5000, ["html", "txt"], ["exe"])
+
+
+def _window(spark, d):
+    return analytics.window(views.events(spark, d), AS_OF, DAYS)
+
+
+def event_stats_daily(spark, d):
+    return analytics.daily(views.events(spark, d), AS_OF, DAYS)
+
+
+def event_stats_totals(spark, d):
+    return analytics.totals(_window(spark, d))
+
+
+def event_stats_actions(spark, d):
+    return analytics.distribution(_window(spark, d), "action")
+
+
+def event_stats_risk(spark, d):
+    return analytics.distribution(_window(spark, d), "risk_level")
+
+
+def event_stats_detection_types(spark, d):
+    return analytics.detection_distribution(_window(spark, d), views.detections(spark, d), "type")
+
+
+def event_stats_categories(spark, d):
+    return analytics.detection_distribution(_window(spark, d), views.detections(spark, d), "category")
+
+
+def overview_unavailable(spark, d):
+    return analytics.unavailable(_window(spark, d), views.inputs(spark, d))
+
+
+def user_stats(spark, d):
+    return analytics.user_stats(views.events(spark, d), views.detections(spark, d), views.users(spark, d))
+
+
+def user_stats_topk(spark, d):
+    return analytics.top_users(user_stats(spark, d), 50)
+
+
+def event_primary_label(spark, d):
+    return analytics.event_labels(views.detections(spark, d))
+
+
+def events_list_latest(spark, d):
+    return analytics.event_list(views.events(spark, d), views.detections(spark, d), views.inputs(spark, d), 100)
+
+
+def _atoms(spark, d):
+    return views.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("input_id"), (F.col("vec_id") % 10).cast("int").alias("ordinal"), F.col("label").alias("block"), F.col("embedding").alias("vector"))
+
+
+def adjacent_cosine(spark, d):
+    return segments.with_breaks(_atoms(spark, d)).where("cosine IS NOT NULL").select("input_id", "ordinal", F.round("cosine", 5).alias("cosine"))
+
+
+def segment_list(spark, d):
+    return segments.segments(segments.with_breaks(_atoms(spark, d), 0.1))
+
+
+def segment_vectors(spark, d):
+    return segments.segment_vectors(segments.with_breaks(_atoms(spark, d), 0.1)).select("input_id", "segment", "place", F.round("x", 5).alias("x"))
+
+
+def lr_candidates(spark, d):
+    rows = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return segments.linear_scores(rows, WEIGHTS).select("id", "label", "bucket")
+
+
+def atoms_documents(spark, d):
+    return segments.paragraphs(_docs(spark, d), "doc_id")
+
+
+def rate_limit(spark, d):
+    return limits.rate_limited(views.events(spark, d), 3, 3600)
+
+
+def prompt_hash(spark, d):
+    return _docs(spark, d).where("text IS NOT NULL").select("doc_id", scalars.hmac_sha256(F.to_json(F.struct(F.col("text").alias("prompt"), F.lit("w").alias("workspace_id"))), b"key").alias("prompt_hash"))
+
+
+_QUERIES = [
+    dryrun_documents, dryrun_conversations, detect_email_counts, pii_union_sorted, detect_samples, mask_documents, normalize_text, rule_keyword_matches, rule_context_matches, rule_catalogue_merge,
+    policy_decide_requests, idempotent_requests, size_buckets, file_policy, event_stats_daily, event_stats_totals, event_stats_actions, event_stats_risk, event_stats_detection_types,
+    event_stats_categories, overview_unavailable, user_stats, user_stats_topk, event_primary_label, events_list_latest, adjacent_cosine, segment_list, segment_vectors, lr_candidates,
+    atoms_documents, rate_limit, prompt_hash,
+]
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    from sievegate import oracle
+
+    return dict(oracle.SQL)
