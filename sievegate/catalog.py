@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from sievegate.functions import scalars
 from sievegate.functions.detectors import with_detections
 from sievegate.functions.spans import at
-from sievegate.operators import analytics, masking, policy, rules, segments
-from sievegate.sources import views
+from sievegate.operators import analytics, inputs, masking, policy, rules, segments
+from sievegate.sources import files, views
 from sievegate.streaming import limits
 
 FLAGSHIP = "dryrun_conversations"
@@ -111,8 +111,8 @@ def size_buckets(spark, d):
 
 
 def file_policy(spark, d):
-    files = views.table(spark, d, "pages").select((F.col("page_id") % 40).alias("batch_id"), F.concat(F.lit("page-"), F.col("page_id"), F.element_at(F.array(*map(F.lit, [".HTML", ".txt", ".exe", ".bin"])), (F.col("page_id") % 4 + 1).cast("int"))).alias("name"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size"))
-    return policy.file_policy(files, 10_000, 1 << 40, 5000, ["html", "txt"], ["exe"])
+    rows = views.table(spark, d, "pages").select((F.col("page_id") % 40).alias("batch_id"), F.concat(F.lit("page-"), F.col("page_id"), F.element_at(F.array(*map(F.lit, [".HTML", ".txt", ".exe", ".bin"])), (F.col("page_id") % 4 + 1).cast("int"))).alias("name"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size"))
+    return policy.file_policy(rows, 10_000, 1 << 40, 5000, ["html", "txt"], ["exe"])
 
 
 def _window(spark, d):
@@ -196,11 +196,48 @@ def prompt_hash(spark, d):
     return _docs(spark, d).where("text IS NOT NULL").select("doc_id", scalars.hmac_sha256(F.to_json(F.struct(F.col("text").alias("prompt"), F.lit("w").alias("workspace_id"))), b"key").alias("prompt_hash"))
 
 
+def input_results_basis(spark, d):
+    rows = views.inputs(spark, d).withColumns({"parse_status": F.when((F.col("kind") == "file_reference") & (F.col("event_id") % 2 == 0), "parsed"), "n_matches": F.col("event_id") % 3})
+    return inputs.scan_results(rows).select("event_id", "input_index", "content_scanned", F.col("decision_basis").alias("basis"))
+
+
+def pdf_coverage(spark, d):
+    n = (F.length(F.coalesce("html", F.lit(""))) % 200).cast("int")
+    pages = views.table(spark, d, "pages").select((F.col("page_id") % 20).alias("doc_id"), F.col("page_id").alias("page"), F.when(F.col("page_id") % 17 == 0, "failed").otherwise("ok").alias("status"), n.alias("n_chars"), F.element_at(F.array(*map(F.lit, ["present", "absent", "unknown"])), (F.col("page_id") % 3 + 1).cast("int")).alias("image"))
+    return inputs.page_coverage(pages).select("page", "bucket", "reason", "candidate", "selected")
+
+
+def rule_set_version(spark, d):
+    return inputs.rule_set_version(rules.built_in_rules(spark).select("rule_id", F.lit(1).alias("version")))
+
+
+def signal_ids(spark, d):
+    from sievegate.functions.spans import spans
+
+    rows = _docs(spark, d).where("text IS NOT NULL").select("doc_id", F.explode(spans(F.col("text"), "Th")).alias("s"))
+    return rows.groupBy("doc_id").agg(F.min("s").alias("s")).select("doc_id", inputs.signal_id(F.col("doc_id"), F.lit("b0"), F.lit("p"), F.col("s")).alias("signal_id"))
+
+
+def request_violations(spark, d):
+    rows = views.requests(spark, d)
+    found = inputs.violations(F.lit("text"), F.col("source"), F.col("input_index") % 4 != 3, F.when(F.col("input_index") % 5 != 4, F.col("content")), F.length("content"))
+    return rows.select("request_id", "input_index", F.array_join(found, ",").alias("violations"))
+
+
+def verifier_chunks(spark, d):
+    return _docs(spark, d).where("text IS NOT NULL").select("doc_id", F.posexplode(inputs.chunks(F.col("text"))).alias("nth", "chunk")).select("doc_id", "nth", F.length("chunk").alias("n_chars"))
+
+
+def parsed_pages(spark, d):
+    rows = views.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("code").alias("kind"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    return files.parsed(rows).select("path", "status", "place", F.length("text").alias("n_chars"))
+
+
 _QUERIES = [
     dryrun_documents, dryrun_conversations, detect_email_counts, pii_union_sorted, detect_samples, mask_documents, normalize_text, rule_keyword_matches, rule_context_matches, rule_catalogue_merge,
     policy_decide_requests, idempotent_requests, size_buckets, file_policy, event_stats_daily, event_stats_totals, event_stats_actions, event_stats_risk, event_stats_detection_types,
     event_stats_categories, overview_unavailable, user_stats, user_stats_topk, event_primary_label, events_list_latest, adjacent_cosine, segment_list, segment_vectors, lr_candidates,
-    atoms_documents, rate_limit, prompt_hash,
+    atoms_documents, rate_limit, prompt_hash, input_results_basis, pdf_coverage, rule_set_version, signal_ids, request_violations, verifier_chunks, parsed_pages,
 ]
 
 

@@ -64,4 +64,13 @@ FROM (SELECT DISTINCT event_id AS request_id FROM v_inputs) q LEFT JOIN best b O
     "segment_vectors": f"WITH {_ATOMS}, m AS (SELECT input_id, segment, place - 1 AS place, avg(x) AS x FROM (SELECT input_id, segment, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM seg) GROUP BY 1, 2, 3) SELECT input_id, segment, CAST(place AS INTEGER) AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY input_id, segment)), 5) AS x FROM m",
     "lr_candidates": "WITH w AS (SELECT * FROM (VALUES " + ", ".join(f"('{label}', {w})" for label, w in WEIGHTS.items()) + ") t(name, w)), s AS (SELECT vec_id AS id, name AS label, 1 / (1 + exp(-list_dot_product(CAST(embedding AS DOUBLE[]), CAST(w AS DOUBLE[])))) AS score FROM embeddings, w) SELECT id, label, CASE WHEN score >= 0.9 THEN 'very_high' WHEN score >= 0.75 THEN 'high' ELSE 'candidate' END AS bucket FROM s WHERE score >= 0.02",
     "atoms_documents": r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS ordinal, CAST(length(p[i]) AS INTEGER) AS n_chars FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n[ \t]*\n'), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '') AS p FROM documents))",
+    "input_results_basis": sql("""SELECT event_id, input_index, scanned AS content_scanned, CASE WHEN scanned AND event_id % 3 > 0 THEN 'detection' WHEN scanned THEN 'no_detection' WHEN kind = 'attachment_metadata' THEN 'metadata_only' ELSE 'content_unavailable' END AS basis
+  FROM (SELECT *, (kind = 'file_reference' AND event_id % 2 = 0) OR (content_included AND kind = 'text') AS scanned FROM v_inputs)""", "v_inputs"),
+    "pdf_coverage": """WITH p AS (SELECT page_id % 20 AS doc_id, page_id AS page, page_id % 17 = 0 AS failed, length(coalesce(html, '')) % 200 AS n, page_id % 3 <> 1 AS image FROM pages),
+m AS (SELECT *, CASE WHEN n = 0 THEN 'zero' WHEN n < 30 THEN 'very_low' WHEN n < 120 THEN 'low' ELSE 'sufficient' END AS bucket, CASE WHEN failed THEN 'native_failed' WHEN n < 30 THEN 'low_text' WHEN n < 120 AND image THEN 'low_text_with_image' END AS reason FROM p)
+SELECT page, bucket, reason, reason IS NOT NULL AS candidate, reason IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, reason IS NOT NULL ORDER BY page) <= 3 AS selected FROM m""",
+    "rule_set_version": "SELECT substr(sha256('detector:BANK_ACCOUNT:1|detector:CARD:1|detector:EMAIL:1|detector:PHONE:1|detector:RRN:1'), 1, 16) AS version",
+    "signal_ids": "SELECT doc_id, 'sig_' || substr(sha256(doc_id || ':b0:p:' || (strpos(text, 'Th') - 1) || ':' || (strpos(text, 'Th') + 1)), 1, 20) AS signal_id FROM documents WHERE contains(text, 'Th')",
+    "request_violations": sql("""SELECT request_id, input_index, concat_ws(',', CASE WHEN inc AND c IS NULL THEN 'CONTENT_MISSING' END, CASE WHEN NOT inc AND c IS NOT NULL THEN 'CONTENT_NOT_ALLOWED' END, CASE WHEN inc AND octet_length(encode(c)) <> length(content) THEN 'SIZE_MISMATCH' END, CASE WHEN inc AND octet_length(encode(c)) > CASE WHEN source = 'composer' THEN 262144 ELSE 1048576 END THEN 'CONTENT_TOO_LARGE' END) AS violations
+  FROM (SELECT *, input_index % 4 <> 3 AS inc, CASE WHEN input_index % 5 <> 4 THEN content END AS c FROM v_requests)""", "v_requests"),
 }
