@@ -18,6 +18,7 @@ smallest doc_id is kept. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -223,38 +224,59 @@ def _blocked(rows: DataFrame, percent: int, payload: DataFrame) -> DataFrame:
     met = sized.withColumns({"m": F.count("*").over(group), "owners": F.count_if("own").over(group), "lo": F.min("component").over(group), "hi": F.max("component").over(group)})
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     cut = met.where("m > 1 AND owners > 0 AND lo != hi").withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows_ = cut.select("key", "size", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "own", "rep", "component", "n_shingles").join(payload, "rep")
-    return rows_.repartition(partitions(rows.sparkSession), "key", "size", "i", "j")  # few bytes, much work: not to be coalesced
+    met = cut.select("key", "size", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "own", "rep", "component", "n_shingles").join(payload, "rep")
+    met = met.select("key", "size", "i", "j", "blk", "own", "rep", "component", "n_shingles", payload.columns[-1])
+    return met.repartition(partitions(rows.sparkSession), "key", "size", "i", "j")  # few bytes, much work: not to be coalesced
 
 
-def _meeting(pdf, percent: int) -> np.ndarray:
+def _meeting(rows: list[tuple], percent: int) -> np.ndarray:
     """Which rows of two blocks are to be compared: from different components and of fitting sizes, in different blocks if there are two."""
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    comp, n, own, blk = (pdf[c].to_numpy() for c in ("component", "n_shingles", "own", "blk"))
+    i, j = rows[0][2:4]
+    blk, own, comp, n = (np.array([r[k] for r in rows]) for k in (4, 5, 7, 8))
     ok = (comp[:, None] != comp[None, :]) & (own[:, None] | own[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
     return ok & (blk[:, None] != blk[None, :]) if i != j else ok
 
 
+def _each_meeting(rows: DataFrame, fn, ddl: str, schema: pa.Schema) -> DataFrame:
+    """fn of the rows of each two blocks, at most 2 * BLOCK or so. They lie side by side: most are a few rows, too many for a
+    call of their own."""
+    order = ["key", "size", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True))
+        held: list[tuple] = []
+        for _, group in groupby(every, key=lambda r: r[:4]):
+            held += fn(list(group))
+            if len(held) >= 5000:
+                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*held, strict=True)), strict=True)), schema=schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*held, strict=True)), strict=True)), schema=schema)
+
+    return rows.sortWithinPartitions(*order).mapInArrow(run, ddl)
+
+
 def _open_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components of open buckets. A first pass over blocks of signatures finds the members that any other
     could be linked to; a second one compares the full sets of these, block by block, and no pair leaves its task unless it is a link."""
-    import pandas as pd
-
     least = percent / 100 - SLACK
 
-    def active(pdf):
-        ok = _meeting(pdf, percent)
-        signatures = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(-1, MINIMA)
-        near = np.zeros(len(pdf), bool)
+    def active(group: list[tuple]) -> list[tuple]:
+        ok = _meeting(group, percent)
+        signatures = np.frombuffer(b"".join(r[9] for r in group), np.uint8).reshape(-1, MINIMA)
+        out = []
         for k in np.flatnonzero(ok.any(1)).tolist():
             at = np.flatnonzero(ok[k])
-            near[k] = any(((signatures[x] == signatures[k]).mean(1) >= least).any() for x in (at[:32], at[32:]) if len(x))
-        return pdf.loc[near, ["key", "rep", "component", "n_shingles"]]
-
-    def links(pdf):
-        ok = _meeting(pdf, percent)
-        common = _intersections([np.frombuffer(x, np.uint64) for x in pdf["items"]])
-        n, rep = pdf["n_shingles"].to_numpy(), pdf["rep"].to_numpy()
+            if any(((signatures[x] == signatures[k]).mean(1) >= least).any() for x in (at[:32], at[32:]) if len(x)):
+                out.append((group[k][0], *group[k][6:9]))
+        return out
+
+    def links(group: list[tuple]) -> list[tuple]:
+        ok = _meeting(group, percent)
+        if not ok.any():
+            return []
+        common = _intersections([np.frombuffer(r[9], np.uint64) for r in group])
+        rep, n = (np.array([r[k] for r in group]) for k in (6, 8))
         a, b = np.nonzero(np.triu(ok, 1) & (100 * common >= percent * (n[:, None] + n[None, :] - common)))
         parent: dict[int, int] = {}
 
@@ -269,12 +291,11 @@ def _open_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
             if u != v:
                 parent[max(u, v)] = min(u, v)
                 out.append((min(x, y), max(x, y)))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        return out
 
-    task = ["key", "size", "i", "j"]
-    ddl = "key long, rep long, component long, n_shingles long"
-    found, path = materialize(_blocked(rows, percent, classes.select("rep", "signature")).groupBy(*task).applyInPandas(active, ddl).distinct(), "near-active")
-    done, _ = materialize(_blocked(found, percent, sets).groupBy(*task).applyInPandas(links, "a long, b long").distinct(), "near-links")
+    names = ["key", "rep", "component", "n_shingles"]
+    found, path = materialize(_each_meeting(_blocked(rows, percent, classes.select("rep", "signature")), active, ", ".join(f"{c} long" for c in names), pa.schema([(c, pa.int64()) for c in names])).distinct(), "near-active")
+    done, _ = materialize(_each_meeting(_blocked(found, percent, sets), links, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())])).distinct(), "near-links")
     remove(rows.sparkSession, path)
     return done
 
