@@ -8,6 +8,7 @@ from sievegate.functions import scalars
 from sievegate.functions.detectors import with_detections
 from sievegate.functions.spans import at
 from sievegate.operators import analytics, inputs, masking, policy, rules, segments
+from sievegate.plans import cascade, dashboards
 from sievegate.sources import files, views
 from sievegate.streaming import limits
 
@@ -242,10 +243,10 @@ _QUERIES = [
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in [*_QUERIES, *dashboards.QUERIES, *cascade.QUERIES]}
 
 
 def oracle_sql() -> dict:
     from sievegate import oracle
 
-    return dict(oracle.SQL)
+    return oracle.SQL | dashboards.SQL | cascade.SQL

@@ -65,3 +65,63 @@ def event_list(events: DataFrame, detections: DataFrame, inputs: DataFrame, n: i
     per_event = inputs.join(ids, "event_id", "left_semi").groupBy("event_id").agg(F.count("*").alias("n_inputs"), F.count_if(~F.col("content_included")).alias("n_unavailable"))
     out = latest.withColumnRenamed("id", "event_id").join(labels, "event_id", "left").join(per_event, "event_id", "left")
     return out.select("event_id", "login_id", "action", "risk_score", "risk_level", F.coalesce("n", F.lit(0)).alias("n_detections"), "type_label", "category_label", F.coalesce("n_inputs", F.lit(0)).alias("n_inputs"), F.coalesce("n_unavailable", F.lit(0)).alias("n_unavailable"))
+
+
+def overview(events: DataFrame, users: DataFrame, inputs: DataFrame, as_of: str, days: int) -> DataFrame:
+    """One row: counts by action and risk, logins that are users, events with an input without content, the last day."""
+    seen = window(events, as_of, days)
+    bare = inputs.where(~F.col("content_included")).select(F.col("event_id").alias("id")).distinct().withColumn("bare", F.lit(True))
+    known = users.select("login_id", F.lit(True).alias("known"))
+    rows = seen.join(bare, "id", "left").join(known, "login_id", "left")
+    return rows.agg(
+        F.count("*").alias("n_events"),
+        *[F.count_if(F.col("action") == a).alias(f"n_{a.lower()}") for a in ("ALLOW", "WARN", "MASK", "BLOCK")],
+        *[F.count_if(F.col("risk_level") == x).alias(f"n_{x}") for x in ("low", "medium", "high", "critical")],
+        F.countDistinct(F.when(F.col("known"), F.col("login_id"))).alias("n_users"),
+        F.count_if("bare").alias("n_unavailable"),
+        F.max(F.to_date("created_at")).alias("last_day"),
+    )
+
+
+def action_risk_cube(events: DataFrame) -> DataFrame:
+    """Counts by action, by risk level and of all, from one aggregation over grouping sets."""
+    keys = [F.col("action"), F.col("risk_level")]
+    grouped = events.groupingSets([[keys[0]], [keys[1]], []], *keys).agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    kind = F.when(F.col("g") == 1, "action").when(F.col("g") == 2, "risk_level").otherwise("all")
+    return grouped.select(kind.alias("kind"), F.coalesce("action", "risk_level", F.lit("all")).alias("name"), "n")
+
+
+def dashboard_users(events: DataFrame, users: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """A row for each user with counts of the window; users' own last_event_at counts too."""
+    per = window(events, as_of, days).groupBy("user_id").agg(F.count("*").alias("n_events"), *[F.count_if(F.col("action") == a).alias(f"n_{a.lower()}") for a in ("BLOCK", "MASK", "WARN")], F.max("created_at").alias("_last"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_events", "n_block", "n_mask", "n_warn")]
+    return users.join(per, "user_id", "left").select("user_id", "login_id", "status", *counts, F.greatest("last_event_at", "_last").alias("last_event_at"))
+
+
+def detection_summary(detections: DataFrame) -> DataFrame:
+    return detections.groupBy("event_id", "category", "type").agg(F.sum("count").alias("n"))
+
+
+def user_detections(events: DataFrame, detections: DataFrame) -> DataFrame:
+    """Sums of counts by login and type of detection."""
+    return detections.join(events.select(F.col("id").alias("event_id"), "login_id"), "event_id").groupBy("login_id", "type").agg(F.sum("count").alias("n"))
+
+
+def unavailable_inputs(inputs: DataFrame) -> DataFrame:
+    """Inputs that an event's detail lists as unavailable: not scanned, or for a reason, or decided on missing content."""
+    return inputs.where(~F.col("content_scanned") | (F.col("decision_basis") == "content_unavailable") | F.col("content_unavailable_reason").isNotNull())
+
+
+def event_detail(event_ids: DataFrame, events: DataFrame, detections: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Events of event_ids (event_id) with nested detections and inputs, each in order."""
+    some = lambda df: df.join(event_ids, "event_id", "left_semi")
+    found = some(detections).groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("category", "type", "count"))).alias("detections"))
+    given = some(inputs).groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("input_index", "kind", "source", "decision_basis"))).alias("inputs"))
+    base = some(events.withColumnRenamed("id", "event_id")).select("event_id", "login_id", "action", "risk_score", "risk_level")
+    return base.join(found, "event_id", "left").join(given, "event_id", "left")
+
+
+def health(states: DataFrame) -> DataFrame:
+    """states (name, required, status) to one status: a required part that fails fails the whole, any other degrades it."""
+    bad = F.col("status") == "unhealthy"
+    return states.agg(F.when(F.bool_or(bad & F.col("required")), "unhealthy").when(F.bool_or(F.col("status").isin("unhealthy", "degraded")), "degraded").otherwise("healthy").alias("status"))

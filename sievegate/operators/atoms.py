@@ -14,7 +14,7 @@ from sievegate.functions.spans import spans
 # Patterns, sentence marks and source types that the results depend on.
 FENCE = r"(?s)(```|~~~).*?(?:\1|\z)"
 BLANK_LINES = r"\n[ \t\r\f\x0B]*\n+"
-LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
 MARKS = ".!?。！？"
 TABLE_SOURCES = ["csv", "table", "spreadsheet", "xls", "xlsx", "tsv"]
 MAX_CHARS = 512

@@ -20,23 +20,47 @@ def safe_reason(category: Column) -> Column:
     return F.when(up.contains("PII") | up.contains("PAYMENT"), "HIGH_RISK_PII").when(up.contains("SECRET") | up.contains("CREDENTIAL"), "SECRET_DETECTED").otherwise("UNMAPPED_RULE")
 
 
-def decide_requests(requests: DataFrame, evidence: DataFrame, mask_fallback: str = "block", empty_action: str = "allow") -> DataFrame:
-    """requests (request_id, n_inputs); evidence (request_id, ord, action, severity, reason, masking_supported).
+# Actions where no setting is stored.
+SETTINGS = {"context_classifier_action": "warn", "content_not_scanned_action": "warn", "parser_or_ocr_failure_action": "warn", "empty_input_action": "allow", "unsupported_mask_fallback_action": "block"}
 
-    The highest action wins, then the highest severity, then the first in order. A winning mask that any mask of the request
-    can't support becomes the fallback. Without evidence a request is allowed."""
+
+def decide_requests(requests: DataFrame, evidence: DataFrame, settings: dict[str, str] | None = None, context: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
+    """requests (request_id, n_inputs); evidence and failures (request_id, ord, action, severity, reason, masking_supported); context
+    (request_id, status, accepted_count, candidate_count, reason_code); settings override SETTINGS, in any case.
+
+    The highest action wins, then the highest severity, then the first in order; failures come last. A winning mask becomes the
+    fallback if any mask of the request's rules is unsupported. Where nothing or only an allowing rule won, verified context, or
+    candidates that the verifier failed on, take the context action; then an empty request its own."""
+    use = SETTINGS | {k: v.lower() for k, v in (settings or {}).items() if v}
+    columns = ["request_id", "ord", "action", "severity", "reason", "masking_supported"]
+    rules = evidence.select(*columns, F.lit(True).alias("_rule"))
+    if failures is not None:
+        rules = rules.unionByName(failures.select(*columns, F.lit(False).alias("_rule")))
     order = F.struct(rank_of(F.col("action"), POLICY_ACTIONS), rank_of(F.col("severity"), SEVERITIES), -F.col("ord"))
-    won = evidence.groupBy("request_id").agg(F.max_by(F.struct("action", "severity", "reason"), order).alias("w"), F.coalesce(F.bool_or((F.col("action") == "mask") & ~F.col("masking_supported")), F.lit(False)).alias("unsupported"))
+    unsupported = F.coalesce(F.bool_or((F.col("action") == "mask") & ~F.col("masking_supported") & F.col("_rule")), F.lit(False))
+    won = rules.groupBy("request_id").agg(F.max_by(F.struct("action", "severity", "reason"), order).alias("w"), unsupported.alias("unsupported"))
     out = requests.join(won, "request_id", "left")
+    if context is None:
+        out = out.withColumns({"c_counts": F.lit(False), "c_reason": F.lit(None).cast("string")})
+    else:
+        counts = ((F.col("status") == "verified") & (F.col("accepted_count") > 0)) | (F.col("status").isin("timeout", "failed") & (F.col("candidate_count") + F.col("accepted_count") > 0))
+        out = out.join(context.select("request_id", counts.alias("c_counts"), F.col("reason_code").alias("c_reason")), "request_id", "left").na.fill(False, ["c_counts"])
     falls = (F.col("w.action") == "mask") & F.col("unsupported")
-    none = F.col("w").isNull() | (F.col("w.action") == "allow")
-    empty = F.col("n_inputs") == 0
-    return out.select(
-        "request_id",
-        F.when(empty, empty_action).when(none, "allow").when(falls, mask_fallback).otherwise(F.col("w.action")).alias("action"),
-        F.when(empty, "EMPTY_INPUT").when(none, "NO_RISK_DETECTED").otherwise(F.col("w.reason")).alias("reason_code"),
-        F.when(empty | none, "info").when(falls, severity_for(F.lit(mask_fallback))).otherwise(F.col("w.severity")).alias("severity"),
+    nothing = F.col("w").isNull()
+    empty = nothing & (F.col("n_inputs") == 0)
+    by_context = F.col("c_counts") & ~empty & (nothing | (F.col("w.action") == "allow"))
+
+    def chosen(set_: Column, reason: Column) -> Column:
+        return F.struct(set_.alias("action"), reason.alias("reason_code"), severity_for(set_).alias("severity"))
+
+    decision = (
+        F.when(empty, chosen(F.lit(use["empty_input_action"]), F.lit("EMPTY_INPUT")))
+        .when(by_context, chosen(F.lit(use["context_classifier_action"]), F.col("c_reason")))
+        .when(nothing, chosen(F.lit("allow"), F.lit("NO_RISK_DETECTED")))
+        .when(falls, chosen(F.lit(use["unsupported_mask_fallback_action"]), F.col("w.reason")))
+        .otherwise(F.struct(F.col("w.action").alias("action"), F.col("w.reason").alias("reason_code"), F.col("w.severity").alias("severity")))
     )
+    return out.select("request_id", decision.alias("d")).select("request_id", "d.*")
 
 
 def first_of_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

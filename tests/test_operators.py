@@ -3,7 +3,7 @@ from collections import defaultdict, deque
 from pyspark.sql import functions as F
 
 from sievegate import catalog
-from sievegate.operators import policy, rules, segments
+from sievegate.operators import decision_log, evidence, policy, rules, segments
 from sievegate.streaming import limits
 
 
@@ -14,7 +14,7 @@ def test_policy_order_ties_and_fallback(spark):
         "request_id int, ord int, action string, severity string, reason string, masking_supported boolean",
     )
     got = {r.request_id: (r.action, r.reason_code, r.severity) for r in policy.decide_requests(requests, evidence).collect()}
-    assert got == {0: ("block", "B", "low"), 1: ("mask", "A", "high"), 2: ("block", "A", "high"), 3: ("warn", "A", "low"), 4: ("allow", "NO_RISK_DETECTED", "info"), 5: ("allow", "EMPTY_INPUT", "info"), 6: ("allow", "NO_RISK_DETECTED", "info")}
+    assert got == {0: ("block", "B", "low"), 1: ("mask", "A", "high"), 2: ("block", "A", "high"), 3: ("warn", "A", "low"), 4: ("allow", "A", "low"), 5: ("allow", "EMPTY_INPUT", "info"), 6: ("allow", "NO_RISK_DETECTED", "info")}
 
 
 def test_rules(spark):
@@ -61,3 +61,34 @@ def test_segments(spark):
 
 def test_oracle_names():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_policy_context_failures_and_settings(spark):
+    requests = spark.createDataFrame([(k, 0 if k == 3 else 1, ["PARSER_OR_OCR_FAILED"] if k == 1 else None, k != 4) for k in range(6)], "request_id int, n_inputs int, codes array<string>, all_scanned boolean")
+    ddl = "request_id int, ord int, action string, severity string, reason string, masking_supported boolean"
+    rules_ = spark.createDataFrame([(2, 0, "allow", "low", "A", True), (5, 0, "mask", "high", "M", True)], ddl)
+    context = spark.createDataFrame([(0, "verified", 1, 1, "C"), (2, "timeout", 0, 2, "T"), (3, "verified", 1, 1, "C"), (5, "verified", 1, 1, "C")], "request_id int, status string, accepted_count int, candidate_count int, reason_code string")
+    settings = {"context_classifier_action": "BLOCK", "empty_input_action": "WARN"}
+    out = policy.decide_requests(requests.select("request_id", "n_inputs"), rules_, settings, context, evidence.failure_rules(requests, policy.SETTINGS))
+    got = {r.request_id: (r.action, r.reason_code, r.severity) for r in out.collect()}
+    assert got == {0: ("block", "C", "high"), 1: ("warn", "PARSER_OR_OCR_FAILED", "medium"), 2: ("block", "T", "high"), 3: ("warn", "EMPTY_INPUT", "medium"), 4: ("warn", "CONTENT_NOT_SCANNED", "medium"), 5: ("mask", "M", "high")}
+
+
+def test_decision_log(spark, tmp_path):
+    events = spark.createDataFrame([(1, 7, "u", 5, "WARN", 40, "medium", None, "2024-01-02 03:04:05", "a secret")], "event_id int, user_id int, login_id string, client_request_id int, action string, risk_score int, risk_level string, context string, created_at string, text string").withColumn("created_at", F.to_timestamp("created_at"))
+    ins = spark.createDataFrame([(1, 0, "text", "composer", 10, True, True, "detection", None, "a secret")], "event_id int, input_index int, kind string, source string, size_bytes int, content_included boolean, content_scanned boolean, decision_basis string, content_unavailable_reason string, text string")
+    found = spark.createDataFrame([(1, 0, "r", "PII", "EMAIL", "s", "high", "MASK", 100, 1, "R", [3, -1], "a secret")], "event_id int, input_index int, rule_id string, category string, type string, source string, severity string, action string, confidence int, count int, reason_code string, value_lengths array<int>, text string")
+    decision_log.append(str(tmp_path), events, ins, found)
+    stored = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in ("events", "inputs", "detections", "idempotency")}
+    assert all("text" not in df.columns and df.count() == 1 for df in stored.values())
+    assert stored["detections"].first().value_lengths == [3] and stored["inputs"].first().size_bucket == "small"
+    again = events.unionByName(events.withColumns({"event_id": F.lit(2), "client_request_id": F.lit(6)}))
+    assert [r.event_id for r in decision_log.new_requests(again, stored["idempotency"]).collect()] == [2]
+
+
+def test_rule_problems_and_audit(spark):
+    df = spark.createDataFrame([("keyword", " ", None, None), ("context", None, ["a"], 2), ("regex", "a+", None, None), ("x", "a", None, None)], "kind string, pattern string, terms array<string>, least int")
+    got = [r.p for r in df.select(decision_log.rule_problems(F.col("kind"), F.col("pattern"), F.col("terms"), F.col("least")).alias("p")).collect()]
+    assert got == [["PATTERN_MISSING"], ["CONDITION_COUNT"], [], ["UNKNOWN_KIND"]]
+    a, b = (spark.createDataFrame([("default", x, y)], "key string, a string, b string") for x, y in (("W", None), ("X", "Y")))
+    assert [r.changed_fields for r in decision_log.audit(a, b, ["b", "a"]).collect()] == [["a", "b"]]
