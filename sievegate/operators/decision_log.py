@@ -36,13 +36,13 @@ def new_requests(requests: DataFrame, stored: DataFrame, keys: tuple[str, ...] =
     return first_of_key(requests, list(keys), order).join(stored.select(*keys), list(keys), "left_anti").select(*requests.columns)
 
 
-def append(base: str, events: DataFrame, inputs: DataFrame, detections: DataFrame) -> None:
-    """Appends a batch below base. Keys come first and events last: a batch that fails between writes is written again whole, and
-    readers, who join from events, see nothing of it before."""
-    rows = {"idempotency": events.select("login_id", "client_request_id", "event_id", (F.col("created_at") + F.expr("INTERVAL 24 HOURS")).alias("expires_at")), "inputs": input_rows(inputs), "detections": detection_rows(detections)}
-    for name, df in rows.items():
-        df.write.mode("append").parquet(f"{base}/{name}")
-    events.select(EVENT).withColumn("event_date", F.to_date("created_at")).write.mode("append").partitionBy("event_date").parquet(f"{base}/events")
+def append(base: str, batch: int, events: DataFrame, inputs: DataFrame, detections: DataFrame) -> None:
+    """Adds a batch below base (foreachBatch gives its number). Each table's part of a batch is a folder that a retry writes anew, and
+    keys come last: a batch that failed half way isn't taken for a repeat of itself, and no row is there twice after a retry."""
+    keys = events.select("login_id", "client_request_id", "event_id", (F.col("created_at") + F.expr("INTERVAL 24 HOURS")).alias("expires_at"))
+    dated = events.select(EVENT).withColumn("event_date", F.to_date("created_at"))
+    for name, df, by in (("inputs", input_rows(inputs), []), ("detections", detection_rows(detections), []), ("events", dated, ["event_date"]), ("idempotency", keys, [])):
+        df.write.mode("overwrite").partitionBy(*by).parquet(f"{base}/{name}/batch={batch}")
 
 
 def upsert_rules(stored: DataFrame, changes: DataFrame) -> DataFrame:
