@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from sievegate.llm import lines, near, packing, quality, suffix
 from sievegate.llm.common import documents, materialize, tuned
 
+#: Two documents of this similarity or more are near-duplicates of the pipeline; op8 has a threshold of its own.
+NEAR_PERCENT = 80
+
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in kept (null-safe)."""
@@ -30,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near.near_duplicates(docs))
+    return _only(docs, near.near_duplicates(docs, NEAR_PERCENT))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

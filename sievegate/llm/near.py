@@ -3,7 +3,7 @@
 A document's set holds the hashes of its distinct word shingles. Rows with equal sets form a class, whose smallest doc_id stands
 for it, so copies never meet one by one. Each class has the minima of MINIMA universal hashes over its set; classes that agree in
 a whole band of ROWS minima share a bucket. With 32 bands of 6, two sets at the threshold of 0.85 miss all buckets with
-probability 3e-7.
+probability 3e-7, two sets at 0.80 with 6e-5.
 
 In a bucket, every member is compared with one hub, the member that meets most others over all of its buckets; so candidates grow
 with the members, not with their square. Pairs pass a check of sizes and signatures, then of the full sets. Links become
@@ -30,8 +30,6 @@ from sievegate.llm.common import Prefix, documents, materialize, mix, partitions
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 32, 6
 MINIMA = BANDS * ROWS
-#: Signatures keep a byte of each minimum; agreement this far below the threshold is six standard deviations off.
-SLACK = 6 * (0.85 * 0.15 / MINIMA) ** 0.5
 LARGE = 64  # members of a bucket from which more hubs are tried
 HUB_ROUNDS = 4
 BLOCK = 512
@@ -42,6 +40,12 @@ _B = _RNG.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 _MULTIPLIERS = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def least_agreement(percent: int) -> float:
+    """Signatures keep a byte of each minimum; agreement below this is six standard deviations off a pair at the threshold."""
+    p = percent / 100
+    return p - 6 * (p * (1 - p) / MINIMA) ** 0.5
+
+
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the words [^\\x20\\x09-\\x0D]+ of a text, A-Z lower-cased."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -109,7 +113,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 def _similar_signatures(pairs: DataFrame, percent: int) -> DataFrame:
     """Of rows (a, b, na, nb, sa, sb), the pairs whose sizes and signatures allow a link."""
     sized = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    least = percent / 100 - SLACK
+    least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +263,7 @@ def _each_meeting(rows: DataFrame, fn, ddl: str, schema: pa.Schema) -> DataFrame
 def _open_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components of open buckets. A first pass over blocks of signatures finds the members that any other
     could be linked to; a second one compares the full sets of these, block by block, and no pair leaves its task unless it is a link."""
-    least = percent / 100 - SLACK
+    least = least_agreement(percent)
 
     def active(group: list[tuple]) -> list[tuple]:
         ok = _meeting(group, percent)
