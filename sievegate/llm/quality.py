@@ -1,28 +1,34 @@
 """Operator 6: quality rules with risk-controlled cutoffs. DataFrame and SQL functions only.
 
 Each document gets integer measures. A few base conditions reject at once. Beyond them each rule compares a ratio with a
-cutoff, and labelled documents choose the cutoffs: per stratum (the language) and rule, the strictest cutoff of a fixed grid
-whose false rejection rate is certified, by an exact binomial bound on the labelled good documents, to be at most
-``ALPHA / rules``, so that all rules together reject at most a share ``ALPHA`` of good documents. The error probability
-``DELTA`` is divided by the number of tests (strata x rules x cutoffs), so that every statement holds at once. A cutoff must
-also reject a larger share of the bad labelled documents than of the good. Where no cutoff qualifies, as in strata with few
-labels, the rule is off.
+cutoff. All cutoffs lie on one ladder, fixed beforehand, from lenient to strict: each rung tightens one rule, the others stay
+as they are, so what a rung rejects is rejected by all later ones. The rung of a document is the first that rejects it.
+
+Labelled documents choose how far each stratum (the language) goes. Rung by rung, an exact binomial bound on the good
+documents that all rules together reject tests that their share is at most ``ALPHA``; the first rung that fails ends the
+sequence. Tests in a fixed order need no correction for their number; for the number of strata ``DELTA`` is divided by it. So
+with probability 1 - DELTA no stratum loses more than a share ALPHA of its good documents. Of the certified rungs the one with
+the greatest lead of the share of bad documents rejected over that of good ones is taken, the most lenient of equals; none if
+there is no lead. The least number of good labels that certifies anything is log(DELTA / strata) / log(1 - ALPHA): 217 with four
+strata. A stratum with fewer has the base conditions alone.
 
 Nulls: a null text has no words and fails the base conditions; a null lang is the stratum ''; labels without doc_id or quality
-are ignored; a document with labels that differ counts as bad. Rows that repeat are judged alike. Without labels only the base
-conditions reject.
+are ignored; a document with labels that differ counts as bad. Rows that repeat are judged alike, ties of a ratio with a cutoff
+are kept. Without labels only the base conditions reject. An empty table gives an empty one. Very long texts are measured
+whole. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievegate.llm.common import documents, materialize
+from sievegate.llm.common import documents, materialize, remove
 
 ALPHA, DELTA = 0.02, 0.05
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: ALPHA: the share of good documents that a stratum may lose. DELTA: the probability that any stratum loses more.
 #: rule: (numerator, denominator, sign, cutoffs in thousandths); rejects where sign * (1000 * numerator - cutoff * denominator) > 0. Strictest last.
 RULES: dict[str, tuple[str, str, int, list[int]]] = {
     "symbols": ("n_symbols", "word_chars", 1, [300, 200, 150, 100, 70, 50, 30, 20]),
@@ -31,6 +37,8 @@ RULES: dict[str, tuple[str, str, int, list[int]]] = {
     "dup_lines": ("n_dup_lines", "n_lines", 1, [500, 400, 300, 250, 200, 150, 100, 50]),
     "repeats": ("n_repeat_words", "n_words", 1, [190, 170, 150, 130, 110, 90, 70, 50]),
 }
+#: (rule, cutoff) of each rung: the first cutoff of every rule, then the second of every rule, and so on.
+LADDER = [(rule, grid[k]) for k in range(8) for rule, (*_, grid) in RULES.items()]
 #: Strata up to which the table of cutoffs is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_STRATA = 10_000
 
@@ -92,45 +100,42 @@ def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k < 1, first).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long"))), start, lambda a, i: F.struct(step(a["t"], i).alias("t"), add(a["s"], step(a["t"], i)).alias("s")), lambda a: a["s"]))
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """A row per stratum: the chosen cutoff of each rule, null where it is off."""
-    import math
+def rung() -> Column:
+    """The first rung that rejects, null if none does."""
+    return F.least(*[F.when(rejects(rule, F.lit(c)), F.lit(k)) for k, (rule, c) in enumerate(LADDER)])
 
-    quality = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") >= 1).alias("good"))
-    seen = measured.where("NOT base_failed").join(quality, "doc_id")
-    tests = [(rule, c) for rule, (*_, grid) in RULES.items() for c in grid]
-    counts = seen.groupBy("stratum").agg(
-        F.count_if("good").alias("n_good"),
-        F.count_if(~F.col("good")).alias("n_bad"),
-        *[F.count_if(which & rejects(rule, F.lit(c))).alias(f"{name}_{rule}_{c}") for rule, c in tests for name, which in (("good", F.col("good")), ("bad", ~F.col("good")))],
-    )
-    rows = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.lit(RULES[rule][3].index(c)).alias("rank"), F.col(f"good_{rule}_{c}").alias("k"), F.col(f"bad_{rule}_{c}").alias("bad")) for rule, c in tests])
-    share = alpha / len(RULES)
-    long = counts.select("stratum", "n_good", "n_bad", F.count("*").over(_everything()).alias("strata"), F.explode(rows).alias("x")).select("stratum", "n_good", "n_bad", "strata", "x.*")
-    allowed = F.lit(math.log(delta) - math.log(len(tests))) - F.log(F.col("strata").cast("double"))
-    sure = (F.col("k") <= F.floor(F.col("n_good") * share)) & (log_binomial_cdf(F.when(F.col("k") <= F.floor(F.col("n_good") * share), F.col("k")).otherwise(F.lit(0).cast("long")), F.col("n_good"), share) <= allowed)
-    useful = F.col("bad") * F.col("n_good") > F.col("k") * F.col("n_bad")
-    best = long.where(sure & useful).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == rule, F.struct("rank", "cutoff")))["cutoff"].alias(f"cut_{rule}") for rule in RULES])
-    return best
 
+def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum, last (the last rung that rejects) of the strata where a rung is certified and useful; with n_good and n_bad, the
+    labels, and k and bad, how many of them are rejected. measured: doc_id, stratum, base_failed, rung."""
+    import math
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))  # over one row a stratum
+    quality = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") >= 1).alias("good"))
+    seen = measured.where("NOT base_failed").select("doc_id", "stratum", "rung").join(quality, "doc_id")
+    # a row for each stratum and rung, and their number on the driver
+    steps, path = materialize(seen.groupBy("stratum", "rung").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")), "quality-rungs")
+    strata = steps.select("stratum").distinct().count()
+    whole = Window.partitionBy("stratum")
+    so_far = whole.orderBy("rung").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.withColumns({"n_good": F.sum("g").over(whole), "n_bad": F.sum("b").over(whole)})
+    held = steps.where("rung IS NOT NULL").withColumns({"k": F.sum("g").over(so_far), "bad": F.sum("b").over(so_far)})
+    tested, _ = materialize(held.where(F.col("k") <= F.floor(F.col("n_good") * alpha)), "quality-tests")
+    remove(measured.sparkSession, path)
+    certified = tested.where(log_binomial_cdf(F.col("k"), F.col("n_good"), alpha) <= math.log(delta) - math.log(max(strata, 1)))
+    lead = certified.withColumn("lead", F.col("bad") * F.col("n_good") - F.col("k") * F.col("n_bad")).where("lead > 0")
+    return lead.groupBy("stratum").agg(F.max_by(F.struct("rung", "n_good", "n_bad", "k", "bad"), F.struct("lead", -F.col("rung"))).alias("x")).select("stratum", F.col("x.rung").alias("last"), "x.n_good", "x.n_bad", "x.k", "x.bad")
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id and the measures of each document with base_failed and kept."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), "text")
-    measured, _ = materialize(measures(rows, ["doc_id", "stratum"]), "quality")  # a few numbers a document; the texts are read once
-    chosen, _ = materialize(cutoffs(measured, labels, alpha, delta), "cutoffs")
-    if chosen.count() <= BROADCAST_STRATA:
-        chosen = F.broadcast(chosen)
-    failed = [F.coalesce(rejects(rule, F.col(f"cut_{rule}")), F.lit(False)) for rule in RULES]
-    verdict = ~F.col("base_failed")
-    for one in failed:
-        verdict = verdict & ~one
+    measured, _ = materialize(measures(rows, ["doc_id", "stratum"]).withColumn("rung", rung()), "quality")  # a few numbers a document; the texts are read once
+    chosen, path = materialize(cutoffs(measured, labels, alpha, delta).select("stratum", "last"), "cutoffs")
+    if (found := chosen.limit(BROADCAST_STRATA + 1).collect()) and len(found) <= BROADCAST_STRATA:
+        chosen = F.broadcast(spark.createDataFrame(found, chosen.schema))
+        remove(spark, path)
+    verdict = ~F.col("base_failed") & F.coalesce(F.col("rung") > F.col("last"), F.col("rung").isNull() | F.col("last").isNull())
     return measured.join(chosen, "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", verdict.alias("kept"))
 
 
@@ -140,12 +145,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdict_sql(docs: str = "documents") -> str:
     """DuckDB: the same judgement of a relation of documents, as common table expressions that end in ``judged``."""
-    tests = [(rule, k, c) for rule, (*_, grid) in RULES.items() for k, c in enumerate(grid)]
     rejected = lambda rule, c: "{s} * (1000 * {n} - {c} * {d}) > 0".format(s=RULES[rule][2], n=RULES[rule][0], d=RULES[rule][1], c=c)
-    share = ALPHA / len(RULES)
-    union = " UNION ALL ".join(f"SELECT stratum, n_good, n_bad, '{rule}' AS rule, {k} AS rank, {c} AS cutoff, good_{rule}_{c} AS k, bad_{rule}_{c} AS bad FROM tallies" for rule, k, c in tests)
-    tallies = ", ".join(f"count_if({which} AND {rejected(rule, c)}) AS {name}_{rule}_{c}" for rule, _, c in tests for name, which in (("good", "good"), ("bad", "NOT good")))
-    verdict = " AND ".join(f"NOT coalesce({rejected(rule, f'cut_{rule}')}, false)" for rule in RULES)
+    ladder = " ".join(f"WHEN {rejected(rule, c)} THEN {k}" for k, (rule, c) in enumerate(LADDER))
     return rf"""
 split AS (SELECT *, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM {docs}),
@@ -159,12 +160,16 @@ measured AS (SELECT m.*, coalesce(lang, '') AS stratum, len(w) AS n_words, lengt
     FROM marked m LEFT JOIN covered c ON m.doc_id = c.doc_id AND m.t = c.t),
 based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured),
 quality AS (SELECT doc_id, min(quality) >= 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
-tallies AS (SELECT stratum, count_if(good) AS n_good, count_if(NOT good) AS n_bad, {tallies} FROM based JOIN quality USING (doc_id) WHERE NOT base_failed GROUP BY 1),
-tests AS ({union}),
-sure AS (SELECT * FROM tests WHERE k <= floor(n_good * {share!r}) AND bad * n_good > k * n_bad
-    AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({share!r}) + (n_good - i) * ln(1 - {share!r})))) <= {DELTA!r} / {len(tests)} / (SELECT count(*) FROM tallies)),
-chosen AS (SELECT stratum, {", ".join(f"arg_max(cutoff, rank) FILTER (rule = '{rule}') AS cut_{rule}" for rule in RULES)} FROM sure GROUP BY 1),
-judged AS (SELECT based.*, NOT base_failed AND {verdict} AS kept FROM based LEFT JOIN chosen USING (stratum))"""
+placed AS (SELECT *, CASE {ladder} END AS rung FROM based),
+labelled AS (SELECT stratum, rung, good FROM placed JOIN quality USING (doc_id) WHERE NOT base_failed),
+totals AS (SELECT stratum, count_if(good) AS n_good, count_if(NOT good) AS n_bad FROM labelled GROUP BY 1),
+steps AS (SELECT DISTINCT stratum, rung FROM labelled WHERE rung IS NOT NULL),
+tests AS (SELECT t.stratum, s.rung, n_good, n_bad, count_if(good AND l.rung <= s.rung) AS k, count_if(NOT good AND l.rung <= s.rung) AS bad
+    FROM steps s JOIN totals t USING (stratum) JOIN labelled l ON l.stratum = s.stratum GROUP BY ALL),
+sure AS (SELECT *, bad * n_good - k * n_bad AS lead FROM tests WHERE bad * n_good > k * n_bad
+    AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({ALPHA!r}) + (n_good - i) * ln(1 - {ALPHA!r})))) <= {DELTA!r} / (SELECT count(*) FROM totals)),
+chosen AS (SELECT stratum, arg_max(rung, (lead, -rung)) AS last FROM sure GROUP BY 1),
+judged AS (SELECT placed.*, NOT base_failed AND coalesce(rung > last, true) AS kept FROM placed LEFT JOIN chosen USING (stratum))"""
 
 
 ORACLE = f"WITH {verdict_sql()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed, kept FROM judged"

@@ -48,3 +48,30 @@ def test_cutoffs_reject_bad_and_keep_good(spark):
 def test_main_path_is_native(spark, sf_dir):
     plan = quality.op6_quality_rules(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_first_rung_needs_enough_labels(spark):
+    """217 good labels without a rejection certify a rung for four strata, 216 do not."""
+    rows = [(f"{n}-{k}", f"s{n}-{c}", False, None) for n, c in ((216, 0), (217, 0), (216, 1), (217, 1)) for k in range(n)] + [(f"bad{s}", s, False, 3) for s in ("s216-0", "s217-0", "s216-1", "s217-1")]
+    ids = {r[0]: k for k, r in enumerate(rows)}
+    measured = spark.createDataFrame([(ids[r[0]], *r[1:]) for r in rows for _ in range(1)], "doc_id long, stratum string, base_failed boolean, rung int")
+    labels = spark.createDataFrame([(k, int(not name.startswith("bad"))) for name, k in ids.items()], "doc_id long, quality int")
+    assert {r["stratum"] for r in quality.cutoffs(measured, labels).collect()} <= {"s217-0", "s217-1"}
+    assert {r["last"] for r in quality.cutoffs(measured.where("stratum LIKE 's217%' OR stratum = 's216-0'"), labels, delta=0.0375).collect()} == {3}
+
+
+def test_guarantee_over_simulated_holdouts(spark):
+    """Each stratum is a holdout of its own of 400 good documents; rungs from 5 on truly reject more than ALPHA of them."""
+    from pyspark.sql import functions as F
+
+    holdouts, alpha, delta = 400, 0.02, 0.05
+    true = [0.002 * (k + 1) if k < 5 else 0.0202 + 0.002 * (k - 5) for k in range(12)]
+    draw = F.rand(11)
+    rung = F.coalesce(*[F.when(F.col("u") < p, F.lit(k)) for k, p in enumerate(true)])
+    good = spark.range(holdouts * 400).select(F.col("id").alias("doc_id"), (F.col("id") % holdouts).cast("string").alias("stratum"), draw.alias("u")).withColumn("rung", rung)
+    bad = spark.range(holdouts * 40).select((F.col("id") + 1_000_000).alias("doc_id"), (F.col("id") % holdouts).cast("string").alias("stratum"), (F.col("id") / holdouts % 12).cast("int").alias("rung"))
+    measured = good.drop("u").unionByName(bad).withColumn("base_failed", F.lit(False))
+    labels = measured.select("doc_id", (F.col("doc_id") < 1_000_000).cast("int").alias("quality"))
+    last = [r["last"] for r in quality.cutoffs(measured, labels, alpha, delta * holdouts).collect()]  # delta for each holdout
+    assert sum(true[k] > alpha for k in last) <= delta * holdouts
+    assert len(last) > holdouts / 2  # and yet the rules act
