@@ -51,12 +51,10 @@ def tokenizer_from_ranks(path: str, pattern: str):
 
 
 def tokenizer_from_json(path: str):
-    """A tokenizers.Tokenizer from its file; strings of special tokens in a text are ordinary text."""
+    """A tokenizers.Tokenizer from its file. A string of an added token in a text becomes that token's id, as the library does."""
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    return tok
+    return Tokenizer.from_file(path)
 
 
 def spaced_pieces(text: str) -> list[str]:
@@ -71,19 +69,42 @@ def folded_pieces(text: str) -> list[bytes]:
     return _STOP(rb" \1", text.encode("utf-8", "surrogatepass").lower()).split()
 
 
+class _Added(tuple):
+    """An added token among pieces: never equal to a piece of text."""
+
+    def __new__(cls, content: str):
+        return super().__new__(cls, (content,))
+
+
 class PieceEncoder:
-    """Encodes texts by way of their pieces into little-endian unsigned 32-bit ids."""
+    """Encodes texts by way of their pieces into little-endian unsigned 32-bit ids. Texts are cut at the tokenizer's added tokens
+    first: these are found in the raw text, before anything else happens to it, and what lies between encodes by itself."""
 
     def __init__(self, tok, pieces: Callable[[str], list], keep: int = 1_000_000, longest: int = 48):
-        self.tok, self.pieces, self.keep, self.longest, self.known = tok, pieces, keep, longest, {}
+        self.tok, self.keep, self.longest, self.known = tok, keep, longest, {}
+        tok.encode_special_tokens = True  # a piece whose case was folded may look like an added token, which it is not
+        self.cut = pieces
+        added = {t.content: k for k, t in tok.get_added_tokens_decoder().items()}
+        self.added = {k: array("I", [v]).tobytes() for k, v in added.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def pieces(self, text: str) -> list:
+        if self.at_added is None or not any(x in text for x in self.added):
+            return self.cut(text)
+        out = []
+        for k, part in enumerate(self.at_added.split(text)):
+            out += [_Added(part)] if k % 2 else self.cut(part)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         known = self.known
         cut = [self.pieces(t) if t else [] for t in texts]
         new = list(set().union(*cut).difference(known))
-        if new:
-            texts_ = [p.decode("utf-8", "surrogatepass") for p in new] if isinstance(new[0], bytes) else new
-            for p, e in zip(new, self.tok.encode_batch_fast(texts_, add_special_tokens=False), strict=True):
+        plain = [p for p in new if not isinstance(p, _Added)]
+        known.update((p, self.added[p[0]]) for p in new if isinstance(p, _Added))
+        if plain:
+            texts_ = [p.decode("utf-8", "surrogatepass") for p in plain] if isinstance(plain[0], bytes) else plain
+            for p, e in zip(plain, self.tok.encode_batch_fast(texts_, add_special_tokens=False), strict=True):
                 known[p] = array("I", e.ids).tobytes()
         out = [b"".join(map(known.__getitem__, row)) for row in cut]
         full = len(known) > self.keep

@@ -71,9 +71,9 @@ def test_token_files(spark, sf_dir):
     import numpy as np
     import public_tokenizers as P
 
-    from sievegate.llm.bpe import tokenizer_from_json
+    from tokenizers import Tokenizer
 
-    tok = tokenizer_from_json(P.path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
     def want(rows):
         out, start = [], 0

@@ -1,16 +1,17 @@
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import pytest
+from tokenizers import Tokenizer
 
-from sievegate.llm import bpe, packing
+from sievegate.llm import packing
 from tests.llm import cases
 
 
 def direct(texts):
-    tok = bpe.tokenizer_from_json(packing.default_vocabulary())
+    tok = Tokenizer.from_file(packing.default_vocabulary())
     return [np.array([*e.ids, 1], "<u4") for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -41,24 +42,43 @@ def test_odd_rows(spark):
     assert packing.pack(cases.frame(spark, [])).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
-def test_plan(counts):
-    blocks = packing.plan(counts, 64)
-    placed, fill = Counter(), {}
-    for length, rank, first, n, offset in sorted(blocks, key=lambda b: b[4]):
-        placed[length] += n
-        for k in range(n):
-            assert fill.get(first + k, 0) == offset
-            fill[first + k] = offset + length
-    assert placed == Counter(counts) and max(fill.values(), default=0) <= 64
-    ranks = sorted((b[0], b[1], b[3]) for b in blocks)
-    for (la, ra, na), (lb, rb, _) in zip(ranks, ranks[1:], strict=False):
-        assert lb != la or rb == ra + na
-    gaps = []  # one piece after the other, by best fit
-    for length in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+def test_added_tokens(spark):
+    texts = ["hello <|endoftext|> world", "<|startoftext|>", "a<|endoftext|><|endoftext|>b", "<|EndOfText|> <|endoftext |>", "Über<|startoftext|>, 's <|endoftext|>."]
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
+    check(packing.pack(cases.frame(spark, rows)).collect(), [r[:2] for r in rows])
+
+
+def best_fit(lengths, capacity):
+    gaps = []  # one piece after the other
+    for length in sorted(lengths, reverse=True):
         fits = [g for g in gaps if g >= length]
         if fits:
             gaps.remove(min(fits))
-        gaps.append((min(fits) if fits else 64) - length)
-    assert len(fill) <= 1.1 * len(gaps) + 1
+        gaps.append((min(fits) if fits else capacity) - length)
+    return len(gaps)
+
+
+@pytest.mark.parametrize(("low", "high", "n"), [(1, 64, 900), (1, 6, 2000), (20, 40, 500), (1, 1, 70)])
+def test_rounds(spark, monkeypatch, low, high, n):
+    """Rounds over several ranges give what rounds over a single one give, and hardly more sequences than best fit one by one."""
+    rng = random.Random(n)
+    rows = [(k, rng.randint(low, high)) for k in range(n)]
+    df = spark.createDataFrame(rows, "pid long, length int")
+    found = {}
+    for width in (1, 7):
+        monkeypatch.setattr(packing, "ROWS_OF_RANGE", 10**9 if width == 1 else n // 7 + 1)
+        got = packing.place(df, 64).collect()
+        assert sorted(r.pid for r in got) == [r[0] for r in rows]
+        fill = Counter()
+        for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == fill[r.sequence_id]
+            fill[r.sequence_id] += rows[r.pid][1]
+        assert max(fill.values()) <= 64
+        found[width] = sorted((r.pid, r.sequence_id, r.offset) for r in got)
+        assert len(fill) <= 1.1 * best_fit([x for _, x in rows], 64) + 1
+    assert found[1] == found[7]
+
+
+def test_carried_totals():
+    totals = [{"part": 0, "gaps": 5, "pieces": 2}, {"part": 1, "gaps": 1, "pieces": 3}, {"part": 2, "gaps": 0, "pieces": 9}]
+    assert packing._carried(totals) == [(1, 0, 0, 4, 3, 0), (2, 0, 1, 0, 1, 3), (2, 1, 0, 1, 2, 4)]
