@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,18 +23,22 @@ CONF = {
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Sets what bounds the memory of Python workers and the disk of shuffles."""
+    """Sets what bounds the memory of Python workers and the disk of shuffles, where the session does not set it itself."""
+    given = dict(spark.sparkContext.getConf().getAll())
     for key, value in CONF.items():
-        with contextlib.suppress(Exception):  # a Spark version without the key
+        if key not in given:
             spark.conf.set(key, value)
     return spark
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset it is a temporary one in local mode,
+    as in tests, and an error on a cluster, whose executors would write to disks of their own."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="sievegate-"))
     return _OWN[0]
@@ -75,6 +78,22 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return (a["text_key"] == b["text_key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
+#: Keys of more than a share 1 / HOT of all rows are hot; there are fewer than HOT of them, whatever the table holds.
+HOT = 256
+
+
+def join_counted(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a written table small of a row a key, of which _n counts the rows of the key. Hot keys are looked up in a
+    broadcast of fewer than HOT rows, so that no task reads a hot group; the others meet in a shuffle."""
+    total = small.agg(F.sum("_n")).first()[0] or 0
+    is_hot = F.col("_n") * HOT > total
+    hot, cold = small.where(is_hot), small.where(~is_hot).hint("merge")
+    if how == "left_semi":
+        hot, cold = hot.select(key), cold.select(key)
+    spread = rows.join(F.broadcast(hot.select(F.col(key))), key, "left_anti")
+    return rows.join(F.broadcast(hot), key, how).unionByName(spread.join(cold, key, how))
+
+
 def partitions(spark: SparkSession) -> int:
     """Exchange width: what the session asks for, and never less than its cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
