@@ -82,16 +82,17 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
 HOT = 256
 
 
-def join_counted(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined with a written table small of a row a key, of which _n counts the rows of the key. Hot keys are looked up in a
-    broadcast of fewer than HOT rows, so that no task reads a hot group; the others meet in a shuffle."""
+def join_counted(rows: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined (inner, left or left_semi) with a written table small of a row a key, of which _n counts the rows of the key. Hot
+    keys are looked up in a broadcast of fewer than HOT rows, so that no task reads a hot group; the others meet in a shuffle.
+    Keys are not null."""
+    keys = [key] if isinstance(key, str) else key
     total = small.agg(F.sum("_n")).first()[0] or 0
     is_hot = F.col("_n") * HOT > total
-    hot, cold = small.where(is_hot), small.where(~is_hot).hint("merge")
-    if how == "left_semi":
-        hot, cold = hot.select(key), cold.select(key)
-    spread = rows.join(F.broadcast(hot.select(F.col(key))), key, "left_anti")
-    return rows.join(F.broadcast(hot), key, how).unionByName(spread.join(cold, key, how))
+    hot, cold = small.where(is_hot), small.where(~is_hot)
+    spread = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    out = rows.join(F.broadcast(hot), keys, "inner" if how == "left" else how)
+    return out.unionByName(spread.join(cold.hint("merge"), keys, how))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,20 +1,25 @@
-"""Operator 10: removal of repeated byte strings, by distributed prefix doubling over a sparse set of positions.
+"""Operator 10: removal of repeated byte strings, by distributed prefix doubling over the positions that a prefilter leaves.
 
-Every byte covered by a string of LENGTH bytes that also starts elsewhere goes, in all of its places. Plain prefix doubling ranks
-every byte position in each round; here positions travel in groups, so that the rows are a small share of the bytes:
+Every byte covered by a string of LENGTH bytes that also starts elsewhere goes, in all of its places.
+
+``doubling`` is prefix doubling: positions carry the rank of the string of k bytes that starts there; Spark sorts the distinct
+pairs of the ranks at i and at i + k, which gives the ranks of the strings of 2 k bytes; positions of unique pairs are dropped;
+k doubles from FIRST until it reaches the threshold of LENGTH. It would do alone, but takes rows for each byte of the corpus (the
+README has figures). So two rounds over groups of positions go before it and decide most of them:
 
 * Of each window of LENGTH bytes the least hashed gram of GRAM bytes is its anchor. Equal windows have equal anchors at equal
   places, so windows that start next to each other and share an anchor form a group, in which equal windows meet.
-* Each round gives every group two ranks, by a Spark sort on the pair: one of its core, the bytes that all of its windows
-  contain, and one of its whole extent. A group whose core is unique holds unique windows only and is dropped. A group whose
-  extent is found twice is repeated as a whole. All others are split, so that cores grow (the gram of GRAM bytes, then at least
-  LENGTH - STEP + 1, then LENGTH) and are ranked anew, until they are unique or have reached the threshold.
-* Of groups with equal extents one goes on into the next round, as a partner for those that are still open.
+* A group whose core, the bytes that all of its windows contain, is unique holds unique windows only and is dropped. Groups of
+  equal extent are repeated as a whole, and one of them goes on, as a partner for those that are still open.
+* Open groups are cut into groups of STEP windows, whose cores are longer, and looked at again. The windows of those still open
+  are ranked by prefix doubling.
 
+Cores and extents are counted by partial sums; hot ones are looked up in a small broadcast, so that no task reads a hot group.
 The spans found are merged for each document; only then are the texts read again.
 
 Defined results: null and short texts have no windows and stay as they are. Rows that repeat both doc_id and text are two
-places of their text, as other copies are. A null doc_id is a doc_id like any other. Other columns are ignored.
+places of their text, as other copies are. A null doc_id is a doc_id like any other. An empty table gives an empty one. Very long
+texts are looked at in pieces, whole. Other columns are ignored, or stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegate.llm.common import Prefix, documents, keyed, materialize, mix, remove, same_row, tuned
+from sievegate.llm.common import Prefix, documents, join_counted, keyed, materialize, mix, partitions, remove, same_row, tuned
 
-LENGTH, GRAM, STEP = 200, 48, 16
+LENGTH, GRAM, STEP, FIRST = 200, 48, 16, 25
 PIECE = 1 << 18  # windows looked at at once; the groups they form end there
 _PLACE = (1 << 20) - 1
 _C1, _C2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -98,8 +103,8 @@ def _first_round(docs: DataFrame) -> DataFrame:
 
 
 def _second_round(docs: DataFrame) -> DataFrame:
-    """Groups of STEP windows of rows with an array of open anchors; windows holds the ranks of the single windows."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("core", pa.int64()), ("extent", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("windows", pa.list_(pa.int64()))])
+    """Groups of STEP windows of rows with an array of open anchors."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("core", pa.int64()), ("extent", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,45 +117,91 @@ def _second_round(docs: DataFrame) -> DataFrame:
                     end = a - block * STEP
                     core = _tagged(prefix.spans(end, end - STEP + 1 + LENGTH), block, block)
                     extent = _tagged(prefix.spans(lo, hi + LENGTH), a - lo, a - hi)
-                    n = hi - lo + 1
-                    offsets = np.concatenate([[0], np.cumsum(n)])
-                    single = np.repeat(lo - offsets[:-1], n) + np.arange(offsets[-1])
-                    ranks = prefix.spans(single, single + LENGTH).view(np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ranks))
-                    back = max(0, start)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(n), pa.int64()), pa.array(np.full(len(n), key)), pa.array(core), pa.array(extent), pa.array(lo + back), pa.array(hi + back), lists], schema=schema)
+                    n, back = len(lo), max(0, start)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, key)), pa.array(core), pa.array(extent), pa.array(lo + back), pa.array(hi + back)], schema=schema)
+
+    return docs.mapInArrow(run, "doc_id long, text_key long, core long, extent long, lo long, hi long")
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, core long, extent long, lo long, hi long, windows array<long>")
 
+def _positions(docs: DataFrame, length: int, first: int) -> DataFrame:
+    """row (unique), doc_id, text_key, at, one, two: the names (hashes) of the first bytes at every place that a window of rows with ranges
+    (lo, hi) of window starts can need a rank of; two is 0. Without ranges, of every place."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("at", pa.int64()), ("one", pa.int64())])
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """Drops groups of unique cores; adds whole (the extent is repeated) and open (goes into the next round)."""
-    core, pair = Window.partitionBy("core"), Window.partitionBy("core", "extent")
-    counted = rows.withColumns({"_n": F.count("*").over(core), "_same": F.count("*").over(pair), "_k": F.row_number().over(pair.orderBy("doc_id", "lo"))})
-    kept = counted.where("_n > 1")
-    return kept.withColumns({"whole": F.col("_same") > 1, "open": (F.col("_same") < F.col("_n")) & (F.col("_k") == 1)}).drop("_n", "_same", "_k")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, key, text, ranges, row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                data = as_bytes(text)
+                whole = [{"lo": 0, "hi": len(data) - length}] if len(data) >= length else []
+                for lo, hi in merged(whole if ranges is None else sorted(ranges, key=lambda r: r["lo"]), length - first + 1):
+                    for at in range(lo, hi, PIECE):
+                        end = min(hi, at + PIECE)
+                        names = Prefix(data[at : end + first - 1]).grams(first)
+                        n = len(names)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row)), pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, key)), pa.array(np.arange(at, at + n)), pa.array(names.view(np.int64))], schema=schema)
+
+    return docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "row long, doc_id long, text_key long, at long, one long").withColumn("two", F.lit(0).cast("long"))
+
+
+def doubling(docs: DataFrame, length: int = LENGTH, first: int = FIRST) -> tuple[DataFrame, str]:
+    """doc_id, text_key, at of the windows of length bytes that start elsewhere too, by prefix doubling, and the folder they are in.
+    docs: doc_id, text_key, text, ranges (array of (lo, hi), the window starts looked at; null: all). length is first times a
+    power of two."""
+    spark = docs.sparkSession
+    rows, path = materialize(_positions(docs.select("doc_id", "text_key", "text", "ranges"), length, first), "suffix-positions")
+    k = first
+    while True:
+        pairs = rows.groupBy("one", "two").agg(F.count("*").alias("_n")).where("_n > 1")
+        ordered = pairs.repartitionByRange(partitions(spark), "one", "two").sortWithinPartitions("one", "two")
+        ranks, ranks_path = materialize(ordered.withColumn("rank", F.monotonically_increasing_id()), "suffix-ranks")  # in the order of the pairs
+        ranked, ranked_path = materialize(join_counted(rows, ranks, ["one", "two"]).select("row", "doc_id", "text_key", "at", "rank"), "suffix-ranked")
+        remove(spark, path, ranks_path)
+        if k == length:
+            return ranked, ranked_path
+        ahead = ranked.select("row", (F.col("at") - k).alias("at"), F.col("rank").alias("two"))
+        rows, path = materialize(ranked.join(ahead, ["row", "at"]).select("row", "doc_id", "text_key", "at", F.col("rank").alias("one"), "two"), "suffix-pairs")
+        remove(spark, ranked_path)
+        k *= 2
+
+
+def _sifted(rows: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """Drops groups of unique cores; adds whole (the extent is repeated) and open (goes on: one of each extent)."""
+    spark = rows.sparkSession
+    cores, cores_path = materialize(rows.groupBy("core").agg(F.count("*").alias("_n")).where("_n > 1"), "suffix-cores")
+    kept, kept_path = materialize(join_counted(rows, cores, "core", "left_semi").drop("core"), "suffix-kept")
+    remove(spark, path, cores_path)
+    place = F.struct("doc_id", "text_key", "lo")
+    extents, extents_path = materialize(kept.groupBy("extent").agg(F.count("*").alias("_n"), F.min(place).alias("first")).where("_n > 1"), "suffix-extents")
+    whole = F.col("first").isNotNull()
+    out, out_path = materialize(join_counted(kept, extents, "extent", "left").select(*[c for c in kept.columns if c != "extent"], whole.alias("whole"), (~whole | place.eqNullSafe(F.col("first"))).alias("open")), "suffix-sifted")
+    remove(spark, kept_path, extents_path)
+    return out, out_path
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, spans (array of (lo, hi), first bytes of windows that start elsewhere too) of rows of keyed()."""
-    tuned(docs.sparkSession)
-    one, one_path = materialize(_ranked(_first_round(docs)).drop("core", "extent"), "suffix-one")
-    open_ = one.where("open").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("anchors"))
-    texts = docs.join(open_, same_row(docs, open_)).select(docs["doc_id"], docs["text_key"], docs["text"], open_["anchors"])
-    two, two_path = materialize(_ranked(_second_round(texts)).drop("core", "extent"), "suffix-two")
-    single = two.where("open").select("doc_id", "text_key", F.posexplode("windows").alias("k", "rank"), "lo").select("doc_id", "text_key", (F.col("lo") + F.col("k")).alias("lo"), "rank")
-    last = single.withColumn("_n", F.count("*").over(Window.partitionBy("rank"))).where("_n > 1").select("doc_id", "text_key", "lo", F.col("lo").alias("hi"))
-    whole = [x.where("whole").select("doc_id", "text_key", "lo", "hi") for x in (one, two)]
-    spans, _ = materialize(whole[0].unionByName(whole[1]).unionByName(last).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")), "suffix-spans")
-    remove(docs.sparkSession, one_path, two_path)
+    spark = tuned(docs.sparkSession)
+
+    def with_open(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        found = rows.where("open").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(*columns)).alias(name)).hint("merge")
+        return docs.join(found, same_row(docs, found)).select(docs["doc_id"], docs["text_key"], docs["text"], found[name])
+
+    one, one_path = _sifted(*materialize(_first_round(docs), "suffix-groups"))
+    two, two_path = _sifted(*materialize(_second_round(with_open(one, "anchors", "a", "lo", "hi")), "suffix-groups"))
+    last, last_path = doubling(with_open(two, "ranges", "lo", "hi"))
+    spans = last.select("doc_id", "text_key", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    for x in (one, two):
+        spans = spans.unionByName(x.where("whole").select("doc_id", "text_key", "lo", "hi"))
+    spans, _ = materialize(spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "suffix-spans")
+    remove(spark, one_path, two_path, last_path)
     return spans.hint("merge")  # it grows with the corpus: never broadcast
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs of removed bytes, half-open."""
+def merged(spans: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
+    """Maximal runs of the bytes of windows of length bytes, half-open. spans: first and last starts, sorted."""
     out: list[tuple[int, int]] = []
     for x in spans if spans is not None else []:
-        lo, hi = x["lo"], x["hi"] + LENGTH
+        lo, hi = x["lo"], x["hi"] + length
         if out and lo <= out[-1][1]:
             if hi > out[-1][1]:
                 out[-1] = out[-1][0], hi

@@ -51,3 +51,26 @@ def test_texts_keep_other_columns(spark):
     assert suffix.without_repeats(cases.frame(spark, [])).count() == 0
     copies = [(k, "many words that repeat " * 20, None, None, None) for k in range(2)] + [(2, "é" * 30, None, None, None)]
     assert sorted(r["text"] for r in suffix.without_repeats(cases.frame(spark, copies)).collect()) == ["", "", "é" * 30]
+
+
+def test_prefix_doubling_of_every_position(spark):
+    """Without the prefilter: every position takes part."""
+    from pyspark.sql import functions as F
+
+    from sievegate.llm.common import keyed
+
+    data = cases.rows(7, 30)
+    docs = keyed(cases.frame(spark, data)).withColumn("ranges", F.lit(None).cast("array<struct<lo:long,hi:long>>"))
+    for length, first in ((200, 25), (64, 1), (16, 16)):
+        got, _ = suffix.doubling(docs, length, first)
+        texts = [(r[0], (r[1] or "").encode()) for r in data]
+        seen = Counter(d[k : k + length] for _, d in texts for k in range(len(d) - length + 1))
+        want = Counter((doc_id, k) for doc_id, d in texts for k in range(len(d) - length + 1) if seen[d[k : k + length]] > 1)
+        assert Counter((r["doc_id"], r["at"]) for r in got.collect()) == want
+
+
+def test_hot_passage(spark):
+    """One passage in most texts, with other surroundings in each, and a text that is one byte over and over."""
+    passage = " ".join(f"shared{k}" for k in range(60))
+    data = [(k, f"{'abcdefgh'[k % 8] * (k % 90)} {k} {passage} {k * 7} end", None, None, None) for k in range(300)] + [(300, "z" * 1500, None, None, None)]
+    assert result(suffix.removal(cases.frame(spark, data))) == brute([r[:2] for r in data])
