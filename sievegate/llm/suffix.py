@@ -5,14 +5,14 @@ Every byte covered by a string of LENGTH bytes that also starts elsewhere goes,
 ``doubling`` is prefix doubling: positions carry the rank of the string of k bytes that starts there; Spark sorts the distinct
 pairs of the ranks at i and at i + k, which gives the ranks of the strings of 2 k bytes; positions of unique pairs are dropped;
 k doubles from FIRST until it reaches the threshold of LENGTH. It would do alone, but takes rows for each byte of the corpus (the
-README has figures). So two rounds over groups of positions go before it and decide most of them:
+README has figures). So rounds over groups of positions go before it and decide most of them:
 
 * Of each window of LENGTH bytes the least hashed gram of GRAM bytes is its anchor. Equal windows have equal anchors at equal
   places, so windows that start next to each other and share an anchor form a group, in which equal windows meet.
 * A group whose core, the bytes that all of its windows contain, is unique holds unique windows only and is dropped. Groups of
   equal extent are repeated as a whole, and one of them goes on, as a partner for those that are still open.
-* Open groups are cut into groups of STEP windows, whose cores are longer, and looked at again. The windows of those still open
-  are ranked by prefix doubling.
+* Open groups are cut into groups of 16 windows, then of 4, whose cores are longer, and looked at again. The windows of those
+  still open are ranked by prefix doubling.
 
 Cores and extents are counted by partial sums; hot ones are looked up in a small broadcast, so that no task reads a hot group.
 The spans found are merged for each document; only then are the texts read again.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sievegate.llm.common import Prefix, documents, join_counted, keyed, materialize, mix, partitions, remove, same_row, tuned
 
-LENGTH, GRAM, STEP, FIRST = 200, 48, 16, 25
+LENGTH, GRAM, STEPS, FIRST = 200, 48, (16, 4), 50
 PIECE = 1 << 18  # windows looked at at once; the groups they form end there
 _PLACE = (1 << 20) - 1
 _C1, _C2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -71,15 +71,15 @@ def groups(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         yield grams[a].view(np.int64), _tagged(prefix.spans(first, last + LENGTH), a - first, a - last), a + at, first + at, last + at
 
 
-def _parts(anchors: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The groups of STEP windows at most, by distance to the anchor: anchor, block, first and last window."""
+def _parts(anchors: list[dict], step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The groups of step windows at most, by distance to the anchor: anchor, block, first and last window."""
     a, lo, hi = (np.array([x[k] for x in anchors], np.int64) for k in ("a", "lo", "hi"))
-    low, high = (a - hi) // STEP, (a - lo) // STEP
+    low, high = (a - hi) // step, (a - lo) // step
     n = high - low + 1
     which = np.repeat(np.arange(len(a)), n)
     block = low[which] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     a = a[which]
-    return a, block, np.maximum(lo[which], a - block * STEP - STEP + 1), np.minimum(hi[which], a - block * STEP)
+    return a, block, np.maximum(lo[which], a - block * step - step + 1), np.minimum(hi[which], a - block * step)
 
 
 def _first_round(docs: DataFrame) -> DataFrame:
@@ -102,43 +102,56 @@ def _first_round(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, core long, extent long, a long, lo long, hi long")
 
 
-def _second_round(docs: DataFrame) -> DataFrame:
-    """Groups of STEP windows of rows with an array of open anchors."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("core", pa.int64()), ("extent", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+def _next_round(docs: DataFrame, step: int) -> DataFrame:
+    """Groups of step windows of rows with an array of open anchors."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("core", pa.int64()), ("extent", pa.int64()), ("a", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, key, text, anchors in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 for at in range(0, len(anchors), 4096):
-                    a, block, lo, hi = _parts(anchors[at : at + 4096])
-                    start = int(min(lo.min(), (a - block * STEP - STEP + 1).min()))
+                    a, block, lo, hi = _parts(anchors[at : at + 4096], step)
+                    start = int(min(lo.min(), (a - block * step - step + 1).min()))
                     prefix = Prefix(as_bytes(text)[max(0, start) : int(hi.max()) + LENGTH])
                     a, lo, hi = a - max(0, start), lo - max(0, start), hi - max(0, start)
-                    end = a - block * STEP
-                    core = _tagged(prefix.spans(end, end - STEP + 1 + LENGTH), block, block)
+                    end = a - block * step
+                    core = _tagged(prefix.spans(end, end - step + 1 + LENGTH), block, block)
                     extent = _tagged(prefix.spans(lo, hi + LENGTH), a - lo, a - hi)
                     n, back = len(lo), max(0, start)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, key)), pa.array(core), pa.array(extent), pa.array(lo + back), pa.array(hi + back)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, key)), pa.array(core), pa.array(extent), pa.array(a + back), pa.array(lo + back), pa.array(hi + back)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, core long, extent long, lo long, hi long")
+    return docs.mapInArrow(run, "doc_id long, text_key long, core long, extent long, a long, lo long, hi long")
 
 
 def _positions(docs: DataFrame, length: int, first: int) -> DataFrame:
-    """row (unique), doc_id, text_key, at, one, two: the names (hashes) of the first bytes at every place that a window of rows with ranges
-    (lo, hi) of window starts can need a rank of; two is 0. Without ranges, of every place."""
+    """row (unique), doc_id, text_key, at, one, two: the names (hashes) of the first bytes at every place that a window of rows with
+    ranges (lo, hi) of window starts needs a rank of: its start and each first bytes on. Without ranges, of every place. two is 0."""
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("at", pa.int64()), ("one", pa.int64())])
 
+    def together(held: list[tuple]) -> pa.RecordBatch:
+        n = [len(x[4]) for x in held]
+        which = pa.array(np.repeat(np.arange(len(held)), n))
+        row, doc_id, key = (pa.array([x[k] for x in held], pa.int64()).take(which) for k in range(3))
+        at = np.concatenate([np.arange(x[3], x[3] + len(x[4])) for x in held])
+        return pa.RecordBatch.from_arrays([row, doc_id, key, pa.array(at), pa.array(np.concatenate([x[4] for x in held]).view(np.int64))], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for doc_id, key, text, ranges, row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 data = as_bytes(text)
-                whole = [{"lo": 0, "hi": len(data) - length}] if len(data) >= length else []
-                for lo, hi in merged(whole if ranges is None else sorted(ranges, key=lambda r: r["lo"]), length - first + 1):
+                last = len(data) - length
+                starts = merged([{"lo": 0, "hi": last}] * (last >= 0) if ranges is None else sorted(ranges, key=lambda r: r["lo"]), 1)
+                places = merged([{"lo": lo + k, "hi": hi - 1 + k} for k in range(0, length, first) for lo, hi in starts], 1, in_order=False)
+                for lo, hi in places:
                     for at in range(lo, hi, PIECE):
-                        end = min(hi, at + PIECE)
-                        names = Prefix(data[at : end + first - 1]).grams(first)
-                        n = len(names)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row)), pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, key)), pa.array(np.arange(at, at + n)), pa.array(names.view(np.int64))], schema=schema)
+                        held.append((row, doc_id, key, at, Prefix(data[at : min(hi, at + PIECE) + first - 1]).grams(first)))
+                        size += len(held[-1][4])
+                        if size > 50_000:
+                            yield together(held)
+                            held, size = [], 0
+        if held:
+            yield together(held)
 
     return docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "row long, doc_id long, text_key long, at long, one long").withColumn("two", F.lit(0).cast("long"))
 
@@ -186,21 +199,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         found = rows.where("open").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(*columns)).alias(name)).hint("merge")
         return docs.join(found, same_row(docs, found)).select(docs["doc_id"], docs["text_key"], docs["text"], found[name])
 
-    one, one_path = _sifted(*materialize(_first_round(docs), "suffix-groups"))
-    two, two_path = _sifted(*materialize(_second_round(with_open(one, "anchors", "a", "lo", "hi")), "suffix-groups"))
-    last, last_path = doubling(with_open(two, "ranges", "lo", "hi"))
+    sifted = [_sifted(*materialize(_first_round(docs), "suffix-groups"))]
+    for step in STEPS:
+        sifted.append(_sifted(*materialize(_next_round(with_open(sifted[-1][0], "anchors", "a", "lo", "hi"), step), "suffix-groups")))
+    last, last_path = doubling(with_open(sifted[-1][0], "ranges", "lo", "hi"))
     spans = last.select("doc_id", "text_key", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    for x in (one, two):
+    for x, _ in sifted:
         spans = spans.unionByName(x.where("whole").select("doc_id", "text_key", "lo", "hi"))
     spans, _ = materialize(spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "suffix-spans")
-    remove(spark, one_path, two_path, last_path)
+    remove(spark, last_path, *[path for _, path in sifted])
     return spans.hint("merge")  # it grows with the corpus: never broadcast
 
 
-def merged(spans: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
-    """Maximal runs of the bytes of windows of length bytes, half-open. spans: first and last starts, sorted."""
+def merged(spans: list[dict] | None, length: int = LENGTH, in_order: bool = True) -> list[tuple[int, int]]:
+    """Maximal runs of the bytes of windows of length bytes, half-open. spans: first and last starts, sorted if in_order."""
     out: list[tuple[int, int]] = []
-    for x in spans if spans is not None else []:
+    for x in (spans if in_order else sorted(spans, key=lambda x: x["lo"])) if spans is not None else []:
         lo, hi = x["lo"], x["hi"] + length
         if out and lo <= out[-1][1]:
             if hi > out[-1][1]:
