@@ -78,21 +78,23 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return (a["text_key"] == b["text_key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
-#: Keys of more than a share 1 / HOT of all rows are hot; there are fewer than HOT of them, whatever the table holds.
-HOT = 256
+#: Keys of more than a share 1 / HOT of all rows are hot; there are fewer than HOT of them, whatever the table holds. The rows of
+#: a hot key are dealt over SPREAD parts.
+HOT, SPREAD = 256, 64
 
 
 def join_counted(rows: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """rows joined (inner, left or left_semi) with a written table small of a row a key, of which _n counts the rows of the key. Hot
-    keys are looked up in a broadcast of fewer than HOT rows, so that no task reads a hot group; the others meet in a shuffle.
-    Keys are not null."""
+    keys are salted: their row of small is repeated for each part, so that no task reads a hot group. Keys are not null."""
     keys = [key] if isinstance(key, str) else key
     total = small.agg(F.sum("_n")).first()[0] or 0
-    is_hot = F.col("_n") * HOT > total
-    hot, cold = small.where(is_hot), small.where(~is_hot)
-    spread = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    out = rows.join(F.broadcast(hot), keys, "inner" if how == "left" else how)
-    return out.unionByName(spread.join(cold.hint("merge"), keys, how))
+    hashed = F.xxhash64(*keys)
+    hot = [r[0] for r in small.where(F.col("_n") * HOT > total).select(hashed).collect()]  # fewer than HOT
+    if not hot:
+        return rows.join(small.hint("merge"), keys, how)
+    part = F.when(hashed.isin(hot), F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))).otherwise(0).cast("int")
+    parts = F.explode(F.when(hashed.isin(hot), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
+    return rows.withColumn("_part", part).join(small.withColumn("_part", parts).hint("merge"), [*keys, "_part"], how).drop("_part")
 
 
 def partitions(spark: SparkSession) -> int:

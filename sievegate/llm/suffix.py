@@ -14,7 +14,7 @@ README has figures). So rounds over groups of positions go before it and decide
 * Open groups are cut into groups of 16 windows, then of 4, whose cores are longer, and looked at again. The windows of those
   still open are ranked by prefix doubling.
 
-Cores and extents are counted by partial sums; hot ones are looked up in a small broadcast, so that no task reads a hot group.
+Cores and extents are counted by partial sums; the rows of hot ones are dealt over tasks, so that none reads a hot group.
 The spans found are merged for each document; only then are the texts read again.
 
 Defined results: null and short texts have no windows and stay as they are. Rows that repeat both doc_id and text are two
