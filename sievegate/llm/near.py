@@ -12,7 +12,8 @@ with further hubs, then all in blocks, for pairs between different components th
 
 Defined results: a text without words, or a null one, has an empty set and no link. Rows that repeat a doc_id
 are judged each by its own text. A row without doc_id has no link; its component_id is null and it is kept. Of equal sets the
-smallest doc_id is kept. Other columns are ignored.
+smallest doc_id is kept. An empty table gives an empty one. Very long texts are read whole; blocks hold a bounded number of hashes.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,17 +23,17 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegate.llm.common import Prefix, documents, materialize, mix, partitions, remove, tuned
+from sievegate.llm.common import Prefix, documents, join_counted, materialize, mix, partitions, remove, tuned
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 32, 6
 MINIMA = BANDS * ROWS
 LARGE = 64  # members of a bucket from which more hubs are tried
 HUB_ROUNDS = 4
-BLOCK = 512
+BLOCK, BLOCK_ITEMS = 512, 1 << 20  # sets and hashes of sets in a block, on average
 
 _RNG = np.random.Generator(np.random.PCG64(8_191))
 _A = _RNG.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,8 +193,11 @@ def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members (key, rep, n_shingles, c, hub) of buckets that hold more than one component, with their component."""
     comp = components(links)
     with_comp = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    some = with_comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    return materialize(with_comp.join(some, "key", "left_semi"), "near-open")[0]
+    with_comp, path = materialize(with_comp, "near-components")
+    some, some_path = materialize(with_comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("_n")).where("lo != hi").select("key", "_n"), "near-some")
+    out, _ = materialize(join_counted(with_comp, some, "key", "left_semi"), "near-open")
+    remove(members.sparkSession, path, some_path)
+    return out
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -224,10 +228,11 @@ def _blocked(rows: DataFrame, percent: int, payload: DataFrame) -> DataFrame:
     size = F.floor(F.log(F.col("n_shingles").cast("double")) / step + 1e-9).cast("int")
     sides = F.explode(F.array(F.struct(size.alias("size"), F.lit(True).alias("own")), F.struct((size + 1).alias("size"), F.lit(False).alias("own"))))
     sized = rows.select("key", "rep", "component", "n_shingles", sides.alias("x")).select("key", "rep", "component", "n_shingles", "x.*")
-    group = Window.partitionBy("key", "size")
-    met = sized.withColumns({"m": F.count("*").over(group), "owners": F.count_if("own").over(group), "lo": F.min("component").over(group), "hi": F.max("component").over(group)})
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    cut = met.where("m > 1 AND owners > 0 AND lo != hi").withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    stats = sized.groupBy("key", "size").agg(F.count("*").alias("m"), F.count_if("own").alias("owners"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n_shingles").alias("items"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int")
+    stats, _ = materialize(stats.where("m > 1 AND owners > 0 AND lo != hi").select("key", "size", F.col("m").alias("_n"), blocks.alias("blocks")), "near-sizes")
+    met = join_counted(sized, stats, ["key", "size"])
+    cut = met.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = cut.select("key", "size", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "own", "rep", "component", "n_shingles").join(payload, "rep")
     met = met.select("key", "size", "i", "j", "blk", "own", "rep", "component", "n_shingles", payload.columns[-1])
     return met.repartition(partitions(rows.sparkSession), "key", "size", "i", "j")  # few bytes, much work: not to be coalesced
@@ -312,14 +317,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     banded, banded_path = materialize(grouped.select("d1", "d2", "rep", "x.*"), "near-banded")
     rows, _ = materialize(sketched.select("doc_id", "n_shingles", "d1", "d2"), "near-rows")
     remove(spark, sketched_path)
-    exploded = banded.select("rep", "n_shingles", F.explode("bands").alias("key")).withColumn("c", F.count("*").over(Window.partitionBy("key")))
-    shared, shared_path = materialize(exploded.where("c > 1"), "near-buckets")
+    exploded = banded.select("rep", "n_shingles", F.explode("bands").alias("key"))
+    sizes, sizes_path = materialize(exploded.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "near-sizes")
+    shared, shared_path = materialize(join_counted(exploded, sizes, "key").withColumnRenamed("_n", "c"), "near-buckets")
     classes, _ = materialize(banded.drop("bands"), "near-classes")
-    remove(spark, banded_path)
+    remove(spark, banded_path, sizes_path)
     ranked = shared.join(shared.groupBy("rep").agg(F.sum("c").alias("degree")), "rep")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("x")).select("key", "x.degree", (-F.col("x.r")).alias("hub"))
-    members, _ = materialize(shared.join(hubs, "key"), "near-members")
-    remove(spark, shared_path)
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("x"), F.count("*").alias("_n"))
+    hubs, hubs_path = materialize(hubs.select("key", "_n", "x.degree", (-F.col("x.r")).alias("hub")), "near-hubs")
+    members, members_path = materialize(join_counted(shared, hubs, "key").drop("_n"), "near-members")
+    remove(spark, shared_path, hubs_path)
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets, _ = materialize(_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi")), "near-sets")
     verify = Verifier(classes, sets, percent)
@@ -327,14 +334,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = members.where("rep != hub").groupBy("rep").agg(F.max_by("hub", F.struct("degree", (-F.col("hub")).alias("r"))).alias("hub"))
     links = verify(first.select(*_ordered("rep", "hub")))
     rest = _open(members, links)
-    of_hub = rest.where("rep = hub").select("key", F.col("component").alias("of_hub"))
-    links = materialize(links.unionByName(verify(rest.join(of_hub, "key").where("component != of_hub").select(*_ordered("rep", "hub")))).distinct(), "near-links")[0]
+    of_hub, _ = materialize(rest.groupBy("key").agg(F.max(F.when(F.col("rep") == F.col("hub"), F.col("component"))).alias("of_hub"), F.count("*").alias("_n")), "near-hubs")
+    links = materialize(links.unionByName(verify(join_counted(rest, of_hub, "key").where("component != of_hub").select(*_ordered("rep", "hub")))).distinct(), "near-links")[0]
     rest = _open(rest.drop("component"), links)
     for k in range(HUB_ROUNDS):  # further hubs for large buckets that are still open, as long as they find links
         large = rest.where(F.col("c") > LARGE)
-        sized = large.withColumn("m", F.count("*").over(Window.partitionBy("key", "component")))
-        new = sized.groupBy("key").agg(F.max_by(F.struct(F.col("rep").alias("hub2"), F.col("component").alias("c2")), F.struct("m", F.xxhash64("rep", F.lit(k)))).alias("x")).select("key", "x.*")
-        more = verify(large.join(new, "key").where("component != c2").select(*_ordered("rep", "hub2")))
+        named = large.groupBy("key", "component").agg(F.count("*").alias("m"), F.max_by("rep", F.xxhash64("rep", F.lit(k))).alias("hub2"))
+        new = named.groupBy("key").agg(F.max_by(F.struct("hub2", F.col("component").alias("c2")), F.struct("m", F.xxhash64("hub2", F.lit(k)))).alias("x"), F.sum("m").alias("_n"))
+        new, new_path = materialize(new.select("key", "_n", "x.*"), "near-hubs")
+        more = verify(join_counted(large, new, "key").where("component != c2").select(*_ordered("rep", "hub2")))
+        remove(spark, new_path)
         if more.isEmpty():
             break
         links = materialize(links.unionByName(more).distinct(), "near-links")[0]

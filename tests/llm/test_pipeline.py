@@ -23,7 +23,7 @@ def test_each_stage_against_brute_force(spark, sf_dir):
 
     before = sorted(texts(now).items())
     now = stages["MinHash near-dedup"](spark, now, sf_dir).cache()
-    assert now.columns == docs.columns and set(texts(now)) == {r[0] for r in test_near.brute(before) if r[3]}
+    assert now.columns == docs.columns and set(texts(now)) == {r[0] for r in test_near.brute(before, corpus_pipeline.NEAR_PERCENT) if r[3]}
 
     before = sorted(texts(now).items())
     now = stages["suffix-array dedup"](spark, now, sf_dir).cache()
