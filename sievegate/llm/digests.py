@@ -6,9 +6,13 @@ text, in order, go into a chain of Bloom filters (2,048 bits, 5 bits a feature,
 digests is, for each filter of the shorter chain, the overlap in bits with its best counterpart, normalised between what
 chance gives and what is possible, then averaged.
 
-A null text is empty; an empty text has an empty chain, alike (1) to empty ones only. A text of under 64 bytes is a single
-feature. A text whose windows are all of one level has its first windows as features. Rows that repeat a doc_id are put in
-the order of their texts; a null doc_id comes first. A lone document is its own next one.
+Short texts have too few windows to choose from: under SHORT bytes, all windows of 8 bytes are features as well, and under 64
+bytes each byte with its place, so that a text of which a part is kept stays alike.
+
+A null text is empty; an empty text has an empty chain, alike (1) to empty ones only. A text whose windows are all of one level
+has its first windows as features. Rows that repeat a doc_id are put in the order of their texts; a null doc_id comes first. A
+lone document is its own next one. An empty table gives an empty one. Very long texts are looked at in pieces, whole. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegate.llm.common import Prefix, documents, materialize, mix, partitions, tuned
+from sievegate.llm.common import documents, materialize, mix, partitions, tuned
 
 WINDOW, LEVELS, POPULAR = 64, 1001, 16
+SHORT, SMALL = 1024, 8
 BITS, HASHES, PER_FILTER = 2048, 5, 160
 CHANCE = 0.3  # share of the way from the overlap of chance to a full one that counts as none
 PIECE = 1 << 17  # windows looked at at once
@@ -78,13 +83,16 @@ def filters(text: str | None, ranks: np.ndarray) -> np.ndarray:
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     if not len(data):
         return np.zeros((0, BITS), np.uint8)
+    hashes = np.zeros(0, np.uint64)
+    if len(data) >= WINDOW:
+        hashes = window_hashes(data, chosen(ranks[levels(data)]))
+    if SMALL <= len(data) < SHORT:
+        small = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, SMALL)).view(np.uint64)[:, 0]
+        hashes = np.concatenate([hashes, mix(small + np.uint64(0x632BE59BD9B4E019))])
     if len(data) < WINDOW:
-        hashes = Prefix(data).spans(np.array([0]), np.array([len(data)]))
-    else:
-        at = chosen(ranks[levels(data)])
-        hashes = window_hashes(data, at)
-        _, first = np.unique(hashes, return_index=True)
-        hashes = hashes[np.sort(first)]
+        hashes = np.concatenate([hashes, mix((np.arange(len(data), dtype=np.uint64) << np.uint64(8) | data) + np.uint64(0xE220A8397B1DCDAF))])
+    _, first = np.unique(hashes, return_index=True)
+    hashes = hashes[np.sort(first)]
     out = np.zeros((-(-len(hashes) // PER_FILTER), BITS), np.uint8)
     which = np.arange(len(hashes)) // PER_FILTER
     for k in range(HASHES):

@@ -43,3 +43,83 @@ def test_strings():
     assert (digests.from_string(digests.to_string(chain)) == chain).all() and digests.likeness(chain, chain) == 1
     none = digests.filters(None, ranks)
     assert digests.from_string(digests.to_string(none)).shape == none.shape and digests.likeness(none, none) == 1 and digests.likeness(none, chain) == 0
+
+
+def plain_filters(text, ranks):
+    """The same features window by window, byte by byte."""
+    data = (text or "").encode()
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * m & mask
+        return x ^ x >> 33
+
+    def wide(window):
+        words = [mixed(int.from_bytes(window[8 * k : 8 * k + 8], "little") + (k + 1) * 0x9E3779B97F4A7C15 & mask) for k in range(8)]
+        h = words[0]
+        for w in words[1:]:
+            h = mixed(h * 0xD6E8FEB86659FD93 + w & mask)
+        return h
+
+    level = []
+    for k in range(len(data) - 63):
+        counts = [data[k : k + 64].count(b) for b in set(data[k : k + 64])]
+        level.append((384 * (1 << 20) - sum(round(c * np.log2(c) * (1 << 20)) for c in counts)) * 1000 // (384 * (1 << 20)))
+    rank, found = [int(ranks[x]) for x in level], []
+    if rank:
+        popular = [0] * len(rank)
+        for k in range(len(rank) - 63):
+            popular[min(range(k, k + 64), key=lambda j: (rank[j], j))] += 1
+        picked = [k for k, n in enumerate(popular) if n >= 16] or [rank.index(min(rank))]
+        found = [wide(data[k : k + 64]) for k in picked]
+    if 8 <= len(data) < 1024:
+        found += [mixed(int.from_bytes(data[k : k + 8], "little") + 0x632BE59BD9B4E019 & mask) for k in range(len(data) - 7)]
+    if len(data) < 64:
+        found += [mixed((k << 8 | b) + 0xE220A8397B1DCDAF & mask) for k, b in enumerate(data)]
+    found = list(dict.fromkeys(found))
+    out = np.zeros((-(-len(found) // 160), 2048), np.uint8)
+    for k, h in enumerate(found):
+        for j in range(5):
+            out[k // 160, h >> 11 * j & 2047] = 1
+    return out
+
+
+def plain_likeness(a, b):
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    a, b = sorted((a, b), key=len) if len(a) != len(b) else (a, b)
+    best = []
+    for x in a:
+        each = []
+        for y in b:
+            top, chance = min(int(x.sum()), int(y.sum())), int(x.sum()) * int(y.sum()) / 2048
+            floor = chance + 0.3 * (top - chance)
+            each.append(max(0.0, int((x & y).sum()) - floor) / max(top - floor, 1e-9))
+        best.append(max(each))
+    return min(1.0, sum(best) / len(best))
+
+
+def test_against_a_plain_version():
+    ranks = np.random.default_rng(5).permutation(digests.LEVELS).astype(np.uint16)
+    texts = [t for _, t, *_ in cases.rows(11)] + ["a", "ab", "abcdefg", "abcdefgh", "x" * 63, "x" * 64, "y" * 1023, "y" * 1024]
+    texts = [t for t in texts if len(t or "") < 4000]
+    chains = [digests.filters(t, ranks) for t in texts]
+    for t, chain in zip(texts, chains, strict=True):
+        want = plain_filters(t, ranks)
+        assert chain.shape == want.shape and (chain == want).all()
+    for k in range(len(texts)):
+        a, b = chains[k], chains[(k * 7 + 3) % len(texts)]
+        assert abs(digests.likeness(a, b) - plain_likeness(a, b)) < 1e-5
+
+
+def test_short_texts_stay_alike():
+    ranks = np.arange(digests.LEVELS)
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 5, 8, 15, 16, 17, 40, 63, 64, 90, 127, 128, 199):
+        text, other = ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 400)) for _ in range(2))
+        text = text[:n]
+        for following in (other, other[: n // 4]):
+            assert digests.likeness(digests.filters(text, ranks), digests.filters(digests.edit(text, following), ranks)) > 0
+        if n >= 15:  # a shared letter is much of a shorter text
+            assert digests.likeness(digests.filters(text, ranks), digests.filters(other[:n], ranks)) < 0.2
