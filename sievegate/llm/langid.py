@@ -4,11 +4,14 @@ Sparse multinomial logistic regression on TF-IDF of hashed character 1- to 3-gra
 (FTRL-proximal) with elastic-net penalties, then calibrated by one temperature on rows that the training left out.
 
 Document frequencies count every training row of the table. The regression is fitted on a bounded, deterministic sample of
-them (``per_class`` rows of each language, by hash of doc_id; all where there are fewer). Each whole text is predicted.
+them: of each language the ``per_class`` rows of least hash of doc_id, all where there are fewer, and ``sample`` rows at most in
+all, shared evenly. ``max_classes`` bounds the model: of more values of lang, those with most rows are learned, ties by name; the
+others are never predicted. So neither model nor driver grow with the table. Each whole text is predicted.
 
 Nulls: rows without lang or doc_id are predicted, never learned from. Null texts and texts without a letter are ``und`` with
 score 0. Without any labelled row all are ``und``. Rows that repeat are predicted alike. Ties go to the first language in
-alphabetical order.
+alphabetical order. An empty table gives an empty one. Very long texts are counted in pieces, whole. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievegate.llm.common import documents, map_arrow, materialize, remove, tuned
@@ -102,16 +105,18 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit(train: DataFrame, per_class: int = 400, calibration_share: float = 0.25) -> dict:
+def fit(train: DataFrame, per_class: int = 400, calibration_share: float = 0.25, sample: int = 12_000, max_classes: int = 256) -> dict:
     """A model from rows (doc_id, text, lang), lang not null. To the driver go one document frequency for each of the SIZE
     hashed n-grams, summed by Spark, and the n-gram counts of the bounded sample."""
     spark = tuned(train.sparkSession)
-    per_lang = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    per_lang = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_classes).collect()}
     langs = sorted(per_lang)
     if not langs:
         return {"langs": [], "idf": np.zeros(SIZE), "weights": np.zeros((SIZE + 1, 0)), "temperature": 1.0}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)).cast("double") / 1_000_000
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(1.1 * per_class / n)) for k, n in per_lang.items()]) if len(langs) <= 500 else F.lit(1.0 * per_class * len(langs) / sum(per_lang.values()))
+    per_class = max(1, min(per_class, sample // len(langs)))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000_000))
+    # twice as many rows as are wanted are drawn by their hash, and of these the first are taken
+    drawn = F.coalesce(*[F.when(F.col("lang") == k, place < F.lit(int(2e9 * per_class / n) + 1)) for k, n in per_lang.items()], F.lit(False))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df_, n = np.zeros(SIZE, np.int64), 0
@@ -129,12 +134,13 @@ def fit(train: DataFrame, per_class: int = 400, calibration_share: float = 0.25)
             at = np.flatnonzero(df_)
             yield pa.RecordBatch.from_pydict({"lang": [None], "doc_id": [None], "at": [np.append(at, SIZE)], "count": [np.append(df_[at], n)]}, schema=schema)
 
-    seen, path = materialize(train.select("lang", "doc_id", (draw < share).alias("taken"), "text").mapInArrow(look, "lang string, doc_id long, at array<int>, count array<long>"), "langid")
+    seen, path = materialize(train.select("lang", "doc_id", drawn.alias("taken"), "text").mapInArrow(look, "lang string, doc_id long, at array<int>, count array<long>"), "langid")
     df_ = np.zeros(SIZE + 1)
     for r in seen.where("lang IS NULL").select(F.explode(F.arrays_zip("at", "count")).alias("x")).groupBy("x.at").agg(F.sum("x.count").alias("n")).collect():
         df_[r["at"]] = r["n"]
     n, df_ = df_[SIZE], df_[:SIZE]
-    rows = seen.where("lang IS NOT NULL").collect()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))  # of some 2 * per_class rows
+    rows = seen.where("lang IS NOT NULL").withColumn("nth", nth).where(F.col("nth") <= per_class).collect()
     remove(spark, path)
     idf = np.log((1 + n) / (1 + df_)) + 1
     learn, rest = [], []
