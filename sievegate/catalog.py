@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievegate.functions import scalars
-from sievegate.functions.detectors import with_detections
+from sievegate.functions.detectors import SECRET, with_detections
 from sievegate.functions.spans import at
 from sievegate.operators import analytics, inputs, masking, policy, rules, segments
 from sievegate.plans import cascade, dashboards
@@ -15,6 +15,7 @@ from sievegate.streaming import limits
 FLAGSHIP = "dryrun_conversations"
 AS_OF, DAYS = "2024-01-20", 14
 KEYWORDS = {"kw-the": "the", "kw-and": "und", "kw-stop": "the."}
+TOKEN = r'(?i)\btoken\s*=\s*"[0-9a-f]{32,}"'
 CONTEXTS = {"ctx-en": (["the", "and", "tion"], 2), "ctx-de": (["der", "die", "und"], 3), "ctx-es": (["los", "que", "ción"], 2)}
 WEIGHTS = {label: [((3 * k + 7 * n) % 11 - 5) / 2 for k in range(64)] for n, label in enumerate(["risk", "code", "other"])}
 # Vectors of Korean formats, which the test tables have none of.
@@ -216,7 +217,12 @@ def signal_ids(spark, d):
     from sievegate.functions.spans import spans
 
     rows = _docs(spark, d).where("text IS NOT NULL").select("doc_id", F.explode(spans(F.col("text"), "Th")).alias("s"))
-    return rows.groupBy("doc_id").agg(F.min("s").alias("s")).select("doc_id", inputs.signal_id(F.col("doc_id"), F.lit("b0"), F.lit("p"), F.col("s")).alias("signal_id"))
+    return rows.select("doc_id", F.col("s.start").cast("long").alias("start"), inputs.signal_id(F.col("doc_id"), F.lit("b0"), F.lit("p"), F.col("s")).alias("signal_id"))
+
+
+def rule_regex_matches(spark, d):
+    found = rules.regex_matches(_docs(spark, d), {"custom:secret": SECRET, "custom:token": TOKEN}, "doc_id")
+    return found.select("doc_id", "rule_id", "match_count", F.array_join(F.col("value_lengths").cast("array<string>"), ",").alias("value_lengths"), "confidence")
 
 
 def request_violations(spark, d):
@@ -235,7 +241,7 @@ def parsed_pages(spark, d):
 
 
 _QUERIES = [
-    dryrun_documents, dryrun_conversations, detect_email_counts, pii_union_sorted, detect_samples, mask_documents, normalize_text, rule_keyword_matches, rule_context_matches, rule_catalogue_merge,
+    dryrun_documents, dryrun_conversations, detect_email_counts, pii_union_sorted, detect_samples, mask_documents, normalize_text, rule_keyword_matches, rule_context_matches, rule_regex_matches, rule_catalogue_merge,
     policy_decide_requests, idempotent_requests, size_buckets, file_policy, event_stats_daily, event_stats_totals, event_stats_actions, event_stats_risk, event_stats_detection_types,
     event_stats_categories, overview_unavailable, user_stats, user_stats_topk, event_primary_label, events_list_latest, adjacent_cosine, segment_list, segment_vectors, lr_candidates,
     atoms_documents, rate_limit, prompt_hash, input_results_basis, pdf_coverage, rule_set_version, signal_ids, request_violations, verifier_chunks, parsed_pages,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,18 +11,25 @@ from sievegate.functions.spans import at, overlap, spans
 
 # Patterns, context words and checksum weights that the results depend on.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+(?![A-Za-z0-9_%+-])"
-PHONE = r"(?<!\d)(?:(?:\+82[-.\s]?(?:10|2|[3-6][1-5]|70)[-.\s]?\d{3,4}[-.\s]?\d{4})|(?:0(?:10|2|[3-6][1-5]|70)[-.\s]?\d{3,4}[-.\s]?\d{4}))(?!\d)"
-RESIDENT = r"(?<!\d)(\d{6})[-\s]?([1-4]\d{6})(?!\d)"
-CARD = r"(?<!\d)(?:\d[ -]?){13,19}(?!\d)"
-ACCOUNT = r"(?<!\d)(?:\d{2,6}[-\s]?){2,4}\d{2,6}(?!\d)"
+PHONE = r"(?U)(?<!\d)(?:(?:\+82[-.\s]?(?:10|2|[3-6][1-5]|70)[-.\s]?\d{3,4}[-.\s]?\d{4})|(?:0(?:10|2|[3-6][1-5]|70)[-.\s]?\d{3,4}[-.\s]?\d{4}))(?!\d)"
+RESIDENT = r"(?U)(?<!\d)(\d{6})[-\s]?([1-4]\d{6})(?!\d)"
+CARD = r"(?U)(?<!\d)(?:\d[ -]?){13,19}(?!\d)"
+ACCOUNT = r"(?U)(?<!\d)(?:\d{2,6}[-\s]?){2,4}\d{2,6}(?!\d)"
+SECRET = r"(?i)(?:sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9_]{20,}|github_pat_[A-Za-z0-9_]{22,}|xox[baprs]-[A-Za-z0-9-]{20,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----|(?:api[_-]?key|access[_-]?token|secret[_-]?key|client[_-]?secret|bearer)\s*[:=]\s*['\"]?[A-Za-z0-9._~+/=-]{16,})"
 BANK_WORDS = "계좌|은행|국민|신한|우리|하나|농협|기업|카카오|토스|부산|대구|광주|전북|경남|수협|새마을|우체국"
 RESIDENT_WEIGHTS = [2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5]
 
 KEYS = ["EMAIL", "PHONE", "RRN", "CARD", "BANK_ACCOUNT"]
 
 
+#: Every decimal digit of Unicode and its value.
+_DIGITS = {chr(c): str(unicodedata.decimal(chr(c))) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Nd"}
+
+
 def digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+    """The decimal digits of any script, as 0 to 9."""
+    kept = F.regexp_replace(value, r"\P{Nd}", "")
+    return F.when(kept.rlike("[^0-9]"), F.translate(kept, "".join(_DIGITS), "".join(_DIGITS.values()))).otherwise(kept)
 
 
 def valid_resident(value: Column) -> Column:

@@ -57,6 +57,20 @@ def keyword_matches(df: DataFrame, keywords: dict[str, str], *keys: str) -> Data
     return df.withColumn("_n", text).select(*keys, F.explode(F.array(*counts)).alias("x")).select(*keys, "x.*").where("count > 0")
 
 
+def regex_matches(df: DataFrame, patterns: dict[str, str], key: str, text: str = "text") -> DataFrame:
+    """key, rule_id, match_count, value_lengths (of each match, in order), confidence of the regex rules that match. Patterns are
+    tried one by one, each behind a test that most texts fail. A pattern that does not compile, or that matches the empty string,
+    is an error before anything runs."""
+    for pattern in patterns.values():
+        compiled = df.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+        if compiled.matcher("").matches():
+            raise ValueError("a pattern must not match the empty string")
+    lengths = lambda p: F.when(F.col(text).rlike(p), F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), lambda x: F.length(x)))
+    each = F.array(*[F.struct(F.lit(rule).alias("rule_id"), lengths(p).alias("value_lengths")) for rule, p in patterns.items()])
+    found = df.select(key, F.explode(each).alias("x")).where("x.value_lengths IS NOT NULL")
+    return found.select(key, "x.rule_id", F.size("x.value_lengths").cast("long").alias("match_count"), "x.value_lengths", F.lit(90).alias("confidence"))
+
+
 def context_matches(df: DataFrame, rules: dict[str, tuple[list[str], int]], *keys: str) -> DataFrame:
     """keys, rule_id, n_conditions of each context rule (rule_id: terms, least number of them) that fires."""
     text = F.lower(normalize_text(F.coalesce("text", F.lit(""))))

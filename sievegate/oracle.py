@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from sievegate.catalog import AS_OF, CONTEXTS, DAYS, KEYWORDS, WEIGHTS
+from sievegate.catalog import AS_OF, CONTEXTS, DAYS, KEYWORDS, TOKEN, WEIGHTS
+from sievegate.functions.detectors import SECRET
 from sievegate.sources.views import sql
 
 _IN = f"created_at >= DATE '{AS_OF}' - {DAYS - 1} AND created_at < DATE '{AS_OF}' + 1"
@@ -70,7 +71,13 @@ FROM (SELECT DISTINCT event_id AS request_id FROM v_inputs) q LEFT JOIN best b O
 m AS (SELECT *, CASE WHEN n = 0 THEN 'zero' WHEN n < 30 THEN 'very_low' WHEN n < 120 THEN 'low' ELSE 'sufficient' END AS bucket, CASE WHEN failed THEN 'native_failed' WHEN n < 30 THEN 'low_text' WHEN n < 120 AND image THEN 'low_text_with_image' END AS reason FROM p)
 SELECT page, bucket, reason, reason IS NOT NULL AS candidate, reason IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, reason IS NOT NULL ORDER BY page) <= 3 AS selected FROM m""",
     "rule_set_version": "SELECT substr(sha256('detector:BANK_ACCOUNT:1|detector:CARD:1|detector:EMAIL:1|detector:PHONE:1|detector:RRN:1'), 1, 16) AS version",
-    "signal_ids": "SELECT doc_id, 'sig_' || substr(sha256(doc_id || ':b0:p:' || (strpos(text, 'Th') - 1) || ':' || (strpos(text, 'Th') + 1)), 1, 20) AS signal_id FROM documents WHERE contains(text, 'Th')",
+    "signal_ids": """WITH RECURSIVE hit(doc_id, text, start) AS (SELECT doc_id, text, strpos(text, 'Th') - 1 FROM documents WHERE strpos(text, 'Th') > 0
+UNION ALL SELECT doc_id, text, start + 1 + strpos(text[start + 3:], 'Th') FROM hit WHERE strpos(text[start + 3:], 'Th') > 0)
+SELECT doc_id, CAST(start AS BIGINT) AS start, 'sig_' || substr(sha256(doc_id || ':b0:p:' || start || ':' || (start + 2)), 1, 20) AS signal_id FROM hit""",
+    "rule_regex_matches": " UNION ALL ".join(
+        f"SELECT doc_id, '{rule}' AS rule_id, CAST(len(m) AS BIGINT) AS match_count, array_to_string(list_transform(m, lambda x: length(x)), ',') AS value_lengths, 90 AS confidence FROM (SELECT doc_id, regexp_extract_all(text, '{pattern.replace(chr(39), chr(39) * 2)}') AS m FROM documents) WHERE len(m) > 0"
+        for rule, pattern in (("custom:secret", SECRET), ("custom:token", TOKEN))
+    ),
     "request_violations": sql("""SELECT request_id, input_index, concat_ws(',', CASE WHEN inc AND c IS NULL THEN 'CONTENT_MISSING' END, CASE WHEN NOT inc AND c IS NOT NULL THEN 'CONTENT_NOT_ALLOWED' END, CASE WHEN inc AND octet_length(encode(c)) <> length(content) THEN 'SIZE_MISMATCH' END, CASE WHEN inc AND octet_length(encode(c)) > CASE WHEN source = 'composer' THEN 262144 ELSE 1048576 END THEN 'CONTENT_TOO_LARGE' END) AS violations
   FROM (SELECT *, input_index % 4 <> 3 AS inc, CASE WHEN input_index % 5 <> 4 THEN content END AS c FROM v_requests)""", "v_requests"),
 }

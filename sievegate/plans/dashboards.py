@@ -49,7 +49,7 @@ def event_unavailable_inputs(spark, d):
 
 
 def event_detail_flat(spark, d):
-    ids = views.events(spark, d).where("id % 50 = 0").select(F.col("id").alias("event_id"))
+    ids = views.events(spark, d).select(F.col("id").alias("event_id"))
     out = analytics.event_detail(ids, views.events(spark, d), views.detections(spark, d), views.inputs(spark, d))
     listed = lambda c, f: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[k] for k in f])), ";"), F.lit(""))
     return out.select("event_id", "action", "risk_level", listed("detections", ["category", "type", "count"]).alias("detections"), listed("inputs", ["input_index", "kind"]).alias("inputs"))
@@ -107,7 +107,7 @@ FROM v_users u LEFT JOIN (SELECT user_id, {_COUNTS}, count(*) AS n_events, max(c
     "context_matches_only": sql("SELECT event_id, type, count FROM v_detections WHERE category = 'Custom'", "v_detections"),
     "event_unavailable_inputs": sql(f"SELECT event_id, input_index, decision_basis FROM ({_SCANNED}) WHERE NOT content_scanned OR decision_basis = 'content_unavailable' OR content_unavailable_reason IS NOT NULL", "v_inputs"),
     "event_detail_flat": sql(
-        """SELECT e.id AS event_id, action, risk_level, coalesce(d.l, '') AS detections, coalesce(i.l, '') AS inputs FROM (SELECT * FROM v_events WHERE id % 50 = 0) e
+        """SELECT e.id AS event_id, action, risk_level, coalesce(d.l, '') AS detections, coalesce(i.l, '') AS inputs FROM v_events e
   LEFT JOIN (SELECT event_id, string_agg(category || ':' || type || ':' || count, ';' ORDER BY category, type, count) AS l FROM v_detections GROUP BY 1) d ON d.event_id = e.id
   LEFT JOIN (SELECT event_id, string_agg(input_index || ':' || kind, ';' ORDER BY input_index) AS l FROM v_inputs GROUP BY 1) i ON i.event_id = e.id""",
         "v_events", "v_detections", "v_inputs",

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievegate.functions import scalars
-from sievegate.functions.detectors import with_detections
+from sievegate.functions.detectors import SECRET, digits, with_detections
 from sievegate.functions.spans import at, spans
 from sievegate.operators import masking
 
@@ -68,3 +68,24 @@ def test_scalars(spark):
     assert all(r.f == {"ALLOW": r.s, "WARN": max(40, r.s), "BLOCK": max(95, r.s)}[r.a] for r in rows)
     sizes = spark.createDataFrame([(n,) for n in (-1, 0, 1 << 20, (1 << 20) + 1, 11 << 20)], "n long").select(scalars.size_bucket(F.col("n")).alias("b")).collect()
     assert [r.b for r in sizes] == [None, "empty", "small", "medium", "large"]
+
+
+def test_digits_and_spaces_of_any_script(spark):
+    rows = [(1, "010　1234　5678"), (2, "국민은행 123 456 789012"), (3, "０１０-１２３４-５６７８"), (4, "٤١١١ ١١١١ ١١١١ ١١١١"), (5, "010x1234x5678")]
+    got = {r.id: [d["detector_key"] for d in r.detections] for r in with_detections(spark.createDataFrame(rows, "id int, text string")).collect()}
+    assert got == {1: ["PHONE"], 2: ["BANK_ACCOUNT"], 3: [], 4: ["CARD"], 5: []}
+    assert spark.createDataFrame([("１2٣ x",)], "t string").select(digits(F.col("t")).alias("d")).first().d == "123"
+
+
+def test_regex_rules(spark):
+    import pytest
+
+    from sievegate.operators import rules
+
+    rows = [(1, "key AKIA" + "A" * 16 + " and ghp_" + "b" * 24), (2, "api_key = '" + "c" * 16 + "'"), (3, "nothing"), (4, None)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = {r.id: (r.match_count, r.value_lengths) for r in rules.regex_matches(df, {"secret": SECRET}, "id").collect()}
+    assert got == {1: (2, [20, 28]), 2: (1, [27])}
+    for bad in ("(", "a*"):
+        with pytest.raises(Exception):  # noqa: B017
+            rules.regex_matches(df, {"bad": bad}, "id")
