@@ -4,6 +4,9 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() wri
 again as the documents of the next stage. All stages but the last return the columns of documents; what they decide is done:
 rejected documents and near-duplicates go, repeated lines and strings are cut out of the texts. A document whose lines were all
 deleted stays, with an empty text: only quality rules and near-duplicates take documents away.
+
+Nulls, ties, repeated rows, empty tables and very long texts are as each operator defines them. Columns of other names are carried
+along, also where an operator uses the name for itself.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegate.llm import lines, near, packing, quality, suffix
-from sievegate.llm.common import documents, materialize, tuned
+from sievegate.llm.common import documents, materialize, remove, scratch, tuned
 
 #: Two documents of this similarity or more are near-duplicates of the pipeline; op8 has a threshold of its own.
 NEAR_PERCENT = 80
@@ -58,7 +61,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark)
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES:
-        docs, _ = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:  # what a stage wrote for itself goes with it
+            docs, path = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep.append(path)
+        remove(spark, *before)
+        before = [path]
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_WRITTEN: list[str] = []
 
 #: Records and bytes of one Arrow batch bound what a Python worker holds of long texts at once; the shuffle files of a
 #: written table go when it is written.
@@ -52,6 +54,7 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Writes df as a table in the shared folder and rereads it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -63,6 +66,15 @@ def remove(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the tables that were written inside it, but for those whose path is put into the list it gives."""
+    start, keep = len(_WRITTEN), []
+    yield keep
+    remove(spark, *[path for path in _WRITTEN[start:] if path not in keep])
+    _WRITTEN[start:] = keep
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegate.llm.common import Prefix, documents, join_counted, materialize, mix, partitions, remove, tuned
+from sievegate.llm.common import Prefix, documents, join_counted, materialize, mix, partitions, remove, scratch, tuned
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 32, 6
@@ -312,44 +312,46 @@ def _open_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
     spark = tuned(docs.sparkSession)
-    sketched, sketched_path = materialize(sketches(docs), "near-sketches")
-    grouped = sketched.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "signature", "bands"), "doc_id").alias("x"))
-    banded, banded_path = materialize(grouped.select("d1", "d2", "rep", "x.*"), "near-banded")
-    rows, _ = materialize(sketched.select("doc_id", "n_shingles", "d1", "d2"), "near-rows")
-    remove(spark, sketched_path)
-    exploded = banded.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    sizes, sizes_path = materialize(exploded.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "near-sizes")
-    shared, shared_path = materialize(join_counted(exploded, sizes, "key").withColumnRenamed("_n", "c"), "near-buckets")
-    classes, _ = materialize(banded.drop("bands"), "near-classes")
-    remove(spark, banded_path, sizes_path)
-    ranked = shared.join(shared.groupBy("rep").agg(F.sum("c").alias("degree")), "rep")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("x"), F.count("*").alias("_n"))
-    hubs, hubs_path = materialize(hubs.select("key", "_n", "x.degree", (-F.col("x.r")).alias("hub")), "near-hubs")
-    members, members_path = materialize(join_counted(shared, hubs, "key").drop("_n"), "near-members")
-    remove(spark, shared_path, hubs_path)
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets, _ = materialize(_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi")), "near-sets")
-    verify = Verifier(classes, sets, percent)
-    # one hub for each member first, the one that meets most others; then the hubs of buckets that this left open
-    first = members.where("rep != hub").groupBy("rep").agg(F.max_by("hub", F.struct("degree", (-F.col("hub")).alias("r"))).alias("hub"))
-    links = verify(first.select(*_ordered("rep", "hub")))
-    rest = _open(members, links)
-    of_hub, _ = materialize(rest.groupBy("key").agg(F.max(F.when(F.col("rep") == F.col("hub"), F.col("component"))).alias("of_hub"), F.count("*").alias("_n")), "near-hubs")
-    links = materialize(links.unionByName(verify(join_counted(rest, of_hub, "key").where("component != of_hub").select(*_ordered("rep", "hub")))).distinct(), "near-links")[0]
-    rest = _open(rest.drop("component"), links)
-    for k in range(HUB_ROUNDS):  # further hubs for large buckets that are still open, as long as they find links
-        large = rest.where(F.col("c") > LARGE)
-        named = large.groupBy("key", "component").agg(F.count("*").alias("m"), F.max_by("rep", F.xxhash64("rep", F.lit(k))).alias("hub2"))
-        new = named.groupBy("key").agg(F.max_by(F.struct("hub2", F.col("component").alias("c2")), F.struct("m", F.xxhash64("hub2", F.lit(k)))).alias("x"), F.sum("m").alias("_n"))
-        new, new_path = materialize(new.select("key", "_n", "x.*"), "near-hubs")
-        more = verify(join_counted(large, new, "key").where("component != c2").select(*_ordered("rep", "hub2")))
-        remove(spark, new_path)
-        if more.isEmpty():
-            break
-        links = materialize(links.unionByName(more).distinct(), "near-links")[0]
+    with scratch(spark) as keep:
+        sketched, sketched_path = materialize(sketches(docs), "near-sketches")
+        grouped = sketched.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "signature", "bands"), "doc_id").alias("x"))
+        banded, banded_path = materialize(grouped.select("d1", "d2", "rep", "x.*"), "near-banded")
+        rows, rows_path = materialize(sketched.select("doc_id", "n_shingles", "d1", "d2"), "near-rows")
+        remove(spark, sketched_path)
+        exploded = banded.select("rep", "n_shingles", F.explode("bands").alias("key"))
+        sizes, sizes_path = materialize(exploded.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "near-sizes")
+        shared, shared_path = materialize(join_counted(exploded, sizes, "key").withColumnRenamed("_n", "c"), "near-buckets")
+        classes, classes_path = materialize(banded.drop("bands"), "near-classes")
+        remove(spark, banded_path, sizes_path)
+        ranked = shared.join(shared.groupBy("rep").agg(F.sum("c").alias("degree")), "rep")
+        hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("x"), F.count("*").alias("_n"))
+        hubs, hubs_path = materialize(hubs.select("key", "_n", "x.degree", (-F.col("x.r")).alias("hub")), "near-hubs")
+        members, _ = materialize(join_counted(shared, hubs, "key").drop("_n"), "near-members")
+        remove(spark, shared_path, hubs_path)
+        wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+        sets, _ = materialize(_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi")), "near-sets")
+        verify = Verifier(classes, sets, percent)
+        # one hub for each member first, the one that meets most others; then the hubs of buckets that this left open
+        first = members.where("rep != hub").groupBy("rep").agg(F.max_by("hub", F.struct("degree", (-F.col("hub")).alias("r"))).alias("hub"))
+        links = verify(first.select(*_ordered("rep", "hub")))
+        rest = _open(members, links)
+        of_hub, _ = materialize(rest.groupBy("key").agg(F.max(F.when(F.col("rep") == F.col("hub"), F.col("component"))).alias("of_hub"), F.count("*").alias("_n")), "near-hubs")
+        links = materialize(links.unionByName(verify(join_counted(rest, of_hub, "key").where("component != of_hub").select(*_ordered("rep", "hub")))).distinct(), "near-links")[0]
         rest = _open(rest.drop("component"), links)
-    links = materialize(links.unionByName(_open_links(rest, classes, sets, percent)).distinct(), "near-links")[0]
-    component = components(links).withColumnRenamed("node", "rep")
+        for k in range(HUB_ROUNDS):  # further hubs for large buckets that are still open, as long as they find links
+            large = rest.where(F.col("c") > LARGE)
+            named = large.groupBy("key", "component").agg(F.count("*").alias("m"), F.max_by("rep", F.xxhash64("rep", F.lit(k))).alias("hub2"))
+            new = named.groupBy("key").agg(F.max_by(F.struct("hub2", F.col("component").alias("c2")), F.struct("m", F.xxhash64("hub2", F.lit(k)))).alias("x"), F.sum("m").alias("_n"))
+            new, new_path = materialize(new.select("key", "_n", "x.*"), "near-hubs")
+            more = verify(join_counted(large, new, "key").where("component != c2").select(*_ordered("rep", "hub2")))
+            remove(spark, new_path)
+            if more.isEmpty():
+                break
+            links = materialize(links.unionByName(more).distinct(), "near-links")[0]
+            rest = _open(rest.drop("component"), links)
+        links = materialize(links.unionByName(_open_links(rest, classes, sets, percent)).distinct(), "near-links")[0]
+        component, component_path = materialize(components(links).withColumnRenamed("node", "rep"), "near-component")
+        keep += [rows_path, classes_path, component_path]
     of_class = classes.select("d1", "d2", "rep").join(component, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("found"))
     out = rows.join(of_class, ["d1", "d2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievegate.llm.bpe import encoder
-from sievegate.llm.common import documents, materialize, partitions, remove, tuned
+from sievegate.llm.common import documents, materialize, partitions, remove, scratch, tuned
 
 CAPACITY, END = 4096, 1
 FILL = 4
@@ -106,8 +106,8 @@ def _carried(totals: list) -> list[tuple[int, int, int, int, int, int]]:
     return blocks
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pid, sequence_id (the pid of a piece in it), offset of each row of pieces (pid, length); pid is unique."""
+def place(pieces: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, str]:
+    """pid, sequence_id (the pid of a piece in it), offset of each row of pieces (pid, length), and their folder; pid is unique."""
     spark = pieces.sparkSession
     columns = "sequence_id long, slot int, pid long, length int, offset int, after int"
     length = F.col("length").cast("int").alias("length")
@@ -168,9 +168,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             least, longest = left.agg(F.min("length"), F.max("length")).first()
         remove(spark, *written[:-1])  # pieces are still read from the last one
         written = written[-1:]
-    done, _ = materialize(spark.createDataFrame([], columns).unionByName(placed).select("pid", "sequence_id", "offset"), "packing-sequences")
-    remove(spark, *written)
-    return done
+    return materialize(spark.createDataFrame([], columns).unionByName(placed).select("pid", "sequence_id", "offset"), "packing-sequences")
 
 
 def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -179,7 +177,9 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = [F.col("length").desc(), "doc_id", "piece", "start", "ids_crc32"]
     ranged = cut.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     numbered, _ = materialize(ranged.withColumn("pid", F.monotonically_increasing_id()), "packing-sorted")
-    placed = place(numbered.select("pid", "length"), capacity)
+    with scratch(spark) as keep:
+        placed, path = place(numbered.select("pid", "length"), capacity)
+        keep.append(path)
     return numbered.join(placed.hint("merge"), "pid").select(*cut.columns, "sequence_id", F.col("offset").cast("long").alias("offset"))
 
 

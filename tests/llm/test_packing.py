@@ -67,7 +67,7 @@ def test_rounds(spark, monkeypatch, low, high, n):
     found = {}
     for width in (1, 7):
         monkeypatch.setattr(packing, "ROWS_OF_RANGE", 10**9 if width == 1 else n // 7 + 1)
-        got = packing.place(df, 64).collect()
+        got = packing.place(df, 64)[0].collect()
         assert sorted(r.pid for r in got) == [r[0] for r in rows]
         fill = Counter()
         for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
