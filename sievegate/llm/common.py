@@ -97,13 +97,12 @@ HOT, SPREAD = 256, 64
 
 def join_counted(rows: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """rows joined (inner, left or left_semi) with a written table small of a row a key, of which _n counts the rows of the key. Hot
-    keys are salted: their row of small is repeated for each part, so that no task reads a hot group. Keys are not null."""
+    keys are salted: their row of small is repeated for each part, so that no task reads a hot group. Keys are not null. The plan is
+    the same with and without hot keys: a hash that no key has, or by chance a cold one, stands for none."""
     keys = [key] if isinstance(key, str) else key
     total = small.agg(F.sum("_n")).first()[0] or 0
     hashed = F.xxhash64(*keys)
-    hot = [r[0] for r in small.where(F.col("_n") * HOT > total).select(hashed).collect()]  # fewer than HOT
-    if not hot:
-        return rows.join(small.hint("merge"), keys, how)
+    hot = [r[0] for r in small.where(F.col("_n") * HOT > total).select(hashed).collect()] or [0]  # fewer than HOT
     part = F.when(hashed.isin(hot), F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))).otherwise(0).cast("int")
     parts = F.explode(F.when(hashed.isin(hot), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
     return rows.withColumn("_part", part).join(small.withColumn("_part", parts).hint("merge"), [*keys, "_part"], how).drop("_part")
