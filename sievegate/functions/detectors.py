@@ -71,16 +71,20 @@ def card(text: Column, accounts: Column, residents: Column) -> Column:
     return F.filter(spans(text, CARD), lambda s: valid_card(at(text, s)) & ~F.exists(taken, lambda t: overlap(s, t)))
 
 
-def with_detections(df, text: str = "text"):
-    """Adds detections: array of (start, end, detector_key), sorted. Each detector's spans become a column first, so that no
-    regex runs twice."""
+def with_detections(df, text: str = "text", keys: list[str] | None = None):
+    """Adds detections: array of (start, end, detector_key), sorted; of some detectors only if keys are given. Each detector's spans
+    become a column first, so that no regex runs twice."""
     t = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumns({"_email": email(t), "_phone": phone(t), "_rrn": resident(t), "_account": account(t)})
-    out = out.withColumn("_card", card(t, F.col("_account"), F.col("_rrn")))
-    columns = dict(zip(KEYS, ["_email", "_phone", "_rrn", "_card", "_account"], strict=True))
+    columns = {k: c for k, c in zip(KEYS, ["_email", "_phone", "_rrn", "_card", "_account"], strict=True) if keys is None or k in keys}
+    first = {"_email": email, "_phone": phone, "_rrn": resident, "_account": account}
+    needed = set(columns.values()) | ({"_rrn", "_account"} if "CARD" in columns else set())
+    out = df.withColumns({c: find(t) for c, find in first.items() if c in needed})
+    if "CARD" in columns:
+        out = out.withColumn("_card", card(t, F.col("_account"), F.col("_rrn")))
 
     def tag(key: str):
         return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(key).alias("detector_key"))
 
     tagged = [F.transform(F.col(c), tag(k)) for k, c in columns.items()]
-    return out.withColumn("detections", F.sort_array(F.concat(*tagged))).drop(*columns.values())
+    none = F.array().cast("array<struct<start:int,end:int,detector_key:string>>")
+    return out.withColumn("detections", F.sort_array(F.concat(*tagged)) if tagged else none).drop(*needed, "_card")

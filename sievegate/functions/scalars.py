@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievegate.functions.spans import REPEATED
+
 # Scores by severity, order of actions and severities.
 SEVERITY_SCORE = {"low": 25, "medium": 55, "high": 80, "critical": 95}
 ACTIONS = ["ALLOW", "WARN", "MASK", "BLOCK"]
@@ -20,7 +22,7 @@ def rank_of(value: Column, order: list[str]) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Runs of one punctuation mark or symbol become one."""
-    return F.regexp_replace(text, r"([\p{P}\p{S}])\1+", "$1")
+    return F.regexp_replace(text, REPEATED, "$1")
 
 
 def risk_level(score: Column) -> Column:

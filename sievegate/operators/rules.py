@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +86,52 @@ def decide(inputs: DataFrame, matches: DataFrame, *keys: str) -> DataFrame:
     out = inputs.select(*keys).join(best, list(keys), "left")
     score = F.coalesce("risk_score", F.lit(0))
     return out.select(*keys, F.col("match_count").isNotNull().alias("matched"), F.coalesce("match_count", F.lit(0)).cast("long").alias("match_count"), F.coalesce("action", F.lit("ALLOW")).alias("action"), score.alias("risk_score"), risk_level(score).alias("risk_level"))
+
+
+class Rule(NamedTuple):
+    """A rule of a catalogue. kind: detector, keyword, regex or context_rule; expression: the key, word or pattern; terms, least: of contexts."""
+
+    rule_id: str
+    kind: str
+    origin: str
+    label: str
+    severity: str
+    action: str
+    expression: str = ""
+    terms: tuple[str, ...] = ()
+    least: int = 1
+    enabled: bool = True
+    archived: bool = False
+
+
+CONFIDENCE = {"detector": 100, "keyword": 90, "regex": 90, "context_rule": 80}
+
+
+def reason_code(rule: Rule) -> str:
+    name = (rule.expression if rule.kind == "detector" else "") or rule.label
+    return f"{'BUILT_IN' if rule.origin == 'built_in' else 'CUSTOM'}_{rule.kind}_{name}".upper().replace(" ", "_")
+
+
+def all_matches(df: DataFrame, catalogue: list[Rule], key: str) -> DataFrame:
+    """key, place, rule_id, kind, count, confidence, reason_code, severity, action of every rule that is enabled, not archived, and
+    matches: detectors first, the others in their order. The catalogue is a short list; df has key and text."""
+    used = sorted((r for r in catalogue if r.enabled and not r.archived and r.origin in ("built_in", "custom")), key=lambda r: r.kind != "detector")
+    of = lambda kind: [r for r in used if r.kind == kind and (r.expression or r.terms)]
+    df = df.select(key, "text")
+    parts = [df.sparkSession.createDataFrame([], df.select(key).schema.add("rule_id", "string").add("count", "long"))]
+    if detectors := {r.expression: r.rule_id for r in of("detector")}:
+        found = with_detections(df, keys=list(detectors)).select(key, F.explode("detections").alias("d"))
+        names = F.create_map(*[F.lit(x) for pair in detectors.items() for x in pair])
+        parts.append(found.groupBy(key, names[F.col("d.detector_key")].alias("rule_id")).agg(F.count("*").alias("count")))
+    if words := {r.rule_id: r.expression for r in of("keyword")}:
+        parts.append(keyword_matches(df, words, key))
+    if patterns := {r.rule_id: r.expression for r in of("regex")}:
+        parts.append(regex_matches(df, patterns, key).select(key, "rule_id", F.col("match_count").alias("count")))
+    if contexts := {r.rule_id: (list(r.terms), r.least) for r in of("context_rule")}:
+        parts.append(context_matches(df, contexts, key).select(key, "rule_id", F.col("n_conditions").alias("count")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    about = [(r.rule_id, n, r.kind, CONFIDENCE[r.kind], reason_code(r), r.severity, r.action) for n, r in enumerate(used) if r.kind in CONFIDENCE]
+    columns = "rule_id string, place int, kind string, confidence int, reason_code string, severity string, action string"
+    return out.join(df.sparkSession.createDataFrame(about, columns), "rule_id").select(key, "place", "rule_id", "kind", "count", "confidence", "reason_code", "severity", "action")

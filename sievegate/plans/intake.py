@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievegate.functions.spans import spans
-from sievegate.operators import analytics, inputs, mapping, requests
+from sievegate.functions.detectors import SECRET
+from sievegate.functions.scalars import normalize_text
+from sievegate.functions.spans import restored, spans
+from sievegate.operators import analytics, inputs, mapping, requests, rules
 from sievegate.sources import views
 from sievegate.sources.views import sql
 
@@ -14,6 +16,14 @@ OUTCOMES = ["ok", "ok", "ok", "timeout", "failed", "partial"]
 KINDS = ["image", "pdf", "code", "slide", "movie", "unknown"]
 MIMES = [" Text/HTML ", "text", "image/png", "a b/c"]
 EXTENSIONS = [".HTML", "tar.gz", "txt ", "..x1"]
+CATALOGUE = [
+    rules.Rule("k1", "keyword", "custom", "Word one", "low", "WARN", "the"),
+    rules.Rule("off", "keyword", "custom", "Off", "low", "WARN", "and", enabled=False),
+    rules.Rule("secret", "regex", "built_in", "API secret", "critical", "BLOCK", SECRET),
+    rules.Rule("gone", "regex", "custom", "Gone", "low", "WARN", "e", archived=True),
+    rules.Rule("ctx", "context_rule", "custom", "Two words", "high", "MASK", terms=("and", "tion", "que"), least=2),
+    rules.Rule("email", "detector", "built_in", "Email Address", "medium", "MASK", "EMAIL"),
+]
 COMPOSER_BYTES, PASTE_BYTES = 150, 200
 
 
@@ -120,7 +130,18 @@ def signal_sets(spark, d):
     return mapping.signal_sets(_mapped(spark, d, True))
 
 
-QUERIES = [request_checks, adapted_inputs, upload_intake, first_composer_inputs, content_unavailable_inputs, capped_texts, safe_evidence, performance_verdicts, audit_counts, events_filtered, overview_chart, active_admins, checked_segments, signals_mapped, signal_sets]
+def rules_in_order(spark, d):
+    return rules.all_matches(views.table(spark, d, "documents"), CATALOGUE, "doc_id")
+
+
+def restored_ranges(spark, d):
+    """Sentence ends found in the normalised text, where they are in the text itself, in which every stop stands three times."""
+    rows = views.table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\.", "...").alias("t"))
+    found = rows.select("doc_id", "t", F.explode(spans(normalize_text(F.col("t")), r"\. [A-Z]")).alias("s")).select("doc_id", restored(F.col("t"), F.col("s")).alias("o"))
+    return found.select("doc_id", "o.start", "o.end")
+
+
+QUERIES = [rules_in_order, restored_ranges, request_checks, adapted_inputs, upload_intake, first_composer_inputs, content_unavailable_inputs, capped_texts, safe_evidence, performance_verdicts, audit_counts, events_filtered, overview_chart, active_admins, checked_segments, signals_mapped, signal_sets]
 
 
 def _list(names) -> str:
@@ -138,7 +159,19 @@ met AS (SELECT input_id, signal_id, ['low','high','info','critical','medium'][st
 cut AS (SELECT doc_id AS input_id, unnest(generate_series(0, length(text) // 50)) AS atom FROM documents),
 one AS (SELECT input_id, atom // 3 AS segment, count(DISTINCT atom % 9 = 4) = 1 AS one FROM cut GROUP BY ALL)"""
 
+_EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+"
+_SECRET_RULE = SECRET.replace("'", "''")
+
 SQL = {
+    "rules_in_order": f"""WITH n AS (SELECT doc_id, text, lower(array_to_string(list_transform(list_filter(generate_series(1, len(c)), lambda i: i = 1 OR c[i] <> c[i-1] OR NOT regexp_matches(c[i], '^[\\pP\\pS]$')), lambda i: c[i]), '')) AS norm
+  FROM (SELECT doc_id, text, string_split(text, '') AS c FROM documents)),
+m AS (SELECT doc_id, 0 AS place, 'email' AS rule_id, 'detector' AS kind, len(regexp_extract_all(text, '{_EMAIL}')) AS count, 100 AS confidence, 'BUILT_IN_DETECTOR_EMAIL' AS reason_code, 'medium' AS severity, 'MASK' AS action FROM n
+UNION ALL SELECT doc_id, 1, 'k1', 'keyword', (length(norm) - length(replace(norm, 'the', ''))) // 3, 90, 'CUSTOM_KEYWORD_WORD_ONE', 'low', 'WARN' FROM n
+UNION ALL SELECT doc_id, 2, 'secret', 'regex', len(regexp_extract_all(text, '{_SECRET_RULE}')), 90, 'BUILT_IN_REGEX_API_SECRET', 'critical', 'BLOCK' FROM n
+UNION ALL SELECT doc_id, 3, 'ctx', 'context_rule', CASE WHEN k >= 2 THEN k ELSE 0 END, 80, 'CUSTOM_CONTEXT_RULE_TWO_WORDS', 'high', 'MASK' FROM (SELECT doc_id, CAST(contains(norm, 'and') AS INTEGER) + CAST(contains(norm, 'tion') AS INTEGER) + CAST(contains(norm, 'que') AS INTEGER) AS k FROM n))
+SELECT * REPLACE (CAST(count AS BIGINT) AS count) FROM m WHERE count > 0""",
+    "restored_ranges": r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS start, CAST(i - 1 + length(m) AS INTEGER) AS "end" FROM (SELECT doc_id, i, regexp_extract(t[i:], '^\.+ [A-Z]') AS m FROM
+  (SELECT doc_id, t, unnest(list_filter(generate_series(1, len(c)), lambda i: c[i] = '.' AND (i = 1 OR c[i - 1] <> '.'))) AS i FROM (SELECT doc_id, t, string_split(t, '') AS c FROM (SELECT doc_id, replace(text, '.', '...') AS t FROM documents)))) WHERE m <> ''""",
     "request_checks": sql(
         f"""SELECT request_id, concat_ws(',', CASE WHEN c IS NULL OR NOT regexp_full_match(c, '[A-Za-z0-9][A-Za-z0-9._:-]*') THEN 'client_request_id_pattern' END, CASE WHEN regexp_matches(c, '{_SECRET}') THEN 'client_request_id_secret_like' END,
   CASE WHEN request_id % 3 = 0 THEN 'revision_pattern' END, CASE WHEN n > 20 THEN 'too_many_inputs' END, CASE WHEN ids < n THEN 'repeated_input_id' END) AS violations

@@ -1,8 +1,11 @@
+import itertools
 import math
+import unicodedata
 
 from pyspark.sql import functions as F
 
-from sievegate.operators import mapping, requests
+from sievegate.functions.spans import restored
+from sievegate.operators import mapping, requests, rules
 
 
 def test_metadata(spark):
@@ -55,3 +58,26 @@ def test_uploads(spark):
     rows = [(1, "pdf", " Text/HTML ", ".PDF", 0), (2, "movie", None, None, 5), (3, "code", "a b", "x.y", 16_385), (4, None, "", "", 1 << 21)]
     df = requests.upload_intake(spark.createDataFrame(rows, "id int, file_kind string, mime_hint string, extension_hint string, size long"))
     assert {r.id: (r.rejected, r.mime, r.extension, r.bucket) for r in df.collect()} == {1: (None, "text/html", "pdf", "empty"), 2: ("unsupported_kind", None, None, None), 3: (None, None, None, "small"), 4: ("unsupported_kind", None, None, None)}
+
+
+def test_restored_ranges(spark):
+    texts = ["a!!b..", "...", "--==x", "a🙂🙂🙂b!!", "", "plain", "!!a!!"]
+    rows = [(t, s, e) for t in texts for s in range(-1, 7) for e in range(8)]
+
+    def plain(t, s, e):
+        runs = [list(g) for _, g in itertools.groupby(range(len(t)), lambda i: (t[i], None if unicodedata.category(t[i])[0] in "PS" else i))]
+        return (runs[s][0], runs[e - 1][-1] + 1) if 0 <= s < e <= len(runs) else None
+
+    df = spark.createDataFrame(rows, "t string, start int, end int")
+    for r in df.withColumn("o", restored(F.col("t"), F.struct("start", "end"))).collect():
+        assert (r.o and tuple(r.o)) == plain(r.t, r.start, r.end), r
+
+
+def test_rules_in_order(spark):
+    R = rules.Rule
+    catalogue = [R("k", "keyword", "custom", "My word", "low", "WARN", "stop"), R("c", "context_rule", "custom", "ctx", "high", "MASK", terms=("one", "two"), least=2), R("x", "regex", "built_in", "Code", "low", "BLOCK", "[0-9]{3}z"), R("card", "detector", "built_in", "Card", "high", "MASK", "CARD"), R("off", "keyword", "custom", "Off", "low", "WARN", "one", enabled=False), R("other", "keyword", "imported", "O", "low", "WARN", "one")]
+    rows = [(1, "Stop stop 123z one TWO 4111 1111 1111 1111"), (2, "one"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = [(r.id, r.rule_id, r["count"], r.confidence, r.reason_code) for r in rules.all_matches(df, catalogue, "id").orderBy("id", "place").collect()]
+    assert got == [(1, "card", 1, 100, "BUILT_IN_DETECTOR_CARD"), (1, "k", 2, 90, "CUSTOM_KEYWORD_MY_WORD"), (1, "c", 2, 80, "CUSTOM_CONTEXT_RULE_CTX"), (1, "x", 1, 90, "BUILT_IN_REGEX_CODE")]
+    assert rules.all_matches(df, [], "id").count() == 0
