@@ -34,10 +34,10 @@ def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def restored(text: Column, span: Column) -> Column:
+def restored(runs: Column, n_chars: Column, span: Column) -> Column:
     """Of a span (start, end) of the normalised text, the span of the text itself; null where it is empty or out of bounds. A run of
-    one mark is one character of the normalised text: it is within a span as a whole or not at all."""
-    runs = spans(text, REPEATED)
+    one mark is one character of the normalised text: it is within a span as a whole or not at all. runs: spans(text, REPEATED), made
+    once a text; n_chars: the text's length."""
     back = lambda o: F.aggregate(runs, o, lambda a, r: F.when(r["start"] < a, a + r["end"] - r["start"] - 1).otherwise(a))
     lo, hi = back(span["start"]), back(span["end"])
-    return F.when((span["start"] >= 0) & (span["start"] < span["end"]) & (hi <= F.length(text)), F.struct(lo.alias("start"), hi.alias("end")))
+    return F.when((span["start"] >= 0) & (span["start"] < span["end"]) & (hi <= n_chars), F.struct(lo.alias("start"), hi.alias("end")))

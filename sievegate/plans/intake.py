@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievegate.functions.detectors import SECRET
 from sievegate.functions.scalars import normalize_text
-from sievegate.functions.spans import restored, spans
+from sievegate.functions.spans import REPEATED, restored, spans
 from sievegate.operators import analytics, inputs, mapping, requests, rules
 from sievegate.sources import views
 from sievegate.sources.views import sql
@@ -137,7 +137,8 @@ def rules_in_order(spark, d):
 def restored_ranges(spark, d):
     """Sentence ends found in the normalised text, where they are in the text itself, in which every stop stands three times."""
     rows = views.table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\.", "...").alias("t"))
-    found = rows.select("doc_id", "t", F.explode(spans(normalize_text(F.col("t")), r"\. [A-Z]")).alias("s")).select("doc_id", restored(F.col("t"), F.col("s")).alias("o"))
+    runs = rows.select("doc_id", spans(F.col("t"), REPEATED).alias("runs"), F.length("t").alias("n"), spans(normalize_text(F.col("t")), r"\. [A-Z]").alias("found"))
+    found = runs.select("doc_id", "runs", "n", F.explode("found").alias("s")).select("doc_id", restored(F.col("runs"), F.col("n"), F.col("s")).alias("o"))
     return found.select("doc_id", "o.start", "o.end")
 
 

@@ -4,7 +4,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from sievegate.functions.spans import restored
+from sievegate.functions.spans import REPEATED, restored, spans
 from sievegate.operators import mapping, requests, rules
 
 
@@ -69,7 +69,7 @@ def test_restored_ranges(spark):
         return (runs[s][0], runs[e - 1][-1] + 1) if 0 <= s < e <= len(runs) else None
 
     df = spark.createDataFrame(rows, "t string, start int, end int")
-    for r in df.withColumn("o", restored(F.col("t"), F.struct("start", "end"))).collect():
+    for r in df.withColumn("o", restored(spans(F.col("t"), REPEATED), F.length("t"), F.struct("start", "end"))).collect():
         assert (r.o and tuple(r.o)) == plain(r.t, r.start, r.end), r
 
 
