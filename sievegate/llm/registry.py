@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievegate.llm import bpe, digests, langid, lines, near, packing, quality, suffix, warc, wavelet
+from sievegate.llm import bpe, digests, langid, lines, near, packing, quality, suffix, toxicity, tries, vectors, warc, wavelet
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_minhash_near_dedup": near.op8_minhash_near_dedup,
         "op9_fingerprints": digests.op9_fingerprints,
         "op10_suffix_dedup": suffix.op10_suffix_dedup,
+        "op11_vector_codes": vectors.op11_vector_codes,
+        "op12_toxicity": toxicity.op12_toxicity,
+        "op13_prefix_trie": tries.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_warc_normaliser": warc.ORACLE, "op4_line_dedup": lines.ORACLE, "op6_quality_rules": quality.ORACLE}
+    return {"op2_warc_normaliser": warc.ORACLE, "op4_line_dedup": lines.ORACLE, "op6_quality_rules": quality.ORACLE, "op11_vector_codes": vectors.ORACLE, "op13_prefix_trie": tries.ORACLE}
