@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, most_features
         if left < 0:
             break
         last = r
-    within = F.struct(*order) <= F.struct(*[F.lit(last[c]) for c in order]) if last else F.lit(False)
+    within = F.struct(*[F.col(c).cast("long").alias(c) for c in order]) <= F.struct(*[F.lit(last[c]).cast("long").alias(c) for c in order]) if last else F.lit(False)
     rows_ = texts.where(within).orderBy(*order).limit(2 * per_label).collect()  # most_features at most
     remove(spark, path)
     sample = [(np.frombuffer(r["places"], "<i4"), np.frombuffer(r["sentences"], "<i4"), r["n"], r["toxic"]) for r in rows_]
