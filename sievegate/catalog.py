@@ -8,7 +8,7 @@ from sievegate.functions import scalars
 from sievegate.functions.detectors import SECRET, with_detections
 from sievegate.functions.spans import at
 from sievegate.operators import analytics, inputs, masking, policy, rules, segments
-from sievegate.plans import cascade, dashboards, intake, parsing
+from sievegate.plans import cascade, dashboards, intake, parsing, scanning
 from sievegate.sources import files, views
 from sievegate.streaming import limits
 
@@ -249,10 +249,10 @@ _QUERIES = [
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in [*_QUERIES, *dashboards.QUERIES, *cascade.QUERIES, *intake.QUERIES, *parsing.QUERIES]}
+    return {f.__name__: f for f in [*_QUERIES, *dashboards.QUERIES, *cascade.QUERIES, *intake.QUERIES, *parsing.QUERIES, *scanning.QUERIES]}
 
 
 def oracle_sql() -> dict:
     from sievegate import oracle
 
-    return oracle.SQL | dashboards.SQL | cascade.SQL | intake.SQL | parsing.SQL
+    return oracle.SQL | dashboards.SQL | cascade.SQL | intake.SQL | parsing.SQL | scanning.SQL

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievegate.functions.detectors import with_detections
 from sievegate.functions.scalars import ACTIONS, normalize_text, rank_of, risk_level, severity_score
 from sievegate.functions.spans import spans
+from sievegate.operators import lexical
 
 # Built-in detector rules (key, category, label, severity, action).
 BUILT_IN = [
@@ -32,6 +33,9 @@ CONTEXT = [
 ]
 
 
+RULE_TABLE = "pattern_id string, kind string, expression string, signal_type string, case_sensitive boolean"
+
+
 def built_in_rules(spark: SparkSession) -> DataFrame:
     rows = [(f"detector:{d}", n, d, c, label, s, a) for n, (d, c, label, s, a) in enumerate(BUILT_IN)]
     return spark.createDataFrame(rows, "rule_id string, rule_order int, detector_key string, category string, label string, severity string, action string")
@@ -60,17 +64,13 @@ def keyword_matches(df: DataFrame, keywords: dict[str, str], *keys: str) -> Data
 
 
 def regex_matches(df: DataFrame, patterns: dict[str, str], key: str, text: str = "text") -> DataFrame:
-    """key, rule_id, match_count, value_lengths (of each match, in order), confidence of the regex rules that match. Patterns are
-    tried one by one, each behind a test that most texts fail. A pattern that does not compile, or that matches the empty string,
-    is an error before anything runs."""
-    for pattern in patterns.values():
-        compiled = df.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
-        if compiled.matcher("").matches():
-            raise ValueError("a pattern must not match the empty string")
-    lengths = lambda p: F.when(F.col(text).rlike(p), F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), lambda x: F.length(x)))
-    each = F.array(*[F.struct(F.lit(rule).alias("rule_id"), lengths(p).alias("value_lengths")) for rule, p in patterns.items()])
-    found = df.select(key, F.explode(each).alias("x")).where("x.value_lengths IS NOT NULL")
-    return found.select(key, "x.rule_id", F.size("x.value_lengths").cast("long").alias("match_count"), "x.value_lengths", F.lit(90).alias("confidence"))
+    """key, rule_id, match_count, value_lengths (of each match in the text itself, in order), confidence of the regex rules that match
+    the normalised text without regard to case. A pattern that does not compile never matches: ``lexical.warnings`` tells of it."""
+    table = df.sparkSession.createDataFrame([(rule, "regex", p, "regex", False) for rule, p in patterns.items()], RULE_TABLE)
+    found = lexical.scan(df.select(key, F.col(text).alias("text")), table, [key]).where("start IS NOT NULL")
+    lengths = F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda x: x["end"] - x["start"])
+    per = found.groupBy(key, F.col("pattern_id").alias("rule_id")).agg(F.count("*").alias("match_count"), lengths.alias("value_lengths"))
+    return per.select(key, "rule_id", "match_count", "value_lengths", F.lit(90).alias("confidence"))
 
 
 def context_matches(df: DataFrame, rules: dict[str, tuple[list[str], int]], *keys: str) -> DataFrame:

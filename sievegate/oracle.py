@@ -74,10 +74,12 @@ SELECT page, bucket, reason, reason IS NOT NULL AS candidate, reason IS NOT NULL
     "signal_ids": """WITH RECURSIVE hit(doc_id, text, start) AS (SELECT doc_id, text, strpos(text, 'Th') - 1 FROM documents WHERE strpos(text, 'Th') > 0
 UNION ALL SELECT doc_id, text, start + 1 + strpos(text[start + 3:], 'Th') FROM hit WHERE strpos(text[start + 3:], 'Th') > 0)
 SELECT doc_id, CAST(start AS BIGINT) AS start, 'sig_' || substr(sha256(doc_id || ':b0:p:' || start || ':' || (start + 2)), 1, 20) AS signal_id FROM hit""",
-    "rule_regex_matches": " UNION ALL ".join(
-        f"SELECT doc_id, '{rule}' AS rule_id, CAST(len(m) AS BIGINT) AS match_count, array_to_string(list_transform(m, lambda x: length(x)), ',') AS value_lengths, 90 AS confidence FROM (SELECT doc_id, regexp_extract_all(text, '{pattern.replace(chr(39), chr(39) * 2)}') AS m FROM documents) WHERE len(m) > 0"
-        for rule, pattern in (("custom:secret", SECRET), ("custom:token", TOKEN))
-    ),
+    # of the normalised text, lengths in the text itself: kept lists the places of the characters that stay, and the end
+    "rule_regex_matches": f"""WITH n AS (SELECT doc_id, array_to_string(list_transform(kept, lambda i: c[i]), '') AS norm, list_append(kept, len(c) + 1) AS kept
+  FROM (SELECT doc_id, c, list_filter(generate_series(1, len(c)), lambda i: i = 1 OR c[i] <> c[i-1] OR NOT regexp_matches(c[i], '^[\\pP\\pS]$')) AS kept FROM (SELECT doc_id, string_split(text, '') AS c FROM documents))),
+m AS ({" UNION ALL ".join(f"SELECT doc_id, kept, '{rule}' AS rule_id, list_transform(regexp_extract_all(norm, '{quoted}'), lambda x: length(x)) AS l, list_transform(string_split_regex(norm, '{quoted}'), lambda x: length(x)) AS g FROM n" for rule, quoted in (("custom:secret", SECRET.replace(chr(39), chr(39) * 2)), ("custom:token", TOKEN)))}),
+p AS (SELECT *, list_transform(generate_series(1, len(l)), lambda i: list_sum(g[1:i]) + coalesce(list_sum(l[1:i - 1]), 0)) AS s FROM m WHERE len(l) > 0)
+SELECT doc_id, rule_id, CAST(len(l) AS BIGINT) AS match_count, array_to_string(list_transform(generate_series(1, len(l)), lambda i: kept[CAST(s[i] + l[i] + 1 AS BIGINT)] - kept[CAST(s[i] + 1 AS BIGINT)]), ',') AS value_lengths, 90 AS confidence FROM p""",
     "request_violations": sql("""SELECT request_id, input_index, concat_ws(',', CASE WHEN inc AND c IS NULL THEN 'CONTENT_MISSING' END, CASE WHEN NOT inc AND c IS NOT NULL THEN 'CONTENT_NOT_ALLOWED' END, CASE WHEN inc AND octet_length(encode(c)) <> length(content) THEN 'SIZE_MISMATCH' END, CASE WHEN inc AND octet_length(encode(c)) > CASE WHEN source = 'composer' THEN 262144 ELSE 1048576 END THEN 'CONTENT_TOO_LARGE' END) AS violations
   FROM (SELECT *, input_index % 4 <> 3 AS inc, CASE WHEN input_index % 5 <> 4 THEN content END AS c FROM v_requests)""", "v_requests"),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievegate.functions.detectors import SECRET
+from sievegate.functions.detectors import EMAIL, SECRET
 from sievegate.functions.scalars import normalize_text
 from sievegate.functions.spans import REPEATED, restored, spans
 from sievegate.operators import analytics, inputs, mapping, requests, rules
@@ -151,7 +151,7 @@ def _list(names) -> str:
 
 _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 _STRING = "CASE WHEN json_valid(metadata) AND json_type(metadata, '$.{0}') = 'VARCHAR' THEN json_extract_string(metadata, '$.{0}') END"
-_SECRET = r"(?i)(gh[pousr]_|sk-[a-z0-9]|xox[baprs]-|akia[0-9a-z]|postgres://|mysql://|bearer|private[_-]?key)"
+_SECRET = requests.SECRET_LIKE
 _MAPPED = """RECURSIVE hit(input_id, text, signal_id, start) AS (SELECT doc_id, text, 0, strpos(text, 'th') - 1 FROM documents WHERE strpos(text, 'th') > 0
 UNION ALL SELECT input_id, text, signal_id + 1, start + 1 + strpos(text[start + 3:], 'th') FROM hit WHERE strpos(text[start + 3:], 'th') > 0),
 met AS (SELECT input_id, signal_id, ['low','high','info','critical','medium'][start % 5 + 1] AS severity, atom // 3 AS segment, count(*) AS n_atoms
@@ -160,7 +160,8 @@ met AS (SELECT input_id, signal_id, ['low','high','info','critical','medium'][st
 cut AS (SELECT doc_id AS input_id, unnest(generate_series(0, length(text) // 50)) AS atom FROM documents),
 one AS (SELECT input_id, atom // 3 AS segment, count(DISTINCT atom % 9 = 4) = 1 AS one FROM cut GROUP BY ALL)"""
 
-_EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+"
+#: Without what stands before and after an address: RE2 has no lookaround.
+_EMAIL = EMAIL.split(")", 1)[1].rsplit("(?!", 1)[0]
 _SECRET_RULE = SECRET.replace("'", "''")
 
 SQL = {
@@ -168,7 +169,7 @@ SQL = {
   FROM (SELECT doc_id, text, string_split(text, '') AS c FROM documents)),
 m AS (SELECT doc_id, 0 AS place, 'email' AS rule_id, 'detector' AS kind, len(regexp_extract_all(text, '{_EMAIL}')) AS count, 100 AS confidence, 'BUILT_IN_DETECTOR_EMAIL' AS reason_code, 'medium' AS severity, 'MASK' AS action FROM n
 UNION ALL SELECT doc_id, 1, 'k1', 'keyword', (length(norm) - length(replace(norm, 'the', ''))) // 3, 90, 'CUSTOM_KEYWORD_WORD_ONE', 'low', 'WARN' FROM n
-UNION ALL SELECT doc_id, 2, 'secret', 'regex', len(regexp_extract_all(text, '{_SECRET_RULE}')), 90, 'BUILT_IN_REGEX_API_SECRET', 'critical', 'BLOCK' FROM n
+UNION ALL SELECT doc_id, 2, 'secret', 'regex', len(regexp_extract_all(norm, '{_SECRET_RULE}')), 90, 'BUILT_IN_REGEX_API_SECRET', 'critical', 'BLOCK' FROM n
 UNION ALL SELECT doc_id, 3, 'ctx', 'context_rule', CASE WHEN k >= 2 THEN k ELSE 0 END, 80, 'CUSTOM_CONTEXT_RULE_TWO_WORDS', 'high', 'MASK' FROM (SELECT doc_id, CAST(contains(norm, 'and') AS INTEGER) + CAST(contains(norm, 'tion') AS INTEGER) + CAST(contains(norm, 'que') AS INTEGER) AS k FROM n))
 SELECT * REPLACE (CAST(count AS BIGINT) AS count) FROM m WHERE count > 0""",
     "restored_ranges": r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS start, CAST(i - 1 + length(m) AS INTEGER) AS "end" FROM (SELECT doc_id, i, regexp_extract(t[i:], '^\.+ [A-Z]') AS m FROM
