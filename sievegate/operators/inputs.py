@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +61,31 @@ def signals_to_segments(signals: DataFrame, segments: DataFrame) -> DataFrame:
     return met.groupBy("input_id", "signal_id").agg(F.min("segment").alias("segment"))
 
 
+#: White space and line ends as Python's str has them.
+SPACE = r"[\t-\r\x{1C}-\x{20}\x{85}\p{Z}]"
+LINE_END = r"\r\n|[\n-\r\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+\\z", "")
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once, also within the lambdas of use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def chunks(text: Column, size: int = 900, overlap: int = 120, most: int = 8) -> Column:
     """A short text whole; else windows of size characters and lines of 80 to size, without repeats (white space aside), the first few."""
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - overlap, F.lit(1)), F.lit(size - overlap)), lambda k: F.substring(text, k, F.lit(size)))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x).between(80, size))
-    tidy = F.transform(F.concat(windows, lines), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.slice(F.array_distinct(tidy), 1, most))
+    tidy = lambda x: F.struct(F.regexp_replace(x, f"{SPACE}+", " ").alias("key"), x.alias("chunk"))
+
+    def parts(t: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - overlap, F.lit(1)), F.lit(size - overlap)), lambda k: stripped(F.substring(t, k, F.lit(size))))
+        lines = F.filter(F.transform(F.split(t, LINE_END), stripped), lambda x: F.length(x).between(80, size))
+        return F.filter(F.when(F.length(t) <= size, F.array(t)).otherwise(F.concat(windows, lines)), lambda x: x != "")
+
+    def firsts(found: Column) -> Column:
+        keys = F.slice(F.array_distinct(F.transform(found, lambda x: x["key"])), 1, most)
+        return F.transform(keys, lambda key: F.element_at(F.filter(found, lambda x: x["key"] == key), 1)["chunk"])
+
+    return _with(F.transform(_with(stripped(text), parts), tidy), firsts)
