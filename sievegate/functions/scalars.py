@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from pyspark.sql import Column
@@ -65,3 +66,46 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms)
+
+
+@functools.cache
+def _meaningful() -> tuple[dict[int, str], str, str, str, str]:
+    """For each number of letters and digits that a character other than ASCII is when normalised (NFKC), the class of these
+    characters; and the classes of what ends in a leading consonant, in a vowel, in a syllable without final, in a final, of Hangul."""
+    import unicodedata
+
+    by_count: dict[int, list[int]] = {}
+    jamo: dict[str, list[int]] = {k: [] for k in "LVST"}
+    for code in range(128, 0x110000):
+        if 0xD800 <= code < 0xE000:
+            continue
+        form = unicodedata.normalize("NFKC", chr(code))
+        if n := sum(unicodedata.category(x)[0] in "LN" for x in form):
+            by_count.setdefault(n, []).append(code)
+        if len(form) == 1:
+            x = ord(form)
+            kind = "L" if 0x1100 <= x < 0x1113 else "V" if 0x1161 <= x < 0x1176 else "T" if 0x11A8 <= x < 0x11C3 else "S" if 0xAC00 <= x < 0xD7A4 and (x - 0xAC00) % 28 == 0 else ""
+            if kind:
+                jamo[kind].append(code)
+    classes = {n: _class(codes) for n, codes in by_count.items()}
+    return classes, *[_class(jamo[k]) for k in "LVST"]
+
+
+def _class(codes: list[int]) -> str:
+    ranges, begin = [], codes[0]
+    for a, b in zip(codes, [*codes[1:], -1], strict=True):
+        if b != a + 1:
+            ranges.append(f"\\x{{{begin:X}}}-\\x{{{a:X}}}")
+            begin = b
+    return "[" + "".join(ranges) + "]"
+
+
+def meaningful_characters(text: Column) -> Column:
+    """How many letters and numbers a text has after compatibility composition (NFKC), without normalising it: characters count by
+    what they become, and where Hangul parts that follow each other become one syllable, it counts once. Null: null."""
+    classes, lead, vowel, open_, final = _meaningful()
+    other = F.regexp_replace(text, r"[\x00-\x7F]+", " ")
+    n = F.regexp_count(text, F.lit("[0-9A-Za-z]"))
+    for k, chars in classes.items():
+        n = n + k * F.regexp_count(other, F.lit(chars))
+    return n - F.regexp_count(other, F.lit(lead + vowel)) - F.regexp_count(other, F.lit(f"(?:{lead}{vowel}|{open_}){final}"))

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievegate.functions.keys import unsafe_metadata  # noqa: F401  a check of requests like the others
+
 # Patterns, names and limits that the results depend on.
 REQUEST_ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"
 REVISION = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,79}$"
 SECRET_LIKE = r"(?i)(?:gh[pousr]_|sk-[A-Za-z0-9]|xox[baprs]-|AKIA[0-9A-Z]|postgres://|mysql://|bearer|private[_-]?key)"
-UNSAFE_KEYS = ["name", "filename", "file_name", "original_filename", "path", "url"]
 FILE_KINDS = ["plain_text", "image", "pdf", "office_document", "spreadsheet", "slide", "code", "unknown"]
 MIME, EXTENSION = r"^[a-z0-9.+-]+/[a-z0-9.+-]+$", r"^[a-z0-9]{1,16}$"
 COUNT_KEYS = ["match_count", "matched_condition_count", "keyword_count"]
-MOST_INPUTS, METADATA_CHARS, TINY_BYTES, UPLOAD_BYTES, MOST_KEYWORDS = 20, 2048, 16_384, 1 << 20, 50
+MOST_INPUTS, TINY_BYTES, UPLOAD_BYTES, MOST_KEYWORDS = 20, 16_384, 1 << 20, 50
 
 
 def request_checks(inputs: DataFrame) -> DataFrame:
@@ -26,12 +27,6 @@ def request_checks(inputs: DataFrame) -> DataFrame:
     return per.select("request_id", F.array_compact(F.array(*checks)).alias("violations"))
 
 
-def unsafe_metadata(metadata: Column) -> Column:
-    """Whether a JSON text is too long, is no JSON, or has a key at any depth that may name a file; null metadata is safe."""
-    key = r'(?i)(?<!\\)"(?:' + "|".join(UNSAFE_KEYS) + r')"\s*:'
-    return metadata.isNotNull() & (F.try_parse_json(metadata).isNull() | (F.length(metadata) > METADATA_CHARS) | metadata.rlike(key))
-
-
 def json_string(metadata: Column, name: str) -> Column:
     """The value of a top-level key where it is a string, else null."""
     value = F.try_variant_get(F.try_parse_json(metadata), f"$.{name}", "variant")
