@@ -11,7 +11,7 @@ components by alternating large-star and small-star. Buckets that still hold sev
 with further hubs, then all in blocks, for pairs between different components that sizes and signatures do not rule out.
 
 Defined results: a text without words, or a null one, has an empty set and no link. Rows that repeat a doc_id
-are judged each by its own text. A row without doc_id has no link; its component_id is null and it is kept. Of equal sets the
+are one document as to links: what is near one of them is in the component of all; n_shingles is that of the row. A row without doc_id has no link; its component_id is null and it is kept. Of equal sets the
 smallest doc_id is kept. An empty table gives an empty one. Very long texts are read whole; blocks hold a bounded number of hashes.
 Other columns are ignored, whatever their names.
 """

@@ -126,17 +126,17 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     return lead.groupBy("stratum").agg(F.max_by(F.struct("rung", "n_good", "n_bad", "k", "bad"), F.struct("lead", -F.col("rung"))).alias("x")).select("stratum", F.col("x.rung").alias("last"), "x.n_good", "x.n_bad", "x.k", "x.bad")
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """doc_id and the measures of each document with base_failed and kept."""
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, more and the measures of each document with base_failed and kept. more: columns of docs that are carried along."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), "text")
-    measured, _ = materialize(measures(rows, ["doc_id", "stratum"]).withColumn("rung", rung()), "quality")  # a few numbers a document; the texts are read once
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), *more, "text")
+    measured, _ = materialize(measures(rows, ["doc_id", "stratum", *more]).withColumn("rung", rung()), "quality")  # a few numbers a document; the texts are read once
     chosen, path = materialize(cutoffs(measured, labels, alpha, delta).select("stratum", "last"), "cutoffs")
     if (found := chosen.limit(BROADCAST_STRATA + 1).collect()) and len(found) <= BROADCAST_STRATA:
         chosen = F.broadcast(spark.createDataFrame(found, chosen.schema))
         remove(spark, path)
     verdict = ~F.col("base_failed") & F.coalesce(F.col("rung") > F.col("last"), F.col("rung").isNull() | F.col("last").isNull())
-    return measured.join(chosen, "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", verdict.alias("kept"))
+    return measured.join(chosen, "stratum", "left").select("doc_id", *more, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", verdict.alias("kept"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

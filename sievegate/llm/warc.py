@@ -61,17 +61,18 @@ class Inflated:
     """Bytes of a gzip stream, of one member or more, inflated as they are asked for."""
 
     def __init__(self, read: Callable[[int], bytes]):
-        self.read, self.held, self.z, self.rest = read, bytearray(), zlib.decompressobj(31), b""
+        self.read, self.held, self.z, self.rest, self.open = read, bytearray(), zlib.decompressobj(31), b"", False
 
     def more(self) -> bool:
         while True:
             if self.z.eof:
-                self.rest, self.z = self.z.unused_data, zlib.decompressobj(31)
+                self.rest, self.z, self.open = self.z.unused_data, zlib.decompressobj(31), False
             raw = self.rest or self.read(CHUNK)
             self.rest = b""
             if not raw:
                 return False
             out = self.z.decompress(raw, 4 * CHUNK)
+            self.open = not self.z.eof  # begun, and its trailer not reached
             if self.z.unconsumed_tail:
                 self.rest = self.z.unconsumed_tail
             if out:
@@ -97,11 +98,13 @@ class Inflated:
 
 
 def records(read: Callable[[int], bytes]) -> Iterator[bytes]:
-    """The records of a gzip stream, one by one."""
+    """The records of a gzip stream, one by one. A stream that is cut short is an error, wherever it was cut."""
     source = Inflated(read)
     while (head := source.until(b"\r\n\r\n")) is not None:
         size = next(int(x.partition(b":")[2]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
         yield source.take(len(head) + size + 4)
+    if source.open or source.held:
+        raise EOFError("the stream ends within a member or a header")
 
 
 class Draft:

@@ -90,3 +90,27 @@ def test_token_files(spark, sf_dir):
     assert sorted([tuple(r) for r in wavelet.read(shards).collect()], key=repr) == want([r[:2] for r in data])
     empty, _ = materialize(wavelet.write(cases.frame(spark, []), shared_path(spark, "test"), P.path("byte_bpe_50k.json")), "shards")
     assert wavelet.read(empty).count() == 0
+
+
+def test_a_stream_that_is_cut_short_is_an_error():
+    import io
+
+    import pytest
+
+    record = lambda k: f"WARC/1.0\r\nContent-Length: {k}\r\n\r\n".encode() + b"x" * k + b"\r\n\r\n"
+    all_ = [record(k) for k in (5, 0, 70_000, 12)]
+    members = b"".join(gzip.compress(r) for r in all_)
+    for whole in (gzip.compress(b"".join(all_)), members):
+        assert list(warc.records(io.BytesIO(whole).read)) == all_
+        for cut in {1, 5, 30, len(whole) // 2, len(whole) - 9, len(whole) - 8, len(whole) - 1}:
+            with pytest.raises((EOFError, StopIteration, RuntimeError)):
+                list(warc.records(io.BytesIO(whole[:cut]).read))
+    short = gzip.compress(b"".join(all_) + b"WARC/1.0\r\nContent-Le")
+    with pytest.raises(EOFError):
+        list(warc.records(io.BytesIO(short).read))
+    raw = b"".join(all_[:2])
+    z = __import__("zlib").compressobj(9, 8, 31)
+    unended = z.compress(raw) + z.flush(__import__("zlib").Z_SYNC_FLUSH)  # ends at a record, without a trailer
+    with pytest.raises(EOFError):
+        list(warc.records(io.BytesIO(unended).read))
+    assert list(warc.records(io.BytesIO(b"").read)) == []

@@ -37,6 +37,13 @@ def test_each_stage_against_brute_force(spark, sf_dir):
     test_packing.check(corpus_pipeline.run(spark, sf_dir).collect(), rows)
 
 
+def test_rows_of_one_doc_id_are_judged_each(spark, sf_dir):
+    good = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, good, "en", "s", 1), (1, "drop me", "en", "s", 1), (1, None, "en", "s", 1), (None, good, "en", "s", 1), (None, "short", "en", "s", 1), (2, good, None, "s", 1)]
+    out = dict(corpus_pipeline.STAGES)["quality rules"](spark, cases.frame(spark, rows), sf_dir)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, good), (None, good), (2, good)], key=repr)
+
+
 def test_odd_rows_and_none(spark, sf_dir):
     for data in (cases.rows(9), []):
         docs = cases.frame(spark, data)
