@@ -21,14 +21,12 @@ from sievegate.llm.common import documents, materialize, remove, scratch, tuned
 NEAR_PERCENT = 80
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept (null-safe)."""
-    ids = kept.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))  # rows of one doc_id are judged each by its text and lang
+    judged = quality.judge(docs.withColumns({"_text_key": key, "_lang": F.col("lang")}), spark.read.parquet(f"{sf_dir}/labels.parquet"), more=("_text_key", "_lang"))
+    kept = judged.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("_text_key").alias("_kept_text"), F.col("_lang").alias("_kept_lang")).distinct()
+    same = (key == F.col("_kept_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & F.col("lang").eqNullSafe(F.col("_kept_lang"))
+    return docs.join(kept, same, "left_semi")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +34,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near.near_duplicates(docs, NEAR_PERCENT))
+    """The rows of one doc_id are one document here: they stay or go together."""
+    kept = near.near_duplicates(docs, NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
