@@ -70,7 +70,7 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+\\z", "")
 
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value worked out once, also within the lambdas of use."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -88,4 +88,4 @@ def chunks(text: Column, size: int = 900, overlap: int = 120, most: int = 8) ->
         keys = F.slice(F.array_distinct(F.transform(found, lambda x: x["key"])), 1, most)
         return F.transform(keys, lambda key: F.element_at(F.filter(found, lambda x: x["key"] == key), 1)["chunk"])
 
-    return _with(F.transform(_with(stripped(text), parts), tidy), firsts)
+    return bound(F.transform(bound(stripped(text), parts), tidy), firsts)

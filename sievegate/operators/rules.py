@@ -102,8 +102,12 @@ class Rule(NamedTuple):
     least: int = 1
     enabled: bool = True
     archived: bool = False
+    category: str = "Custom"
+    placeholder: str = ""
 
 
+SOURCES = {"detector": "built_in_detector", "keyword": "custom_keyword", "regex": "custom_regex", "context_rule": "custom_context_rule"}
+NAMELESS = {"keyword": "CUSTOM_KEYWORD", "regex": "CUSTOM_REGEX", "context_rule": "CONTEXT_RULE"}
 CONFIDENCE = {"detector": 100, "keyword": 90, "regex": 90, "context_rule": 80}
 
 
@@ -135,3 +139,27 @@ def all_matches(df: DataFrame, catalogue: list[Rule], key: str) -> DataFrame:
     about = [(r.rule_id, n, r.kind, CONFIDENCE[r.kind], reason_code(r), r.severity, r.action) for n, r in enumerate(used) if r.kind in CONFIDENCE]
     columns = "rule_id string, place int, kind string, confidence int, reason_code string, severity string, action string"
     return out.join(df.sparkSession.createDataFrame(about, columns), "rule_id").select(key, "place", "rule_id", "kind", "count", "confidence", "reason_code", "severity", "action")
+
+
+def match_type(rule: Rule) -> str:
+    return rule.expression if rule.kind == "detector" else rule.placeholder or NAMELESS[rule.kind]
+
+
+def about(spark: SparkSession, catalogue: list[Rule]) -> DataFrame:
+    """rule_id, category, type, source, detector_id of each rule: what a match of it says of itself."""
+    rows = [(r.rule_id, r.category, match_type(r), SOURCES[r.kind], match_type(r)) for r in catalogue if r.kind in SOURCES]
+    return spark.createDataFrame(rows, "rule_id string, category string, type string, source string, detector_id string")
+
+
+def masking_spans(df: DataFrame, catalogue: list[Rule], key: str) -> DataFrame:
+    """key, start, end, detector_key (the placeholder) of all that the rules whose action is MASK match in df (key, text). Context rules
+    have no places."""
+    used = [r for r in catalogue if r.enabled and not r.archived and r.action == "MASK" and r.expression]
+    df = df.select(key, "text")
+    out = df.select(key).limit(0).withColumns({"start": F.lit(0), "end": F.lit(0), "detector_key": F.lit("")})
+    if detectors := [r.expression for r in used if r.kind == "detector"]:
+        out = out.unionByName(with_detections(df, keys=detectors).select(key, F.explode("detections").alias("d")).select(key, "d.start", "d.end", "d.detector_key"))
+    if lexical_ := [(r.rule_id, r.kind, r.expression, match_type(r), False) for r in used if r.kind in ("keyword", "regex")]:
+        found = lexical.scan(df, df.sparkSession.createDataFrame(lexical_, RULE_TABLE), [key]).where("start IS NOT NULL")
+        out = out.unionByName(found.select(key, "start", "end", F.col("signal_type").alias("detector_key")))
+    return out

@@ -1,0 +1,104 @@
+"""Masking by rules, public responses, and the contract of responses against a plain reading of it."""
+
+import json
+import random
+
+from pyspark.sql import functions as F
+
+from sievegate.operators import masking, response, rules
+
+
+def plain_spliced(text, spans):
+    kept = []
+    for a, b, n in sorted(set(spans), key=lambda s: (s[0] - s[1], s[0], s[2])):
+        if 0 <= a < b and not any(a < y and x < b for x, y, _ in kept):
+            kept.append((a, b, n))
+    numbers, names, counts, out = {}, {}, {}, text
+    for a, b, n in sorted(kept):
+        key = (n, " ".join(text[a:b].split()))
+        if key not in names:
+            numbers[n] = numbers.get(n, 0) + 1
+            names[key] = f"[{n}_{numbers[n]}]"
+        counts[names[key]] = counts.get(names[key], 0) + 1
+    for a, b, n in sorted(kept, reverse=True):
+        out = out[:a] + names[n, " ".join(text[a:b].split())] + out[b:]
+    return out, counts
+
+
+def test_spliced_against_the_plain_way():
+    rng = random.Random(1)
+    for _ in range(500):
+        text = "".join(rng.choice("ab  \n🙂") for _ in range(30))
+        spans = [(a := rng.randrange(-1, 30), min(30, a + rng.randrange(0, 6)), rng.choice(["X", "Y"])) for _ in range(rng.randrange(12))]
+        assert masking.spliced(text, spans) == plain_spliced(text, spans)
+
+
+RULES = [
+    rules.Rule("mail", "detector", "built_in", "Mail", "medium", "MASK", "EMAIL"), rules.Rule("name", "keyword", "custom", "Name", "low", "MASK", "kim", placeholder="NAME"), rules.Rule("num", "regex", "custom", "Number", "low", "MASK", r"no\.\d+"),
+    rules.Rule("warn", "keyword", "custom", "Warn", "high", "WARN", "careful"), rules.Rule("off", "keyword", "custom", "Off", "low", "MASK", "hello", enabled=False), rules.Rule("stop", "keyword", "custom", "Stop it", "critical", "BLOCK", "stop"), rules.Rule("ctx", "context_rule", "custom", "Ctx", "high", "MASK", terms=("hello", "kim"), least=2),
+]
+INPUTS = "request_id int, input_id string, input_index int, kind string, source string, content_included boolean, content string, unavailable_reason string, limit_exceeded string"
+
+
+def test_responses(spark):
+    t = lambda r, i, text, source="composer", kind="text", reason=None: (r, f"{r}-{i}", i, kind, source, text is not None, text, reason, None)
+    rows = [
+        t(1, 0, "nothing"), t(1, 1, "hello Kim, a@b.co and KIM at no..12 careful"), t(1, 2, "kim again"),  # masked: its first composer input with a match
+        t(2, 0, "kim", "converted_paste"), t(2, 1, "nothing here"),  # no composer input matches: nothing is masked
+        t(3, 0, "kim"), t(3, 1, "stop", "converted_paste"), t(3, 2, None, "converted_paste", "attachment_metadata"),  # blocked
+        t(4, 0, "careful"), t(5, 0, "fine"), t(6, 0, None, kind="unsupported_attachment", reason="unsupported"),
+        t(7, 0, "careful"), t(7, 1, "kim"),  # the first composer input with a match has nothing to mask
+    ]
+    got = {r["request_id"]: r for r in response.respond(spark.createDataFrame(rows, INPUTS).repartition(4), RULES).collect()}
+    assert {k: (r["action"], r["allow_original_send"], r["requires_user_confirmation"], r["risk_score"], r["risk_level"]) for k, r in got.items()} == {
+        1: ("Mask", False, True, 80, "high"), 2: ("Mask", False, True, 25, "low"), 3: ("Block", False, False, 95, "critical"), 4: ("Warn", True, True, 80, "high"), 5: ("Allow", True, False, 0, "low"), 6: ("Allow", True, False, 0, "low"), 7: ("Mask", False, True, 80, "high")}
+    assert got[1]["masked_prompt"] == "hello [NAME_1], [EMAIL_1] and [NAME_2] at [CUSTOM_REGEX_1] careful"
+    assert got[1]["placeholder_counts"] == {"[NAME_1]": 1, "[NAME_2]": 1, "[EMAIL_1]": 1, "[CUSTOM_REGEX_1]": 1}
+    assert all(got[k]["masked_prompt"] is None for k in (2, 3, 4, 5, 6, 7))
+    assert got[3]["user_message"] == response.UNSCANNED and got[4]["user_message"] == response.MESSAGES["WARN"] and got[5]["user_message"] == response.NOTHING
+    assert [(x["input_index"], x["rule_id"]) for x in got[1]["detections"]] == [(1, "mail"), (1, "name"), (1, "num"), (1, "warn"), (1, "ctx"), (2, "name")]
+    assert got[1]["detections"][2]["type"] == "CUSTOM_REGEX" and got[1]["detections"][0]["action"] == "Mask"
+    assert [x["reason_code"] for x in got[1]["business_context_matches"]] == ["CUSTOM_CONTEXT_RULE_CTX"]
+    assert [(x["input_id"], x["reason"]) for k in (3, 6) for x in got[k]["content_unavailable_inputs"]] == [("3-2", "metadata_only"), ("6-0", "unsupported")]
+    assert [x["decision_basis"] for x in got[3]["input_results"]] == ["detection", "detection", "metadata_only"]
+
+
+def test_unknown_actions_block(spark):
+    r = spark.createDataFrame([("REVIEW",), (None,)], "a string").select(response.public_action(F.col("a")).alias("p"), response.allow_original_send(F.col("a")).alias("s"), response.requires_confirmation(F.col("a")).alias("c")).collect()
+    assert [tuple(x) for x in r] == [("Block", False, False)] * 2
+
+
+GOOD = {
+    "event_id": "e", "request_id": "r", "action": "Warn", "checked_at": "t", "risk_score": 1.5, "risk_level": "low", "user_message": "", "allow_original_send": True, "requires_user_confirmation": False, "client_request_id": "c", "filter_config_revision": "f",
+    "detections": [{"input_id": "i", "input_index": 0, "kind": "text", "category": "c", "type": "t", "source": "s", "rule_id": None, "detector_id": "d", "severity": "low", "action": "Mask", "placeholder": "p", "confidence": 90, "reason_code": "x", "match_count": 1}],
+    "input_results": [{"input_id": "i", "input_index": 0, "kind": "text", "source": "s", "content_included": True, "content_scanned": True, "decision_basis": "context_risk"}], "content_unavailable_inputs": [], "business_context_matches": [{"input_id": "i", "input_index": 0, "kind": "k", "source": "s", "category": "c", "reason_code": "r", "match_count": 0, "matched_keywords": [], "evidence_counts": {}}],
+    "context_risk_evidence": {"enabled": True, "status": "verified", "candidate_count": 1, "accepted_count": 1, "labels": ["L"], "status_counts": {"confirmed": 1}, "highest_score_bucket": "very_high", "failure_code": None, "reason_code": "r", "classifier_model_versions": [], "verifier_model_versions": ["v"]},
+}
+
+
+def changed(path, value):
+    out = json.loads(json.dumps(GOOD))
+    at = out
+    for p in path[:-1]:
+        at = at[p]
+    if value is ...:
+        at.pop(path[-1], None)
+    else:
+        at[path[-1]] = value
+    return json.dumps(out)
+
+
+def test_contract(spark):
+    cases = [(json.dumps(GOOD), []), (None, ["$"]), ("{", ["$"]), ("[]", ["$"]), ('"x"', ["$"])]
+    cases += [(changed([k], ...), []) for k in ("context_risk_evidence", "masked_prompt")] + [(changed(["context_risk_evidence"], None), []), (changed(["action"], "Mask"), ["masked_prompt"])]
+    for path, bad in (
+        (["event_id"], ["", " \t", None, 1, ...]), (["action"], ["Review", "allow", None, ...]), (["risk_score"], [-1, "1", None, True, ...]), (["risk_level"], ["none", ...]), (["user_message"], [None, 1, ...]), (["allow_original_send"], ["true", 1, None, ...]),
+        (["detections"], [{}, None, "x", ...]), (["detections", 0], [None, 1, "x"]), (["detections", 0, "rule_id"], [1, ...]), (["detections", 0, "confidence"], ["90", ...]), (["detections", 0, "action"], ["MASK", ...]), (["input_results", 0, "limit_exceeded"], ["", 1, None]), (["input_results", 0, "decision_basis"], ["no_match", ...]),
+        (["business_context_matches", 0, "matched_keywords"], [{}, "x", ...]), (["business_context_matches", 0, "evidence_counts"], [1, "x", None, ...]), (["context_risk_evidence"], [1, "x", False]), (["context_risk_evidence", "labels"], [[1], ["a", None], "x", ...]), (["context_risk_evidence", "status"], ["odd", ...]), (["context_risk_evidence", "highest_score_bucket"], ["", 1]),
+    ):
+        name = "".join(f"[{p}]" if isinstance(p, int) else f".{p}" for p in path).lstrip(".")
+        cases += [(changed(path, v), [name]) for v in bad]
+    cases += [(changed(["detections", 0, "rule_id"], "x"), []), (changed(["input_results", 0, "limit_exceeded"], "MAX"), []), (changed(["business_context_matches", 0, "evidence_counts"], []), []), (changed(["context_risk_evidence", "failure_code"], ...), []), (changed(["risk_score"], 0), [])]
+    rows = [(n, text, want) for n, (text, want) in enumerate(cases)]
+    got = spark.createDataFrame(rows, "n int, t string, want array<string>").select("n", "t", "want", response.response_violations(F.col("t")).alias("v")).collect()
+    assert [(r["t"], r["want"], r["v"]) for r in got if r["want"] != r["v"]] == []
