@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievegate.functions import scalars
 from sievegate.functions.detectors import SECRET, with_detections
-from sievegate.functions.spans import at
+from sievegate.functions.spans import at, each, spans
 from sievegate.operators import analytics, inputs, masking, policy, rules, segments
 from sievegate.plans import cascade, dashboards, guards, intake, parsing, responses, scanning
 from sievegate.sources import files, views
@@ -55,7 +55,7 @@ def detect_email_counts(spark, d):
 
 
 def pii_union_sorted(spark, d):
-    found = with_detections(_docs(spark, d)).select("doc_id", F.posexplode("detections").alias("place", "d"))
+    found = each(with_detections(_docs(spark, d)), ["doc_id"], "detections", "d", "place")
     return found.select("doc_id", "place", "d.detector_key", "d.start", "d.end")
 
 
@@ -214,9 +214,7 @@ def rule_set_version(spark, d):
 
 
 def signal_ids(spark, d):
-    from sievegate.functions.spans import spans
-
-    rows = _docs(spark, d).where("text IS NOT NULL").select("doc_id", F.explode(spans(F.col("text"), "Th")).alias("s"))
+    rows = each(_docs(spark, d).where("text IS NOT NULL"), ["doc_id"], spans(F.col("text"), "Th"), "s")
     return rows.select("doc_id", F.col("s.start").cast("long").alias("start"), inputs.signal_id(F.col("doc_id"), F.lit("b0"), F.lit("p"), F.col("s")).alias("signal_id"))
 
 

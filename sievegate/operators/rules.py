@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievegate.functions.detectors import with_detections
 from sievegate.functions.scalars import ACTIONS, normalize_text, rank_of, risk_level, severity_score
-from sievegate.functions.spans import spans
+from sievegate.functions.spans import each, spans
 from sievegate.operators import lexical
 
 # Built-in detector rules (key, category, label, severity, action).
@@ -50,7 +50,7 @@ def merge_rules(built_in: DataFrame, stored: DataFrame) -> DataFrame:
 
 def detector_matches(df: DataFrame, rules: DataFrame, *keys: str) -> DataFrame:
     """A row for each input and detector rule that fires: keys, the rule's columns and count. The catalogue has a few rows."""
-    found = with_detections(df).select(*keys, F.explode("detections").alias("d")).groupBy(*keys, F.col("d.detector_key").alias("detector_key")).agg(F.count("*").alias("count"))
+    found = each(with_detections(df), list(keys), "detections", "d").groupBy(*keys, F.col("d.detector_key").alias("detector_key")).agg(F.count("*").alias("count"))
     return found.join(F.broadcast(rules), "detector_key")
 
 
@@ -124,7 +124,7 @@ def all_matches(df: DataFrame, catalogue: list[Rule], key: str) -> DataFrame:
     df = df.select(key, "text")
     parts = [df.sparkSession.createDataFrame([], df.select(key).schema.add("rule_id", "string").add("count", "long"))]
     if detectors := {r.expression: r.rule_id for r in of("detector")}:
-        found = with_detections(df, keys=list(detectors)).select(key, F.explode("detections").alias("d"))
+        found = each(with_detections(df, keys=list(detectors)), [key], "detections", "d")
         names = F.create_map(*[F.lit(x) for pair in detectors.items() for x in pair])
         parts.append(found.groupBy(key, names[F.col("d.detector_key")].alias("rule_id")).agg(F.count("*").alias("count")))
     if words := {r.rule_id: r.expression for r in of("keyword")}:
@@ -158,7 +158,7 @@ def masking_spans(df: DataFrame, catalogue: list[Rule], key: str) -> DataFrame:
     df = df.select(key, "text")
     out = df.select(key).limit(0).withColumns({"start": F.lit(0), "end": F.lit(0), "detector_key": F.lit("")})
     if detectors := [r.expression for r in used if r.kind == "detector"]:
-        out = out.unionByName(with_detections(df, keys=detectors).select(key, F.explode("detections").alias("d")).select(key, "d.start", "d.end", "d.detector_key"))
+        out = out.unionByName(each(with_detections(df, keys=detectors), [key], "detections", "d").select(key, "d.start", "d.end", "d.detector_key"))
     if lexical_ := [(r.rule_id, r.kind, r.expression, match_type(r), False) for r in used if r.kind in ("keyword", "regex")]:
         found = lexical.scan(df, df.sparkSession.createDataFrame(lexical_, RULE_TABLE), [key]).where("start IS NOT NULL")
         out = out.unionByName(found.select(key, "start", "end", F.col("signal_type").alias("detector_key")))

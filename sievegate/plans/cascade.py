@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievegate.functions.spans import spans
+from sievegate.functions.spans import each, spans
 from sievegate.operators import atoms, evidence, inputs, policy, rules, segments
 from sievegate.sources import views
 from sievegate.sources.views import sql
@@ -37,7 +37,7 @@ def segment_refill(spark, d):
 
 def signal_segment_map(spark, d):
     docs = views.table(spark, d, "documents").where("text IS NOT NULL")
-    signals = docs.select(F.col("doc_id").alias("input_id"), F.posexplode(spans(F.col("text"), "the")).alias("signal_id", "s")).select("input_id", "signal_id", "s.start", "s.end")
+    signals = each(docs.withColumnRenamed("doc_id", "input_id"), ["input_id"], spans(F.col("text"), "the"), "s", "signal_id").select("input_id", "signal_id", "s.start", "s.end")
     cut = docs.select(F.col("doc_id").alias("input_id"), F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 500).cast("int"))).alias("segment"))
     return inputs.signals_to_segments(signals, cut.withColumns({"start": F.col("segment") * 500, "end": F.col("segment") * 500 + 500}))
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievegate.functions.detectors import EMAIL, SECRET
-from sievegate.functions.scalars import normalize_text
-from sievegate.functions.spans import REPEATED, restored, spans
-from sievegate.operators import analytics, inputs, mapping, requests, rules
+from sievegate.functions.spans import each, spans
+from sievegate.operators import analytics, inputs, lexical, mapping, requests, rules
 from sievegate.sources import views
 from sievegate.sources.views import sql
 
@@ -114,7 +113,7 @@ def _mapped(spark, d, several=False):
     docs = views.table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("input_id"), "text")
     start = F.col("start")
     block = lambda k: F.when(k % 9 == 4, "b1").otherwise("b0")
-    found = docs.select("input_id", F.posexplode(spans(F.col("text"), "th")).alias("signal_id", "s")).select("input_id", "signal_id", "s.start", "s.end")
+    found = each(docs, ["input_id"], spans(F.col("text"), "th"), "s", "signal_id").select("input_id", "signal_id", "s.start", "s.end")
     signals = found.select("*", F.when(start % 11 == 3, "b1").otherwise("b0").alias("block_id"), _pick(["low", "high", "info", "critical", "medium"], start).alias("severity"))
     cut = docs.select("input_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("text")) / 50).cast("int"))).alias("atom_id"))
     k = F.col("atom_id")
@@ -137,9 +136,8 @@ def rules_in_order(spark, d):
 def restored_ranges(spark, d):
     """Sentence ends found in the normalised text, where they are in the text itself, in which every stop stands three times."""
     rows = views.table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\.", "...").alias("t"))
-    runs = rows.select("doc_id", spans(F.col("t"), REPEATED).alias("runs"), F.length("t").alias("n"), spans(normalize_text(F.col("t")), r"\. [A-Z]").alias("found"))
-    found = runs.select("doc_id", "runs", "n", F.explode("found").alias("s")).select("doc_id", restored(F.col("runs"), F.col("n"), F.col("s")).alias("o"))
-    return found.select("doc_id", "o.start", "o.end")
+    rule = spark.createDataFrame([("end", "regex", r"\. [A-Z]", "END", True)], rules.RULE_TABLE)
+    return lexical.scan(rows.select("doc_id", F.col("t").alias("text")), rule, ["doc_id"]).select("doc_id", "start", "end")
 
 
 QUERIES = [rules_in_order, restored_ranges, request_checks, adapted_inputs, upload_intake, first_composer_inputs, content_unavailable_inputs, capped_texts, safe_evidence, performance_verdicts, audit_counts, events_filtered, overview_chart, active_admins, checked_segments, signals_mapped, signal_sets]
