@@ -81,6 +81,13 @@ SELECT doc_id, CAST(start AS BIGINT) AS start, 'sig_' || substr(sha256(doc_id ||
 m AS ({" UNION ALL ".join(f"SELECT doc_id, kept, '{rule}' AS rule_id, list_transform(regexp_extract_all(norm, '{quoted}'), lambda x: length(x)) AS l, list_transform(string_split_regex(norm, '{quoted}'), lambda x: length(x)) AS g FROM n" for rule, quoted in (("custom:secret", SECRET.replace(chr(39), chr(39) * 2)), ("custom:token", TOKEN)))}),
 p AS (SELECT *, list_transform(generate_series(1, len(l)), lambda i: list_sum(g[1:i]) + coalesce(list_sum(l[1:i - 1]), 0)) AS s FROM m WHERE len(l) > 0)
 SELECT doc_id, rule_id, CAST(len(l) AS BIGINT) AS match_count, array_to_string(list_transform(generate_series(1, len(l)), lambda i: kept[CAST(s[i] + l[i] + 1 AS BIGINT)] - kept[CAST(s[i] + 1 AS BIGINT)]), ',') AS value_lengths, 90 AS confidence FROM p""",
+    "rate_limit": sql(
+        """RECURSIVE h AS (SELECT id, login_id, epoch_us(created_at) AS us, row_number() OVER (PARTITION BY login_id ORDER BY created_at, id) AS n FROM v_events),
+r AS (SELECT id, login_id, n, true AS allowed, [us] AS taken FROM h WHERE n = 1
+  UNION ALL SELECT id, login_id, n, len(a) < 3, CASE WHEN len(a) < 3 THEN list_append(a, us) ELSE a END FROM (SELECT h.id, h.login_id, h.n, h.us, list_filter(r.taken, lambda t: t > h.us - 3600000000) AS a FROM r JOIN h ON h.login_id = r.login_id AND h.n = r.n + 1))
+SELECT id, login_id, allowed FROM r""",
+        "v_events",
+    ).replace("WITH v_events", "WITH RECURSIVE v_events", 1).replace("RECURSIVE h AS", ", h AS", 1),
     "verifier_chunks": f"WITH t AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL),\n{CHUNKS} SELECT id AS doc_id, n AS nth, length(chunk) AS n_chars FROM c",
     "request_violations": sql("""SELECT request_id, input_index, concat_ws(',', CASE WHEN inc AND c IS NULL THEN 'CONTENT_MISSING' END, CASE WHEN NOT inc AND c IS NOT NULL THEN 'CONTENT_NOT_ALLOWED' END, CASE WHEN inc AND octet_length(encode(c)) <> length(content) THEN 'SIZE_MISMATCH' END, CASE WHEN inc AND octet_length(encode(c)) > CASE WHEN source = 'composer' THEN 262144 ELSE 1048576 END THEN 'CONTENT_TOO_LARGE' END) AS violations
   FROM (SELECT *, input_index % 4 <> 3 AS inc, CASE WHEN input_index % 5 <> 4 THEN content END AS c FROM v_requests)""", "v_requests"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievegate.functions import keys, scalars
+from sievegate.operators import temp_store
 from sievegate.sources import views, wire
 
 #: Messages with escaped, nested and case-folded keys, keys in values, and texts that are no JSON. X stands for a number.
@@ -55,7 +56,21 @@ def meaningful_characters(spark, d):
     return views.table(spark, d, "documents").select("doc_id", scalars.meaningful_characters(F.col("text")).cast("long").alias("n"))
 
 
-QUERIES = [forbidden_keys, redacted_diagnostics, guarded_requests, guarded_counts, meaningful_characters]
+def temp_files(spark, d):
+    """Pages stored as files and asked for: by their owners, by others, too late, under no reference, and after a change of the row."""
+    p = F.col("page_id")
+    owner, scope = F.concat(F.lit("u"), p % 7), F.concat(F.lit("tscope_"), p)
+    files = views.table(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("content"), owner.alias("subject_id"), F.concat(F.lit("r"), p).alias("request_id"), F.concat(F.lit("fref_"), p).alias("file_ref"), scope.alias("temp_scope_id"))
+    key = F.unhex(F.sha2(F.lit("a key of tests"), 256))
+    start = F.timestamp_seconds(F.lit(1_700_000_000) + p)
+    stored = temp_store.store(files, key, start)
+    changed = stored.withColumn("temp_scope_id", F.when(p % 13 == 6, F.concat("temp_scope_id", F.lit("x"))).otherwise(F.col("temp_scope_id")))
+    asked = files.select("page_id", F.when(p % 11 == 3, F.lit("fref_none")).when(p % 11 == 4, F.concat(F.lit("x"), "file_ref")).otherwise(F.col("file_ref")).alias("file_ref"), F.when(p % 5 == 2, F.lit("u9")).otherwise(owner).alias("subject_id"), "request_id", F.when(p % 13 == 6, F.concat("temp_scope_id", F.lit("x"))).otherwise(F.col("temp_scope_id")).alias("temp_scope_id"))
+    got = temp_store.resolve(asked, changed, key, F.timestamp_seconds(F.lit(1_700_000_000 + 900 + 100)))
+    return got.select("page_id", "failure_code", F.sha2("content", 256).alias("content_sha256"))
+
+
+QUERIES = [temp_files, forbidden_keys, redacted_diagnostics, guarded_requests, guarded_counts, meaningful_characters]
 
 _LIST = lambda names: "(" + ", ".join(f"'{x}'" for x in names) + ")"
 _MESSAGES = f"""m AS (SELECT event_id, CASE WHEN event_id % 41 <> 7 THEN replace([{", ".join("'" + x + "'" for x in MESSAGES)}][event_id % {len(MESSAGES)} + 1], 'X', json_extract_string(props, '$.k')) END AS m FROM events),
@@ -73,6 +88,9 @@ FROM m LEFT JOIN ok USING (event_id) LEFT JOIN f USING (event_id)""",
     # the places of values that are blanked, one for each message
     "redacted_diagnostics": f"""WITH {_MESSAGES} SELECT event_id, CASE event_id % {len(MESSAGES)} WHEN 1 THEN '{{"name":"' || n || '"}}' WHEN 3 THEN '{{"note":"\\"url\\": ' || n || '"}}' WHEN 5 THEN '{{"vector":[' || n || ',1],"Text":{{"text":"[redacted]"}}}}' WHEN 8 THEN '[{{"Raw_Prompt":' || n || ',"fileName":"[redacted]"}},{{"text":"[redacted]"}}]'
   WHEN 10 THEN '{{"a":{{"name ":' || n || '}},"MASKED_PROMPT":null,"masked_prompt":"[redacted]"}}' ELSE regexp_replace(regexp_replace(m, '([:,]) ', '\\1', 'g'), 'name,x', 'name, x') END AS redacted FROM ok JOIN (SELECT event_id, json_extract_string(props, '$.k') AS n FROM events) USING (event_id)""",
+    # expiry: 900 s after 1,700,000,000 + page_id, asked for at 1,700,001,000
+    "temp_files": """SELECT page_id, code AS failure_code, CASE WHEN code IS NULL THEN sha256(html) END AS content_sha256 FROM (SELECT page_id, html, CASE WHEN html IS NULL OR page_id % 11 IN (3, 4) THEN 'TEMP_FILE_NOT_FOUND' WHEN page_id % 5 = 2 THEN 'TEMP_FILE_ACCESS_DENIED'
+  WHEN page_id <= 100 THEN 'TEMP_FILE_EXPIRED' WHEN page_id % 13 = 6 THEN 'TEMP_FILE_DECRYPT_FAILED' END AS code FROM pages)""",
     "guarded_requests": f"WITH {_BODIES} SELECT conv_id, turn, size_bytes, verdict, CASE WHEN verdict = 'ok' THEN 'r' || conv_id || '-' || turn END AS client_request_id, CASE WHEN verdict = 'ok' THEN CAST(length(t) AS INTEGER) END AS content_bytes FROM v",
     "guarded_counts": f"WITH {_BODIES} SELECT verdict, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM v GROUP BY 1",
     # the tables hold no compatibility characters: composition is all that normalising does to them
