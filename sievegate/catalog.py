@@ -18,17 +18,6 @@ KEYWORDS = {"kw-the": "the", "kw-and": "und", "kw-stop": "the."}
 TOKEN = r'(?i)\btoken\s*=\s*"[0-9a-f]{32,}"'
 CONTEXTS = {"ctx-en": (["the", "and", "tion"], 2), "ctx-de": (["der", "die", "und"], 3), "ctx-es": (["los", "que", "ción"], 2)}
 WEIGHTS = {label: [((3 * k + 7 * n) % 11 - 5) / 2 for k in range(64)] for n, label in enumerate(["risk", "code", "other"])}
-# Vectors of Korean formats, which the test tables have none of.
-SAMPLES = [
-    (1, "연락처 010-1234-5678, +82 10 9876 5432 그리고 02-345-6789"),
-    (2, "주민번호 900101-1234568 확인, 900101-1234567"),
-    (3, "국민은행 123-456-789012 로 보내주세요"),
-    (4, "번호 123-456-789012 는 계약 번호"),
-    (5, "4111 1111 1111 1111 and 4111-1111-1111-1112"),
-    (6, "mail a.b+c@mail.example.com. or x@y, z@@w.com"),
-    (7, None),
-    (8, ""),
-]
 
 
 def _docs(spark, d):
@@ -60,8 +49,18 @@ def pii_union_sorted(spark, d):
 
 
 def detect_samples(spark, d):
-    rows = spark.createDataFrame(SAMPLES, "id int, text string")
-    return with_detections(rows).select("id", F.explode("detections").alias("d"), "text").select("id", "d.detector_key", "d.start", "d.end", F.length(at(F.col("text"), F.col("d"))).alias("value_length"))
+    """Numbers of Korean formats, which the texts of the tables have none of, made of the keys of customers: phones, an account with and
+    without its context, a card with and without a right check digit."""
+    n = F.col("c_custkey")
+    digits = lambda k, size: F.lpad((k % 10**size).cast("string"), size, "0")
+    card = F.concat(F.lit("4111 1111 1111 "), digits(n, 4))
+    texts = [
+        F.concat(F.lit("연락처 010-"), digits(n * 7 + 1234, 4), F.lit("-"), digits(n * 13, 4), F.lit(", +82 10 9876 "), digits(n, 4)),
+        F.concat(F.lit("국민은행 123-456-78"), digits(n, 4), F.lit(" 로 보내주세요")), F.concat(F.lit("계약 번호 123-456-78"), digits(n, 4)), F.concat(F.lit("pay "), card, F.lit(" now")), F.concat(F.lit("mail u"), n, F.lit(".b+c@mail.example.com. or x@y")),
+    ]
+    rows = views.table(spark, d, "customer").select("c_custkey", F.element_at(F.array(*texts), (n % len(texts) + 1).cast("int")).alias("text"))
+    found = each(with_detections(rows), ["c_custkey", "text"], "detections", "d")
+    return found.select("c_custkey", "d.detector_key", "d.start", "d.end", F.length(at(F.col("text"), F.col("d"))).alias("value_length"))
 
 
 def mask_documents(spark, d):
@@ -81,9 +80,19 @@ def rule_context_matches(spark, d):
     return rules.context_matches(_docs(spark, d), CONTEXTS, "doc_id")
 
 
+def _tenant_rules(spark, d):
+    """The built-in rules of every nation's catalogue."""
+    each_rule = F.explode(F.array(*[F.struct(F.lit(f"detector:{k}").alias("rule_id"), F.lit(severity).alias("severity"), F.lit(action).alias("action")) for k, _, _, severity, action in rules.BUILT_IN]))
+    return views.table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("tenant"), each_rule.alias("r")).select("tenant", "r.*")
+
+
 def rule_catalogue_merge(spark, d):
-    stored = spark.createDataFrame([("detector:EMAIL", "high", "BLOCK", True, False), ("detector:PHONE", None, None, False, False), ("detector:CARD", None, "WARN", True, False)], "rule_id string, severity string, action string, enabled boolean, archived boolean")
-    return rules.merge_rules(rules.built_in_rules(spark), stored).select("rule_id", "severity", "action")
+    return rules.merge_rules(_tenant_rules(spark, d), views.stored_rules(spark, d), "tenant").select("tenant", "rule_id", "origin", "severity", "action")
+
+
+def rule_catalogue_manageable(spark, d):
+    """What administrators see: also what is disabled or archived."""
+    return rules.merge_rules(_tenant_rules(spark, d), views.stored_rules(spark, d), "tenant", active_only=False).select("tenant", "rule_id", "severity", "action", "enabled", "archived")
 
 
 def _evidence(spark, d):
@@ -210,7 +219,7 @@ def pdf_coverage(spark, d):
 
 
 def rule_set_version(spark, d):
-    return inputs.rule_set_version(rules.built_in_rules(spark).select("rule_id", F.lit(1).alias("version")))
+    return inputs.rule_set_version(views.stored_rules(spark, d).where("enabled AND NOT archived"), "tenant")
 
 
 def signal_ids(spark, d):
@@ -239,7 +248,7 @@ def parsed_pages(spark, d):
 
 
 _QUERIES = [
-    dryrun_documents, dryrun_conversations, detect_email_counts, pii_union_sorted, detect_samples, mask_documents, normalize_text, rule_keyword_matches, rule_context_matches, rule_regex_matches, rule_catalogue_merge,
+    dryrun_documents, dryrun_conversations, detect_email_counts, pii_union_sorted, detect_samples, mask_documents, normalize_text, rule_keyword_matches, rule_context_matches, rule_regex_matches, rule_catalogue_merge, rule_catalogue_manageable,
     policy_decide_requests, idempotent_requests, size_buckets, file_policy, event_stats_daily, event_stats_totals, event_stats_actions, event_stats_risk, event_stats_detection_types,
     event_stats_categories, overview_unavailable, user_stats, user_stats_topk, event_primary_label, events_list_latest, adjacent_cosine, segment_list, segment_vectors, lr_candidates,
     atoms_documents, rate_limit, prompt_hash, input_results_basis, pdf_coverage, rule_set_version, signal_ids, request_violations, verifier_chunks, parsed_pages,

@@ -121,7 +121,8 @@ def event_detail(event_ids: DataFrame, events: DataFrame, detections: DataFrame,
     return base.join(found, "event_id", "left").join(given, "event_id", "left")
 
 
-def health(states: DataFrame) -> DataFrame:
-    """states (name, required, status) to one status: a required part that fails fails the whole, any other degrades it."""
+def health(states: DataFrame, *keys: str) -> DataFrame:
+    """states (keys, name, required, status) to one status each: a required part that fails fails the whole, any other degrades it."""
     bad = F.col("status") == "unhealthy"
-    return states.agg(F.when(F.bool_or(bad & F.col("required")), "unhealthy").when(F.bool_or(F.col("status").isin("unhealthy", "degraded")), "degraded").otherwise("healthy").alias("status"))
+    whole = F.when(F.bool_or(bad & F.col("required")), "unhealthy").when(F.bool_or(F.col("status").isin("unhealthy", "degraded")), "degraded").otherwise("healthy")
+    return states.groupBy(*keys).agg(whole.alias("status"))

@@ -43,10 +43,12 @@ def page_coverage(pages: DataFrame, most: int = 3) -> DataFrame:
     return marked.withColumn("selected", F.col("candidate") & (nth <= most))
 
 
-def rule_set_version(rules: DataFrame) -> DataFrame:
-    """One row: a short hash of all rule ids and versions, ':none' without rules. Rules are a small table."""
+def rule_set_version(rules: DataFrame, *keys: str) -> DataFrame:
+    """keys, version: a short hash of all rule ids and versions of each catalogue, 'filter-rules:none' without rules (where there are no
+    keys). A catalogue's rules are settings, a short list."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "version"))), lambda r: F.concat_ws(":", r["rule_id"], r["version"]))
-    return rules.agg(ids.alias("ids")).select(F.when(F.size("ids") == 0, ":none").otherwise(F.substring(F.sha2(F.array_join("ids", "|"), 256), 1, 16)).alias("version"))
+    short = F.when(F.size("ids") == 0, "none").otherwise(F.substring(F.sha2(F.array_join("ids", "|"), 256), 1, 16))
+    return rules.groupBy(*keys).agg(ids.alias("ids")).select(*keys, F.concat(F.lit("filter-rules:"), short).alias("version"))
 
 
 def signal_id(input_id: Column, block_id: Column, pattern_id: Column, span: Column) -> Column:

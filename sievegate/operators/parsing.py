@@ -70,15 +70,15 @@ def resolutions(profiles: DataFrame, capabilities: DataFrame, denied: DataFrame)
     """Of every (profile, wanted): the plan_kind or the failure; and the steps of every (profile, plan_kind), with their capability.
     profiles (profile, enable_native, enable_ocr), capabilities (profile, place, capability_id, step_kind, enabled), of which the
     last enabled one of a step kind counts, denied (profile, capability_id)."""
-    spark = profiles.sparkSession
     can = capabilities.where("enabled").groupBy("profile", "step_kind").agg(F.max_by("capability_id", "place").alias("capability_id"))
     no = denied.select("profile", "capability_id", F.lit(True).alias("denied")).distinct()
-    steps = profiles.crossJoin(F.broadcast(plan_steps(spark))).join(can, ["profile", "step_kind"], "left").join(no, ["profile", "capability_id"], "left")  # a fixed table of 15 steps
+    fixed = [F.struct(*[F.lit(v).alias(c) for c, v in zip(("plan_kind", "ordinal", "step_id", "step_kind", "mode"), (plan, n, *step), strict=True)]) for plan, of in STEPS.items() for n, step in enumerate(of)]
+    steps = profiles.select("*", F.explode(F.array(*fixed)).alias("_s")).select(*profiles.columns, "_s.*").join(can, ["profile", "step_kind"], "left").join(no, ["profile", "capability_id"], "left")
     lacking = F.when(F.col("capability_id").isNull(), "UNSUPPORTED_FILE_KIND").when(F.coalesce("denied", F.lit(False)), "LICENSE_POLICY_VIOLATION")
     state = steps.groupBy("profile", "enable_native", "enable_ocr", "plan_kind").agg(F.bool_and(F.col("capability_id").isNotNull()).alias("complete"), F.min_by(lacking, F.when(lacking.isNotNull(), F.col("ordinal"))).alias("lack"))
     complete = lambda plan: F.max(F.when(F.col("plan_kind") == plan, F.col("complete")))
     pdf = state.groupBy("profile").agg(complete("pdf_native_ocr").alias("both"), complete("pdf_native").alias("native"), complete("pdf_native_then_page_ocr").alias("all"))
-    wanted = profiles.crossJoin(F.broadcast(plan_steps(spark).select(F.col("plan_kind").alias("wanted")).distinct())).join(pdf, "profile")
+    wanted = profiles.withColumn("wanted", F.explode(F.array(*map(F.lit, STEPS)))).join(pdf, "profile")
     degraded = F.when(F.col("both"), "pdf_native_ocr").when(F.col("native") & (~F.col("enable_ocr") | ~F.col("all")), "pdf_native").otherwise(F.col("wanted"))
     chosen = wanted.select("profile", "wanted", F.when(F.col("wanted") == "pdf_native_then_page_ocr", degraded).otherwise(F.col("wanted")).alias("plan_kind"))
     off = F.when(~F.col("enable_native") & (F.col("plan_kind") != "image_ocr"), "PARSER_DISABLED").when(~F.col("enable_ocr") & F.col("plan_kind").isin("image_ocr", "pdf_native_then_page_ocr"), "OCR_DISABLED")

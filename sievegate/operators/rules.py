@@ -41,11 +41,18 @@ def built_in_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, rule_order int, detector_key string, category string, label string, severity string, action string")
 
 
-def merge_rules(built_in: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stored rows (rule_id, severity, action, enabled, archived) override built-in rules; enabled ones remain."""
-    o = stored.select(F.col("rule_id"), F.col("severity").alias("_s"), F.col("action").alias("_a"), "enabled", "archived")
-    out = built_in.join(o, "rule_id", "left").withColumns({"severity": F.coalesce("_s", "severity"), "action": F.coalesce("_a", "action")})
-    return out.where("coalesce(enabled, true) AND NOT coalesce(archived, false)").drop("_s", "_a", "enabled", "archived")
+def merge_rules(built_in: DataFrame, stored: DataFrame, *keys: str, active_only: bool = True) -> DataFrame:
+    """The rules of each catalogue (keys; without any there is one): the built-in rules (keys, rule_id, severity, action and what describes
+    them), overridden by stored rows (keys, rule_id, severity, action, enabled, archived, and origin, built_in or custom, where it is
+    known) of the same id where these are not null, then the custom ones. active_only: without those disabled or archived."""
+    on = [*keys, "rule_id"]
+    o = stored.select(*on, F.col("severity").alias("_s"), F.col("action").alias("_a"), "enabled", "archived")
+    out = built_in.join(o, on, "left").withColumns({"severity": F.coalesce("_s", "severity"), "action": F.coalesce("_a", "action"), "origin": F.lit("built_in")}).drop("_s", "_a")
+    if "origin" in stored.columns:
+        custom = stored.where("origin = 'custom'").select(*on, "severity", "action", "enabled", "archived", "origin")
+        out = out.unionByName(custom, allowMissingColumns=True)
+    out = out.withColumns({"enabled": F.coalesce("enabled", F.lit(True)), "archived": F.coalesce("archived", F.lit(False))})
+    return out.where("enabled AND NOT archived") if active_only else out
 
 
 def detector_matches(df: DataFrame, rules: DataFrame, *keys: str) -> DataFrame:

@@ -30,12 +30,17 @@ def _contexts() -> str:
     return f"WITH {_NORMAL} SELECT doc_id, rule_id, n_conditions FROM ({rows}) WHERE n_conditions >= least"
 
 
+_MERGED = """, b AS (SELECT n_nationkey AS tenant, 'detector:' || k AS rule_id, s, a FROM nation, (VALUES ('EMAIL', 'medium', 'MASK'), ('PHONE', 'medium', 'MASK'), ('RRN', 'high', 'MASK'), ('CARD', 'high', 'MASK'), ('BANK_ACCOUNT', 'high', 'MASK')) t(k, s, a)),
+all_ AS (SELECT b.tenant, b.rule_id, 'built_in' AS origin, coalesce(severity, s) AS severity, coalesce(action, a) AS action, coalesce(enabled, true) AS enabled, coalesce(archived, false) AS archived FROM b LEFT JOIN v_rules v ON v.tenant = b.tenant AND v.rule_id = b.rule_id
+  UNION ALL SELECT tenant, rule_id, origin, severity, action, enabled, archived FROM v_rules WHERE origin = 'custom')"""
+
 SQL = {
     "detect_email_counts": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+')) AS BIGINT) AS n FROM documents WHERE n > 0",
     "normalize_text": f"WITH {_NORMAL} SELECT doc_id, CAST(length(norm) AS INTEGER) AS n_chars, sha256(norm) AS sha256 FROM n",
     "rule_keyword_matches": f"WITH {_NORMAL} " + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule_id FROM n WHERE contains(lower(norm), '{w}')" for r, w in KEYWORDS.items()),
     "rule_context_matches": _contexts(),
-    "rule_catalogue_merge": "SELECT * FROM (VALUES ('detector:EMAIL', 'high', 'BLOCK'), ('detector:RRN', 'high', 'MASK'), ('detector:CARD', 'high', 'WARN'), ('detector:BANK_ACCOUNT', 'high', 'MASK')) t(rule_id, severity, action)",
+    "rule_catalogue_merge": sql(_MERGED + " SELECT tenant, rule_id, origin, severity, action FROM all_ WHERE enabled AND NOT archived", "v_rules"),
+    "rule_catalogue_manageable": sql(_MERGED + " SELECT tenant, rule_id, severity, action, enabled, archived FROM all_", "v_rules"),
     "policy_decide_requests": sql(
         """, ev AS (SELECT d.event_id AS request_id, input_index * 2 + CASE WHEN type = 'PHONE' THEN 1 ELSE 0 END AS ord, CASE category WHEN 'Secret' THEN 'block' WHEN 'Payment' THEN 'mask' WHEN 'PII' THEN 'mask' ELSE 'warn' END AS action,
   CASE category WHEN 'Secret' THEN 'critical' WHEN 'Custom' THEN 'medium' ELSE 'high' END AS severity, CASE WHEN category IN ('PII', 'Payment') THEN 'HIGH_RISK_PII' WHEN category = 'Secret' THEN 'SECRET_DETECTED' ELSE 'UNMAPPED_RULE' END AS reason, source = 'composer' AS ok
@@ -71,7 +76,13 @@ FROM (SELECT DISTINCT event_id AS request_id FROM v_inputs) q LEFT JOIN best b O
     "pdf_coverage": """WITH p AS (SELECT page_id % 20 AS doc_id, page_id AS page, page_id % 17 = 0 AS failed, length(coalesce(html, '')) % 200 AS n, page_id % 3 <> 1 AS image FROM pages),
 m AS (SELECT *, CASE WHEN n = 0 THEN 'zero' WHEN n < 30 THEN 'very_low' WHEN n < 120 THEN 'low' ELSE 'sufficient' END AS bucket, CASE WHEN failed THEN 'native_failed' WHEN n < 30 THEN 'low_text' WHEN n < 120 AND image THEN 'low_text_with_image' END AS reason FROM p)
 SELECT page, bucket, reason, reason IS NOT NULL AS candidate, reason IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, reason IS NOT NULL ORDER BY page) <= 3 AS selected FROM m""",
-    "rule_set_version": "SELECT substr(sha256('detector:BANK_ACCOUNT:1|detector:CARD:1|detector:EMAIL:1|detector:PHONE:1|detector:RRN:1'), 1, 16) AS version",
+    "rule_set_version": sql("SELECT tenant, 'filter-rules:' || substr(sha256(string_agg(rule_id || ':' || version, '|' ORDER BY rule_id)), 1, 16) AS version FROM v_rules WHERE enabled AND NOT archived GROUP BY 1", "v_rules"),
+    # by construction: what stands where in each of the five texts; a card takes the space behind it along
+    "detect_samples": """SELECT c_custkey, key AS detector_key, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", CAST("end" - start AS INTEGER) AS value_length FROM (
+  SELECT c_custkey, 'PHONE' AS key, 4 AS start, 17 AS "end" FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'PHONE', 19, 35 FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'BANK_ACCOUNT', 5, 19 FROM customer WHERE c_custkey % 5 = 1
+  UNION ALL SELECT c_custkey, 'CARD', 4, 24 FROM (SELECT c_custkey, '411111111111' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS c FROM customer WHERE c_custkey % 5 = 3)
+    WHERE list_sum(list_transform(generate_series(1, 16), lambda i: CASE WHEN i % 2 = 0 THEN CAST(c[i] AS INTEGER) ELSE CAST(c[i] AS INTEGER) * 2 - CASE WHEN CAST(c[i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+  UNION ALL SELECT c_custkey, 'EMAIL', 5, 27 + length(CAST(c_custkey AS VARCHAR)) FROM customer WHERE c_custkey % 5 = 4)""",
     "signal_ids": """WITH RECURSIVE hit(doc_id, text, start) AS (SELECT doc_id, text, strpos(text, 'Th') - 1 FROM documents WHERE strpos(text, 'Th') > 0
 UNION ALL SELECT doc_id, text, start + 1 + strpos(text[start + 3:], 'Th') FROM hit WHERE strpos(text[start + 3:], 'Th') > 0)
 SELECT doc_id, CAST(start AS BIGINT) AS start, 'sig_' || substr(sha256(doc_id || ':b0:p:' || start || ':' || (start + 2)), 1, 20) AS signal_id FROM hit""",

@@ -74,14 +74,25 @@ def temp_file_resolution(spark, d):
 
 
 def rule_changes(spark, d):
-    stored = spark.createDataFrame([("detector:EMAIL", "built_in", "high", "BLOCK", True, False, 2), ("c1", "custom", "low", "WARN", True, False, 1), ("c2", "custom", "low", "WARN", True, False, 1)], "rule_id string, origin string, severity string, action string, enabled boolean, archived boolean, version int")
-    changes = spark.createDataFrame([("detector:EMAIL", "archive", None, None), ("detector:CARD", "disable", "high", "MASK"), ("c1", "update", "critical", None), ("c2", "archive", None, None)], "rule_id string, op string, severity string, action string")
-    return decision_log.upsert_rules(stored, changes)
+    """Stored custom rules after a change to some of them, and changes to built-in rules that have no row yet."""
+    n = F.col("n")
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    stored = views.stored_rules(spark, d).where("origin = 'custom'")
+    op = F.when(n % 2 == 0, pick(["archive", "disable", "enable", "update"], F.floor(n / 2)))
+    custom = stored.select("rule_id", op.alias("op"), F.when(n % 6 == 0, F.lit("critical")).alias("severity"), F.when(n % 10 == 0, F.lit("BLOCK")).alias("action")).where("op IS NOT NULL")
+    k = F.col("n_nationkey")
+    built_in = views.table(spark, d, "nation").select(F.concat(F.lit("detector:N"), k).alias("rule_id"), pick(["archive", "disable", "update"], k).alias("op"), F.lit("high").alias("severity"), F.lit("MASK").alias("action"))
+    return decision_log.upsert_rules(stored.select("rule_id", "origin", "severity", "action", "enabled", "archived", "version"), custom.unionByName(built_in))
 
 
 def service_health(spark, d):
-    rows = spark.createDataFrame([("db", True, "healthy"), ("ocr", False, "unhealthy")], "name string, required boolean, status string")
-    return analytics.health(rows)
+    """The state of every user's services: a service of a type of event is unhealthy from 40 % of blocks on, degraded from 20 %; those
+    of users divisible by 3 are required."""
+    e = views.events(spark, d)
+    share = F.count_if(F.col("action") == "BLOCK") / F.count("*")
+    status = F.when(share >= 0.4, "unhealthy").when(share >= 0.2, "degraded").otherwise("healthy")
+    parts = e.groupBy("user_id", (F.col("k") % 4).alias("name")).agg(status.alias("status"))
+    return analytics.health(parts.withColumn("required", (F.col("user_id") % 3 == 0) & (F.col("name") < 2)), "user_id")
 
 
 QUERIES = [overview_totals, overview_grouping_sets, dashboard_users_30d, event_detection_summary, user_detection_distribution, context_matches_only, event_unavailable_inputs, event_detail_flat, stored_input_rows, new_requests, temp_file_resolution, rule_changes, service_health]
@@ -123,7 +134,15 @@ WHERE r = 1 AND created_at >= DATE '2024-01-15'""",
   WHEN created_at + INTERVAL 900 SECONDS <= TIMESTAMP '{NOW}' THEN 'TEMP_FILE_EXPIRED' WHEN id % 13 = 0 THEN 'TEMP_FILE_RESOLVE_FAILED' WHEN id % 3 = 2 THEN 'UNSUPPORTED_FILE_KIND' END AS failure_code FROM v_events""",
         "v_events",
     ),
-    "rule_changes": """SELECT * FROM (VALUES ('detector:EMAIL', 'built_in', 'high', 'BLOCK', true, false, 2), ('detector:CARD', 'built_in', 'high', 'MASK', false, false, 1),
-  ('c1', 'custom', 'critical', 'WARN', true, false, 2), ('c2', 'custom', 'low', 'WARN', false, true, 2)) t(rule_id, origin, severity, action, enabled, archived, version)""",
-    "service_health": "SELECT 'degraded' AS status",
+    "rule_changes": sql(
+        """SELECT rule_id, origin, CASE WHEN op IS NOT NULL AND n % 6 = 0 THEN 'critical' ELSE severity END AS severity, CASE WHEN op IS NOT NULL AND n % 10 = 0 THEN 'BLOCK' ELSE action END AS action, CASE op WHEN 'enable' THEN true WHEN 'disable' THEN false WHEN 'archive' THEN false ELSE enabled END AS enabled,
+  archived OR coalesce(op = 'archive', false) AS archived, CAST(version + CASE WHEN op IS NULL THEN 0 ELSE 1 END AS INTEGER) AS version FROM (SELECT *, CASE WHEN n % 2 = 0 THEN ['archive', 'disable', 'enable', 'update'][n // 2 % 4 + 1] END AS op FROM v_rules WHERE origin = 'custom')
+UNION ALL SELECT 'detector:N' || n_nationkey, 'built_in', 'high', 'MASK', n_nationkey % 3 = 2, false, 1 FROM nation WHERE n_nationkey % 3 <> 0""",
+        "v_rules",
+    ),
+    "service_health": sql(
+        """SELECT user_id, CASE WHEN bool_or(s >= 0.4 AND user_id % 3 = 0 AND name < 2) THEN 'unhealthy' WHEN bool_or(s >= 0.2) THEN 'degraded' ELSE 'healthy' END AS status
+FROM (SELECT user_id, k % 4 AS name, count(*) FILTER (action = 'BLOCK') / count(*) AS s FROM v_events GROUP BY 1, 2) GROUP BY 1""",
+        "v_events",
+    ),
 }

@@ -51,6 +51,18 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("user-"), F.col("c_custkey")).alias("login_id"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("department"), F.when(F.col("c_acctbal") < 0, "DISABLED").otherwise("ACTIVE").alias("status"))
 
 
+def stored_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that administrators have stored, a row for each supplier: every fourth changes a built-in rule of its nation."""
+    n = F.col("s_suppkey")
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    built_in = n % 4 == 0
+    rows = table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").cast("int").alias("tenant"), n.alias("n"), F.when(built_in, F.concat(F.lit("detector:"), pick(["EMAIL", "PHONE", "RRN", "CARD", "BANK_ACCOUNT"], F.floor(n / 4)))).otherwise(F.concat(F.lit("custom:"), n)).alias("rule_id"), F.when(built_in, "built_in").otherwise("custom").alias("origin"),
+        F.when(n % 3 != 0, pick(["low", "medium", "high", "critical"], n)).alias("severity"), F.when(n % 5 != 0, pick(["WARN", "MASK", "BLOCK"], n)).alias("action"), (n % 7 != 3).alias("enabled"), (n % 11 == 5).alias("archived"), (n % 4 + 1).cast("int").alias("version"))
+    last = rows.groupBy("tenant", "rule_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("tenant", "rule_id")]), "n").alias("x"))
+    return last.select("tenant", "rule_id", "x.*")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "conversations")
     return raw.select(F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("input_index"), F.when(F.col("role") == "user", "composer").otherwise("converted_paste").alias("source"), F.coalesce("text", F.lit("")).alias("content"))
@@ -68,6 +80,9 @@ SQL = {
     (k + i) % 5 <> 0 AS content_included, CASE WHEN (k + i) % 5 = 0 THEN 'content_unavailable' WHEN k % 3 <> 0 THEN 'detection' ELSE 'no_detection' END AS decision_basis
   FROM (SELECT event_id, k, unnest(range(0, k % 2 + 1)) AS i FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)))""",
     "v_users": """v_users AS (SELECT c_custkey AS user_id, 'user-' || c_custkey AS login_id, c_name AS username, c_mktsegment AS department, CASE WHEN c_acctbal < 0 THEN 'DISABLED' ELSE 'ACTIVE' END AS status FROM customer)""",
+    "v_rules": """v_rules AS (SELECT * FROM (SELECT s_nationkey AS tenant, s_suppkey AS n, CASE WHEN s_suppkey % 4 = 0 THEN 'detector:' || ['EMAIL','PHONE','RRN','CARD','BANK_ACCOUNT'][s_suppkey // 4 % 5 + 1] ELSE 'custom:' || s_suppkey END AS rule_id, CASE WHEN s_suppkey % 4 = 0 THEN 'built_in' ELSE 'custom' END AS origin,
+    CASE WHEN s_suppkey % 3 <> 0 THEN ['low','medium','high','critical'][s_suppkey % 4 + 1] END AS severity, CASE WHEN s_suppkey % 5 <> 0 THEN ['WARN','MASK','BLOCK'][s_suppkey % 3 + 1] END AS action, s_suppkey % 7 <> 3 AS enabled, s_suppkey % 11 = 5 AS archived, CAST(s_suppkey % 4 + 1 AS INTEGER) AS version FROM supplier)
+  QUALIFY row_number() OVER (PARTITION BY tenant, rule_id ORDER BY n DESC) = 1)""",
     "v_requests": """v_requests AS (SELECT conv_id AS request_id, CAST(turn AS INTEGER) AS input_index, CASE WHEN role = 'user' THEN 'composer' ELSE 'converted_paste' END AS source, coalesce(text, '') AS content FROM conversations)""",
 }
 

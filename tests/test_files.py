@@ -47,4 +47,4 @@ def test_signals_and_chunks(spark):
     df = spark.createDataFrame([("short",), ("x" * 2000,), ("line " * 30 + "\n" + "y" * 900,)], "t string").select(inputs.chunks(F.col("t")).alias("c"))
     assert [[len(x) for x in r.c] for r in df.collect()] == [[5], [900, 440], [900, 271, 149, 900]]
     none = spark.createDataFrame([], "rule_id string, version int")
-    assert inputs.rule_set_version(none).first().version == ":none"
+    assert inputs.rule_set_version(none).first().version == "filter-rules:none"
