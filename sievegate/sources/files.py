@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS = 4096  # of one batch that a worker gives back
 SCHEMA = "path string, kind string, status string, failure_code string, block_index int, text string, place int"
 
 
@@ -102,15 +103,29 @@ def parse(kind: str, content: bytes) -> tuple[str, str | None, list[tuple[str, i
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """Blocks of files (path, kind, content); a file without blocks has one row with a null block_index."""
+    """Blocks of files (path, kind, content); a file without blocks has one row with a null block_index. A task holds the blocks of one
+    file at a time, next to a batch of ``ROWS`` rows. Null content is empty, a null kind unsupported."""
     schema = pa.schema([("path", pa.string()), ("kind", pa.string()), ("status", pa.string()), ("failure_code", pa.string()), ("block_index", pa.int32()), ("text", pa.string()), ("place", pa.int32())])
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], field.type) for k, field in enumerate(schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            for path, kind, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                status, code, blocks = parse(kind, bytes(content or b""))
-                rows = [(path, kind, status, code, k, t, p) for k, (t, p) in enumerate(blocks)] or [(path, kind, status, code, None, None, None)]
-                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema=schema)
+            for path, kind, content in zip(*batch.columns, strict=True):
+                path, kind = path.as_py(), kind.as_py()
+                status, code, blocks = parse(kind, content.as_py() or b"")
+                for k, (text, place) in enumerate(blocks):
+                    rows.append((path, kind, status, code, k, text, place))
+                    if len(rows) == ROWS:
+                        yield batch_of(rows)
+                        rows = []
+                if not blocks:
+                    rows.append((path, kind, status, code, None, None, None))
+            if rows:
+                yield batch_of(rows)
+                rows = []
 
     return files.select("path", "kind", "content").mapInArrow(run, SCHEMA)
 
