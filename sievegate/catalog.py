@@ -8,7 +8,7 @@ from sievegate.functions import scalars
 from sievegate.functions.detectors import SECRET, with_detections
 from sievegate.functions.spans import at, each, spans
 from sievegate.operators import analytics, inputs, masking, policy, rules, segments
-from sievegate.plans import cascade, dashboards, guards, intake, parsing, responses, scanning
+from sievegate.plans import cascade, client, dashboards, guards, intake, parsing, responses, scanning
 from sievegate.plans import files as file_plans
 from sievegate.sources import files, views
 from sievegate.streaming import limits
@@ -257,10 +257,10 @@ _QUERIES = [
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in [*_QUERIES, *dashboards.QUERIES, *cascade.QUERIES, *intake.QUERIES, *parsing.QUERIES, *scanning.QUERIES, *guards.QUERIES, *responses.QUERIES, *file_plans.QUERIES]}
+    return {f.__name__: f for f in [*_QUERIES, *dashboards.QUERIES, *cascade.QUERIES, *intake.QUERIES, *parsing.QUERIES, *scanning.QUERIES, *guards.QUERIES, *responses.QUERIES, *file_plans.QUERIES, *client.QUERIES]}
 
 
 def oracle_sql() -> dict:
     from sievegate import oracle
 
-    return oracle.SQL | dashboards.SQL | cascade.SQL | intake.SQL | parsing.SQL | scanning.SQL | guards.SQL | responses.SQL | file_plans.SQL
+    return oracle.SQL | dashboards.SQL | cascade.SQL | intake.SQL | parsing.SQL | scanning.SQL | guards.SQL | responses.SQL | file_plans.SQL | client.SQL

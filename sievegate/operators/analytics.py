@@ -107,9 +107,13 @@ def user_detections(events: DataFrame, detections: DataFrame) -> DataFrame:
     return detections.join(events.select(F.col("id").alias("event_id"), "login_id"), "event_id").groupBy("login_id", "type").agg(F.sum("count").alias("n"))
 
 
+def _is_unavailable():
+    return ~F.col("content_scanned") | (F.col("decision_basis") == "content_unavailable") | F.col("content_unavailable_reason").isNotNull()
+
+
 def unavailable_inputs(inputs: DataFrame) -> DataFrame:
     """Inputs that an event's detail lists as unavailable: not scanned, or for a reason, or decided on missing content."""
-    return inputs.where(~F.col("content_scanned") | (F.col("decision_basis") == "content_unavailable") | F.col("content_unavailable_reason").isNotNull())
+    return inputs.where(_is_unavailable())
 
 
 def event_detail(event_ids: DataFrame, events: DataFrame, detections: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -121,6 +125,21 @@ def event_detail(event_ids: DataFrame, events: DataFrame, detections: DataFrame,
     return base.join(found, "event_id", "left").join(given, "event_id", "left")
 
 
+def event_detail_whole(events: DataFrame, detections: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Every event with all lists of its detail: detections by category, type and reason_code; inputs and those unavailable by place; and
+    context_matches, the detections of context rules that have matched_keywords or evidence_counts. An empty list where there is none."""
+    found = ["category", "type", "reason_code", "count"]
+    context = (F.col("source") == "custom_context_rule") & ((F.size("matched_keywords") > 0) | (F.size("evidence_counts") > 0))
+    counts = F.array_sort(F.map_entries("evidence_counts")).alias("evidence_counts")
+    rows = detections.select("event_id", F.struct(*found).alias("d"), F.when(context, F.struct(*found, "matched_keywords", counts)).alias("c"))
+    lists = rows.groupBy("event_id").agg(F.array_sort(F.collect_list("d")).alias("detections"), F.array_sort(F.collect_list("c")).alias("context_matches"))
+    given = F.struct("input_index", "kind", "source", "decision_basis", "content_unavailable_reason")
+    parts = inputs.groupBy("event_id").agg(F.array_sort(F.collect_list(given)).alias("inputs"), F.array_sort(F.collect_list(F.when(_is_unavailable(), given))).alias("unavailable"))
+    out = events.select(F.col("id").alias("event_id"), "login_id", "action", "risk_score", "risk_level").join(lists, "event_id", "left").join(parts, "event_id", "left")
+    none = lambda c: F.when(F.col(c).isNull(), F.array()).otherwise(F.col(c)).alias(c)
+    return out.select("event_id", "login_id", "action", "risk_score", "risk_level", *map(none, ["detections", "context_matches", "inputs", "unavailable"]))
+
+
 def health(states: DataFrame, *keys: str) -> DataFrame:
     """states (keys, name, required, status) to one status each: a required part that fails fails the whole, any other degrades it."""
     bad = F.col("status") == "unhealthy"

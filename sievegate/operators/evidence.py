@@ -80,12 +80,13 @@ def codes(inputs: DataFrame) -> DataFrame:
     return per_code.groupBy("request_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]).alias("codes"))
 
 
-def failure_rules(requests: DataFrame, settings: dict[str, str]) -> DataFrame:
-    """requests (request_id, codes, all_scanned): evidence of parser failures and of content that was not scanned, after all rules."""
+def failure_rules(requests: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
+    """requests (request_id, codes, all_scanned): evidence of parser failures and of content that was not scanned, after all rules.
+    Without settings, the columns of requests with their names hold the actions."""
     codes_ = F.coalesce("codes", F.array().cast("array<string>"))
     unscanned = ~F.col("all_scanned") | F.array_contains(codes_, "CONTENT_NOT_SCANNED") | F.array_contains(codes_, "UNSUPPORTED_FILE")
     cases = [(F.array_contains(codes_, "PARSER_OR_OCR_FAILED"), "parser_or_ocr_failure_action", "PARSER_OR_OCR_FAILED"), (unscanned, "content_not_scanned_action", "CONTENT_NOT_SCANNED")]
-    rows = F.array_compact(F.array(*[F.when(when, F.struct(F.lit((1 << 20) + n).alias("ord"), F.lit(settings[key]).alias("action"), F.lit(reason).alias("reason"))) for n, (when, key, reason) in enumerate(cases)]))
+    rows = F.array_compact(F.array(*[F.when(when, F.struct(F.lit((1 << 20) + n).alias("ord"), (F.lit(settings[key]) if settings else F.col(key)).alias("action"), F.lit(reason).alias("reason"))) for n, (when, key, reason) in enumerate(cases)]))
     return requests.select("request_id", F.explode(rows).alias("r")).select("request_id", "r.ord", "r.action", severity_for(F.col("r.action")).alias("severity"), "r.reason", F.lit(False).alias("masking_supported"))
 
 

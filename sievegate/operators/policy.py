@@ -24,14 +24,26 @@ def safe_reason(category: Column) -> Column:
 SETTINGS = {"context_classifier_action": "warn", "content_not_scanned_action": "warn", "parser_or_ocr_failure_action": "warn", "empty_input_action": "allow", "unsupported_mask_fallback_action": "block"}
 
 
-def decide_requests(requests: DataFrame, evidence: DataFrame, settings: dict[str, str] | None = None, context: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
+def stored_settings(scopes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The settings of every scope (the columns of scopes): those of its row in rows (these columns and the ones of SETTINGS) in lower
+    case, and of SETTINGS where it has no row or a null."""
+    on = scopes.columns
+    return scopes.join(rows.select(*on, *SETTINGS), on, "left").select(*on, *[F.coalesce(F.lower(k), F.lit(v)).alias(k) for k, v in SETTINGS.items()])
+
+
+def decide_requests(requests: DataFrame, evidence: DataFrame, settings: dict[str, str] | DataFrame | None = None, context: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
     """requests (request_id, n_inputs); evidence and failures (request_id, ord, action, severity, reason, masking_supported); context
-    (request_id, status, accepted_count, candidate_count, reason_code); settings override SETTINGS, in any case.
+    (request_id, status, accepted_count, candidate_count, reason_code); settings override SETTINGS, in any case. As a table
+    (``stored_settings``) they hold for the requests with the same scope, so requests carry its columns.
 
     The highest action wins, then the highest severity, then the first in order; failures come last. A winning mask becomes the
     fallback if any mask of the request's rules is unsupported. Where nothing or only an allowing rule won, verified context, or
     candidates that the verifier failed on, take the context action; then an empty request its own."""
-    use = SETTINGS | {k: v.lower() for k, v in (settings or {}).items() if v}
+    if isinstance(settings, DataFrame):
+        requests = requests.join(settings, [c for c in settings.columns if c not in SETTINGS], "left")
+        use = {k: F.coalesce(F.col(k), F.lit(v)) for k, v in SETTINGS.items()}
+    else:
+        use = {k: F.lit(v) for k, v in (SETTINGS | {k: v.lower() for k, v in (settings or {}).items() if v}).items()}
     columns = ["request_id", "ord", "action", "severity", "reason", "masking_supported"]
     rules = evidence.select(*columns, F.lit(True).alias("_rule"))
     if failures is not None:
@@ -54,10 +66,10 @@ def decide_requests(requests: DataFrame, evidence: DataFrame, settings: dict[str
         return F.struct(set_.alias("action"), reason.alias("reason_code"), severity_for(set_).alias("severity"))
 
     decision = (
-        F.when(empty, chosen(F.lit(use["empty_input_action"]), F.lit("EMPTY_INPUT")))
-        .when(by_context, chosen(F.lit(use["context_classifier_action"]), F.col("c_reason")))
+        F.when(empty, chosen(use["empty_input_action"], F.lit("EMPTY_INPUT")))
+        .when(by_context, chosen(use["context_classifier_action"], F.col("c_reason")))
         .when(nothing, chosen(F.lit("allow"), F.lit("NO_RISK_DETECTED")))
-        .when(falls, chosen(F.lit(use["unsupported_mask_fallback_action"]), F.col("w.reason")))
+        .when(falls, chosen(use["unsupported_mask_fallback_action"], F.col("w.reason")))
         .otherwise(F.struct(F.col("w.action").alias("action"), F.col("w.reason").alias("reason_code"), F.col("w.severity").alias("severity")))
     )
     return out.select("request_id", decision.alias("d")).select("request_id", "d.*")
