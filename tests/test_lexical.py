@@ -87,3 +87,27 @@ def test_only_candidates_are_compiled():
     scanner = lexical.Scanner([(f"k{n}", "keyword", f"word{n:04d}", "T", False) for n in range(1000)])
     assert [m[0] for m in scanner.matches("a WORD0007 and word0009")] == [7, 9]
     assert len(scanner.compiled) == 2
+
+
+def test_rules_are_tried_where_their_literals_stand():
+    from sievegate.functions.detectors import SECRET
+
+    held = lexical.literals("regex", SECRET)
+    assert held and all(at == 0 and len(text) >= 3 for text, at in held)
+    scanner = lexical.Scanner([("s", "regex", SECRET, "T", False), ("k", "keyword", "word", "T", False), ("r", "regex", "word[.,]", "T", False), ("g", "keyword", "σας", "T", False)])
+    assert scanner.always == []
+    plain = "other text " * 1000
+    assert scanner.candidates(plain) == {}
+    assert scanner.candidates(plain + "a Word, WORD") == {1: {11002, 11008}, 2: {11002}}
+    assert [m[:3] for m in scanner.matches("wordword, ghp_" + "a" * 20 + " ΣΑΣ")] == [(0, 10, 34), (1, 0, 4), (1, 4, 8), (2, 4, 9), (3, 35, 38)]
+
+
+def test_places_give_what_finditer_gives():
+    rng = random.Random(5)
+    more = ["abab", "aba[xy]", "(?:abc|xyz)+", r"x\wabc", "ab(?:cd|xy)z?", r"(?<=z)abcd", "abc(?=d)", "(abc|abd)[d-f]{1,2}", "(?i:ABC)d*", "abc|"]
+    texts = ["".join(rng.choice(["ab", "abc", "abd", "aba", "x", "xyz", "y", "d", "z", "ABC", " "]) for _ in range(30)) for _ in range(400)]
+    rules = [(f"r{n}", "regex", e, "T", n % 2 == 0) for n, e in enumerate([*EXPRESSIONS, *more])]
+    scanner = lexical.Scanner(rules)
+    for text in texts:
+        got = [m[:3] for m in scanner.matches(text)]
+        assert got == [(n, *m.span()) for n, (_, _, e, _, exact) in enumerate(rules) for m in re.finditer(e, text, 0 if exact else re.IGNORECASE)], text
