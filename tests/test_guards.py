@@ -75,3 +75,10 @@ def test_meaningful_characters_of_all_code_points(spark):
     df = spark.createDataFrame([(t, plain_meaningful(t)) for t in texts], "t string, n int").repartition(8)
     wrong = df.where(scalars.meaningful_characters(F.col("t")) != F.col("n"))
     assert wrong.take(5) == []
+
+
+def test_meaningful_characters_beside_each_other(spark):
+    """Latin, punctuation and wide characters in one text: parts of a syllable with something between them are two."""
+    texts = ["é–ß…", "가", "ᄀ–ᅡ", "ᄀɏᅡᆨ", "ﬃ é ㌀x", "", "… – ’", "½⅐²", "1éɐ⁰"]
+    df = spark.createDataFrame([(t, plain_meaningful(t)) for t in texts], "t string, n int")
+    assert df.where(scalars.meaningful_characters(F.col("t")) != F.col("n")).collect() == []
