@@ -48,3 +48,15 @@ def test_signals_and_chunks(spark):
     assert [[len(x) for x in r.c] for r in df.collect()] == [[5], [900, 440], [900, 271, 149, 900]]
     none = spark.createDataFrame([], "rule_id string, version int")
     assert inputs.rule_set_version(none).first().version == "filter-rules:none"
+
+
+def test_batches_of_files_are_bounded(spark):
+    """No batch that goes to a worker or comes back grows with the rows of a partition."""
+    import pyarrow as pa
+
+    rows = [(str(k), "text", bytearray(b"x" * (1 << 20))) for k in range(16)]
+    out = files.parsed(spark.createDataFrame(rows, "path string, kind string, content binary").coalesce(1))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+    sizes = out.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert out.count() == 16 and sum(r["n"] for r in sizes.collect()) == 16
+    assert max(r["n"] for r in sizes.collect()) <= 9
