@@ -23,11 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegate.llm.common import documents, materialize, mix, partitions, tuned
+from sievegate.llm.common import documents, mix, partitions, tuned
 
 WINDOW, LEVELS, POPULAR = 64, 1001, 16
 SHORT, SMALL = 1024, 8
@@ -177,41 +176,35 @@ def _row(doc_id: int | None, text: str, chain: np.ndarray, following: str, next_
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each document and of its edited text, and their likeness. Texts are range-partitioned by doc_id once;
-    the last document of a partition meets the first of the next one in a second job over two rows a partition."""
+    """Fingerprints of each document and of its edited text, and their likeness. Texts are dealt once, by ranges of doc_id; the first
+    document of each range also goes behind the last one of the range before, so that no task needs another's and nothing is kept on
+    disk but that one shuffle. To the driver go the bounds of the ranges, a number each, and which of them hold rows."""
     spark = tuned(docs.sparkSession)
-    ranks = rarity(docs)
-    edge = [("part", pa.int64()), ("head", pa.bool_()), ("text", pa.string())]
-    schema = pa.schema([*_COLUMNS, *edge])
+    ranks, n = rarity(docs), partitions(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    bounds = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10 * n)).first()[0] or []
+    below = F.filter(F.lit(sorted(set(bounds[: n - 1])) or [0]).cast("array<long>"), lambda bound: F.coalesce(bound < F.col("doc_id"), F.lit(False)))
+    rows = rows.withColumn("range", F.size(below) if n > 1 else F.lit(0))
+    first = sorted((r["range"], r["head"]["doc_id"]) for r in rows.groupBy("range").agg(F.min(F.struct("doc_id")).alias("head")).collect())
+    heads = spark.createDataFrame([(doc_id, k, first[i - 1][0]) for i, (k, doc_id) in enumerate(first)], "head long, of int, before int")
+    heads = rows.join(F.broadcast(heads), rows["doc_id"].eqNullSafe(heads["head"])).groupBy("before", "doc_id").agg(F.min("text").alias("text"))
+    dealt = rows.select("range", F.lit(False).alias("after"), "doc_id", "text").union(heads.select("before", F.lit(True), "doc_id", "text"))
+    ranged = dealt.repartitionById(n, "range").sortWithinPartitions("range", "after", "doc_id", "text").select("after", "doc_id", "text")
+    schema = pa.schema(_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId(), None
-        blank = (None,) * len(_COLUMNS)
+        held = None
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = []
+            for after, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 chain = filters(text, ranks)
-                rows.append((*blank, part, True, text) if held is None else (*_row(*held, text, chain, ranks), None, None, None))
-                held = doc_id, text, chain
-            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema=schema)
-        if held is not None:
-            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, [[x] for x in (held[0], *blank[1:], part, False, held[1])], strict=True)), schema=schema)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    done, _ = materialize(ranged.mapInArrow(run, f"{_DDL}, part long, head boolean, text string"), "digests")
-    parts = sorted(r["part"] for r in done.where("head").select("part").collect())
-    follows = spark.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]], strict=True)), "part long, follows long")
-    heads = done.where("head").select(F.col("part").alias("follows"), F.col("text").alias("following"))
-    tails = done.where("NOT head").select("part", "doc_id", "text").join(follows, "part").join(heads, "follows").select("doc_id", "text", "following")
-
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_row(d, t, filters(t, ranks), f, filters(f, ranks), ranks) for d, t, f in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+                if held is not None:
+                    found.append(_row(*held, text, chain, ranks))
+                held = None if after else (doc_id, text, chain)
             if found:
-                yield pa.RecordBatch.from_pydict(dict(zip([n for n, _ in _COLUMNS], zip(*found, strict=True), strict=True)), schema=pa.schema(_COLUMNS))
+                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*found, strict=True), strict=True)), schema=schema)
 
-    return done.where("part IS NULL").select(*[n for n, _ in _COLUMNS]).unionByName(tails.mapInArrow(last, _DDL))
+    return ranged.mapInArrow(run, _DDL)
 
 
 def fingerprint(df: DataFrame, text: str = "text", to: str = "fingerprint", ranks: np.ndarray | None = None) -> DataFrame:

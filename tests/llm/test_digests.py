@@ -123,3 +123,18 @@ def test_short_texts_stay_alike():
             assert digests.likeness(digests.filters(text, ranks), digests.filters(digests.edit(text, following), ranks)) > 0
         if n >= 15:  # a shared letter is much of a shorter text
             assert digests.likeness(digests.filters(text, ranks), digests.filters(other[:n], ranks)) < 0.2
+
+
+def test_ranges_meet_and_no_table_is_written(spark):
+    """Every document meets the next one whatever the ranges, also with repeated, null and far ids; only a shuffle is on disk."""
+    from sievegate.llm import common
+
+    ids = [None, None, -(2**62), 5, 5, 5, *range(10, 90, 3), 2**62]
+    texts = [f"document {k} of several, " * (1 + k % 7) for k in range(len(ids))]
+    order = sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    before = len(common._WRITTEN)
+    got = digests.with_next(cases.frame(spark, [(i, t, None, None, None) for i, t in zip(ids, texts, strict=True)])).collect()
+    assert len(common._WRITTEN) == before
+    want = [(i, hashlib.sha256(digests.edit(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order)]
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted([(r["doc_id"], r["edited_sha256"]) for r in got], key=key) == sorted(want, key=key)
