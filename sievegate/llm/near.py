@@ -160,39 +160,50 @@ class Verifier:
         return links
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) of every node of edges (a, b), by alternating large-star and small-star.
-    Each half step is written to the shared folder; it ends when a whole step changes no edge."""
-    spark = edges.sparkSession
-    now, path = materialize(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u != v").distinct(), "star")  # u > v
-    stamp = None
+def stars(edges: DataFrame) -> tuple[DataFrame, str | None]:
+    """u, v (the smallest node reachable) of every node u of edges (a, b) but the smallest ones, and the folder they are in (None:
+    edges are read as they are), by alternating large-star and small-star. Each half step is written to the shared folder. It ends
+    when each node has one parent and no parent has one, which is looked up before each step: what is stars already takes none.
+    edges are a written table, or a union of some."""
+    spark, path = edges.sparkSession, None
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")  # u > v
     while True:
-        new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if stamp == (new["n"], new["h"]):
-            break
-        stamp = new["n"], new["h"]
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("parents"), F.lit(0).alias("children")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("parents"), F.lit(1).alias("children")))
+        ends = ends.groupBy("node").agg(F.sum("parents").alias("parents"), F.max("children").alias("children"))
+        if not ends.where("parents > 1 OR parents + children > 1").count():
+            return now, path
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large-star: larger neighbours of u go to the least of u and its neighbours
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        # large-star: larger neighbours of u go to the least of u and its neighbours; no more edges than before
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         large, large_path = materialize(large, "star")
         # small-star: smaller neighbours of u, and u, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        after, after_path = materialize(small, "star")
-        remove(spark, path, large_path)
-        now, path = after, after_path
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        now, after_path = materialize(small, "star")
+        remove(spark, large_path, *[path] * (path is not None))
+        path = after_path
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (the smallest node reachable) of every node of edges (a, b)."""
+    found, _ = stars(edges)
+    return found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (key, rep, n_shingles, c, hub) of buckets that hold more than one component, with their component."""
-    comp = components(links)
-    with_comp = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def _extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The stars of found and of further links: what is known goes on from where it is."""
+    return stars(found.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links))[0]
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (key, rep, n_shingles, c, hub) of buckets that hold more than one component of the stars found, with their component."""
+    comp = found.select(F.col("u").alias("rep"), F.col("v").alias("component"))
+    with_comp = members.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     with_comp, path = materialize(with_comp, "near-components")
     some, some_path = materialize(with_comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("_n")).where("lo != hi").select("key", "_n"), "near-some")
     out, _ = materialize(join_counted(with_comp, some, "key", "left_semi"), "near-open")
@@ -333,24 +344,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         verify = Verifier(classes, sets, percent)
         # one hub for each member first, the one that meets most others; then the hubs of buckets that this left open
         first = members.where("rep != hub").groupBy("rep").agg(F.max_by("hub", F.struct("degree", (-F.col("hub")).alias("r"))).alias("hub"))
-        links = verify(first.select(*_ordered("rep", "hub")))
-        rest = _open(members, links)
+        found, _ = stars(verify(first.select(*_ordered("rep", "hub"))))
+        rest = _open(members, found)
         of_hub, _ = materialize(rest.groupBy("key").agg(F.max(F.when(F.col("rep") == F.col("hub"), F.col("component"))).alias("of_hub"), F.count("*").alias("_n")), "near-hubs")
-        links = materialize(links.unionByName(verify(join_counted(rest, of_hub, "key").where("component != of_hub").select(*_ordered("rep", "hub")))).distinct(), "near-links")[0]
-        rest = _open(rest.drop("component"), links)
-        for k in range(HUB_ROUNDS):  # further hubs for large buckets that are still open, as long as they find links
+        more = verify(join_counted(rest, of_hub, "key").where("component != of_hub").select(*_ordered("rep", "hub")))
+        for k in range(HUB_ROUNDS + 1):  # further hubs for large buckets that are still open, as long as they find links
+            if not more.isEmpty():
+                found = _extended(found, more)
+                rest = _open(rest.drop("component"), found)
+            elif k:
+                break
+            if k == HUB_ROUNDS:
+                break
             large = rest.where(F.col("c") > LARGE)
             named = large.groupBy("key", "component").agg(F.count("*").alias("m"), F.max_by("rep", F.xxhash64("rep", F.lit(k))).alias("hub2"))
             new = named.groupBy("key").agg(F.max_by(F.struct("hub2", F.col("component").alias("c2")), F.struct("m", F.xxhash64("hub2", F.lit(k)))).alias("x"), F.sum("m").alias("_n"))
             new, new_path = materialize(new.select("key", "_n", "x.*"), "near-hubs")
             more = verify(join_counted(large, new, "key").where("component != c2").select(*_ordered("rep", "hub2")))
             remove(spark, new_path)
-            if more.isEmpty():
-                break
-            links = materialize(links.unionByName(more).distinct(), "near-links")[0]
-            rest = _open(rest.drop("component"), links)
-        links = materialize(links.unionByName(_open_links(rest, classes, sets, percent)).distinct(), "near-links")[0]
-        component, component_path = materialize(components(links).withColumnRenamed("node", "rep"), "near-component")
+        more = _open_links(rest, classes, sets, percent)
+        found = found if more.isEmpty() else _extended(found, more)
+        component, component_path = materialize(found.select(F.col("u").alias("rep"), F.col("v").alias("component")), "near-component")
         keep += [rows_path, classes_path, component_path]
     of_class = classes.select("d1", "d2", "rep").join(component, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("found"))
     out = rows.join(of_class, ["d1", "d2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))

@@ -59,11 +59,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
 def _sweep(events: DataFrame, width: int) -> DataFrame:
     """Of events (gap, size, id, slot, room), range-sorted: a row for each gap with the piece it takes, and one for each piece that
-    found none. open is the rank, in the range, of gaps and of pieces without a partner; part is the range."""
+    found none. open is the rank, in the range, of gaps and of pieces without a partner; part is the range. A row without gap has the
+    numbers of its range: id gaps and pid pieces are left over, of open tokens, and slot pieces are matched."""
     schema = pa.schema([("part", pa.int32()), ("gap", pa.bool_()), ("id", pa.int64()), ("slot", pa.int32()), ("room", pa.int32()), ("pid", pa.int64()), ("length", pa.int32()), ("open", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, stack, missed = TaskContext.get().partitionId(), [], 0
+        part, stack, missed, tokens, matched = TaskContext.get().partitionId(), [], 0, 0, 0
         for batch in batches:
             rows = []
             for gap, size, id_, slot, room in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
@@ -71,14 +72,18 @@ def _sweep(events: DataFrame, width: int) -> DataFrame:
                     stack.append((id_, slot, room))
                 elif stack:
                     rows.append((part, True, *stack.pop(), id_, size, None))
+                    matched += 1
                 else:
                     rows.append((part, False, None, None, None, id_, size, missed))
-                    missed += 1
+                    missed, tokens = missed + 1, tokens + size
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema=schema)
         for at in range(0, len(stack), 50_000):
             rows = [(part, True, *x, None, None, at + k) for k, x in enumerate(stack[at : at + 50_000])]
             yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema=schema)
+        if stack or missed or matched:
+            total = (part, None, len(stack), matched, None, missed, None, tokens)
+            yield pa.RecordBatch.from_pydict({name: [x] for name, x in zip(schema.names, total, strict=True)}, schema=schema)
 
     order = [F.col("size").desc(), F.col("gap").desc(), "id", "slot"]
     ranged = events.repartitionByRange(width, *order).sortWithinPartitions(*order)
@@ -126,12 +131,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, str]:
         swept, path = materialize(_sweep(events, width), "packing-swept")
         written.append(path)
         open_piece, open_gap = "NOT gap", "gap AND pid IS NULL"
-        totals = swept.groupBy("part").agg(
-            F.count_if(F.expr(open_gap)).alias("gaps"),
-            F.count_if(F.expr(open_piece)).alias("pieces"),
-            F.count_if(F.expr("gap AND pid IS NOT NULL")).alias("matched"),
-            F.sum(F.when(F.expr(open_piece), F.col("length"))).alias("tokens"),
-        ).collect()
+        totals = swept.where("gap IS NULL").select("part", F.col("id").alias("gaps"), F.col("pid").alias("pieces"), F.col("slot").alias("matched"), F.col("open").alias("tokens")).collect()
         blocks = _carried(totals)
         matched = sum(t["matched"] for t in totals) + sum(b[4] for b in blocks)
         waiting = [t for t in totals if t["pieces"]]

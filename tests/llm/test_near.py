@@ -76,3 +76,16 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 130), (130, 115), (200, 201)]
     got = {r["node"]: r["component"] for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, 130: 100, 115: 100, 200: 200, 201: 200}
+
+
+def test_steps_end_with_stars(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(near, "materialize", lambda df, tag, of=near.materialize: steps.append(tag) or of(df, tag))
+    path = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    assert sorted((r["u"], r["v"]) for r in near.stars(path)[0].collect()) == [(2, 1), (3, 1)]
+    assert steps == ["star", "star"]  # one step, and none more to see that it was the last
+    star = spark.createDataFrame([(1, 2), (1, 3), (9, 8)], "a long, b long")
+    assert sorted((r["u"], r["v"]) for r in near.stars(star)[0].collect()) == [(2, 1), (3, 1), (9, 8)]
+    assert steps == ["star", "star"]
+    more = near._extended(near.stars(star)[0], spark.createDataFrame([(3, 8), (20, 21)], "a long, b long"))
+    assert sorted((r["u"], r["v"]) for r in more.collect()) == [(2, 1), (3, 1), (8, 1), (9, 1), (21, 20)]

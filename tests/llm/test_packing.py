@@ -82,3 +82,16 @@ def test_rounds(spark, monkeypatch, low, high, n):
 def test_carried_totals():
     totals = [{"part": 0, "gaps": 5, "pieces": 2}, {"part": 1, "gaps": 1, "pieces": 3}, {"part": 2, "gaps": 0, "pieces": 9}]
     assert packing._carried(totals) == [(1, 0, 0, 4, 3, 0), (2, 0, 1, 0, 1, 3), (2, 1, 0, 1, 2, 4)]
+
+
+def test_sweep_counts_its_ranges(spark):
+    gaps, sizes = [(k, 100 + 40 * k) for k in range(40)], [30 + 7 * k for k in range(90)]
+    rows = [(True, room, k, 0, room) for k, room in gaps] + [(False, n, 1000 + k, 0, 0) for k, n in enumerate(sizes)]
+    swept = packing._sweep(spark.createDataFrame(rows, "gap boolean, size int, id long, slot int, room int"), 3).collect()
+    totals = {r["part"]: (r["id"], r["pid"], r["slot"], r["open"]) for r in swept if r["gap"] is None}
+    assert len(totals) == sum(r["gap"] is None for r in swept) > 1
+    for part, found in totals.items():
+        own = [r for r in swept if r["part"] == part]
+        alone = [r["length"] for r in own if r["gap"] is False]
+        assert found == (sum(r["gap"] is True and r["pid"] is None for r in own), len(alone), sum(r["gap"] is True and r["pid"] is not None for r in own), sum(alone))
+    assert {r["part"] for r in swept} == set(totals)
